@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .substring_dedup import op1_substring_dedup
+from .suffix_dedup import op4_suffix_dedup
 from .token_output import op8_token_output
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_token_output,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op4_suffix_dedup, op8_token_output)}
 ORACLE: dict[str, str] = {}
