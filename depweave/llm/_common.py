@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -44,7 +46,10 @@ def cut(df: DataFrame) -> DataFrame:
     spark, path = session(df), scratch(session(df))
     df.write.option("compression", "zstd").parquet(path)
     del df
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the cleaner drops shuffle files some time after their plan is collected
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
     return spark.read.parquet(path)
 
 

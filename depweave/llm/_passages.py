@@ -256,8 +256,10 @@ def covered(docs: DataFrame, plan: Plan) -> DataFrame:
     """
     base = docs.select("doc_id", text_of("text").alias("text")).withColumn("sum", F.xxhash64("text"))
     parts = parts_for(base, 16 << 20)
-    packed = base.where("doc_id is not null").select("doc_id", "sum", "text").mapInArrow(_anchor_rows(plan, parts), "bucket int, docs binary, anchors binary")
-    found = cut(packed.repartition(parts, "bucket").mapInArrow(_recurring, "doc_id long, sum long, found binary"))
+    found = cut(
+        base.where("doc_id is not null").select("doc_id", "sum", "text").mapInArrow(_anchor_rows(plan, parts), "bucket int, docs binary, anchors binary")
+        .repartition(parts, "bucket").mapInArrow(_recurring, "doc_id long, sum long, found binary")
+    )
     found = found.groupBy("doc_id", "sum").agg(F.collect_list("found").alias("found"))
     segments = (
         base.join(found.hint("shuffle_hash"), ["doc_id", "sum"], "left").where("found is not null").select("doc_id", "sum", "text", "found")

@@ -12,6 +12,8 @@ ignored; a text of any length stays in one file.
 
 from __future__ import annotations
 
+import gc
+import math
 import re
 import struct
 import zlib
@@ -28,9 +30,9 @@ BLOCK = 256
 PERCENTILE = 0.9
 MAGIC = b"PFOR"
 #: Ids after which a file is closed, at the next document's end.
-FILE_IDS = 1 << 20
+FILE_IDS = 1 << 18
 #: Remembered words of one worker.
-MEMO = 600_000
+MEMO = 400_000
 NULL_ID = -(1 << 63)
 FILES = "pid int, seq int, n_docs long, n_ids long, body binary"
 
@@ -44,10 +46,9 @@ def pack(ids: np.ndarray) -> bytes:
     x = np.concatenate([ids, np.full(blocks * BLOCK - n, ids[-1], ids.dtype)]).astype(np.int64).reshape(blocks, BLOCK)
     low = x.min(axis=1)
     x = (x - low[:, None]).astype(np.uint32)
-    bits = np.frexp(x.astype(np.float64))[1].astype(np.int8)
-    width = np.full(blocks, 32, np.int64)
-    for w in range(31, -1, -1):
-        width[(bits <= w).sum(axis=1) >= PERCENTILE * BLOCK] = w
+    bits = np.where(x > 0, ((x.astype(np.float64).view(np.uint64) >> np.uint64(52)).astype(np.int64) - 1022), 0).astype(np.int8)
+    rank = math.ceil(PERCENTILE * BLOCK) - 1
+    width = np.partition(bits, rank, axis=1)[:, rank].astype(np.int64)
     body: list[bytes] = [b""] * blocks
     for w in np.unique(width).tolist():
         rows = np.flatnonzero(width == w)
@@ -78,7 +79,15 @@ def unpack(buf: memoryview | bytes) -> np.ndarray:
     out = np.zeros((blocks, BLOCK), np.uint32)
     for w in np.unique(width).tolist():
         rows = np.flatnonzero(width == w)
-        if w:
+        if 0 < w <= 25:
+            # value i begins at bit i * w; four bytes from there hold it
+            packed = np.zeros((len(rows), BLOCK * w // 8 + 4), np.uint32)
+            packed[:, :-4] = raw[starts[rows][:, None] + 7 + np.arange(BLOCK * w // 8)]
+            bit = np.arange(BLOCK) * w
+            at = bit >> 3
+            word = packed[:, at] << np.uint32(24) | packed[:, at + 1] << np.uint32(16) | packed[:, at + 2] << np.uint32(8) | packed[:, at + 3]
+            out[rows] = (word >> (32 - w - (bit & 7)).astype(np.uint32)) & np.uint32((1 << w) - 1)
+        elif w:
             packed = raw[starts[rows][:, None] + 7 + np.arange(BLOCK * w // 8)]
             bits = np.zeros((len(rows), BLOCK, 32), np.uint8)
             bits[:, :, 32 - w :] = np.unpackbits(packed, axis=1).reshape(len(rows), BLOCK, w)
@@ -101,35 +110,56 @@ def read_file(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(body, "<i8", n, 8), np.frombuffer(body, "<u4", n, 8 + 8 * n).astype(np.int64), unpack(memoryview(body)[8 + 12 * n :])
 
 
+class _Memo(dict):
+    """Numbers of keys; new ones are noted."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = k = len(self)
+        self.new.append(key)
+        return k
+
+
 class Words:
     """Byte-level BPE by the tokenizers library, remembering the ids of words.
 
-    The tokenizer's byte-level pattern parts a text into words that it encodes on their own, so
-    texts of plain Latin characters are parted here and only unknown words go to the library;
-    any other text goes to it whole.
+    The tokenizer's pattern parts a text into words that it encodes on their own. Texts of plain Latin
+    characters are parted here, and the library's model gets each new word once; any other text goes
+    to the library whole.
     """
 
     plain = re.compile(r"[^\x20-\x7e\t\n\rÀ-ÖØ-öø-ɏ]")
-    #: The tokenizer's pattern, for such characters.
-    part = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+    #: The tokenizer's pattern, for plain characters.
+    part = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        # The byte-level alphabet: printable bytes stand for themselves, the others for letters from 256 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [x for x in range(256) if x not in shown]
+        self.letters = {x: x for x in shown} | {x: 256 + i for i, x in enumerate(hidden)}
+        self.space = chr(self.letters[32])
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at = _Memo()
         self.ids, self.n = np.zeros(1 << 16, np.uint32), 0
         self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        found = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
-        k, m = len(self.at), len(found)
+    def _learn(self) -> None:
+        model, space, letters, flat, sizes = self.tok.model.tokenize, self.space, self.letters, [], []
+        for w in self.at.new:
+            w = space + w[1:] if w[0] == " " and w.isascii() and w[1:].isalpha() else w.encode().decode("latin-1").translate(letters)
+            got = model(w)
+            sizes.append(len(got))
+            flat += [t.id for t in got]
+        k, m = len(self.at) - len(sizes), len(sizes)
+        self.at.new = []
         while self.n + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while k + m > len(self.begin):
@@ -138,25 +168,22 @@ class Words:
         self.begin[k : k + m] = self.n + np.cumsum(sizes) - sizes
         self.size[k : k + m] = sizes
         self.n += len(flat)
-        self.at.update(zip(words, range(k, k + m), strict=True))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after another, and how many each has."""
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a text."""
+        if self.plain.search(text):
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
         if len(self.at) > MEMO:
             self.clear()
-        out: list[np.ndarray] = []
-        for text in texts:
-            if self.plain.search(text):
-                out.append(np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32))
-                continue
-            words = self.part.findall(text)
-            if new := list({w: None for w in words if w not in self.at}):
-                self._learn(new)
-            k = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-            size = self.size[k]
-            ends = np.cumsum(size)
-            out.append(self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[k] - ends + size, size)])
-        return np.concatenate(out) if out else np.zeros(0, np.uint32), np.fromiter(map(len, out), np.int64, len(out))
+        words = self.part.findall(text)
+        if not words:
+            return np.zeros(0, np.uint32)
+        k = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        if self.at.new:
+            self._learn()
+        size = self.size[k]
+        ends = np.cumsum(size)
+        return self.ids[np.arange(ends[-1]) + np.repeat(self.begin[k] - ends + size, size)]
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", part_bytes: int = 8 << 20) -> DataFrame:
@@ -169,6 +196,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int = 0, doc_id: st
     rows = ranged(base, parts).repartition(parts, "pid").sortWithinPartitions("pid", F.col("doc_id").asc_nulls_first(), "text")
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here makes cycles, and the remembered words are many
         words, seq, pid, names, counts, held, total = Words(tokenizer), 0, None, [], [], [], 0
 
         def close() -> pa.RecordBatch:
@@ -182,7 +210,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int = 0, doc_id: st
                     yield close()
                     seq, names, counts, held, total = (seq + 1 if p == pid else 0), [], [], [], 0
                 pid = p
-                ids, _ = words.encode([t])
+                ids = words.encode(t)
                 names.append(NULL_ID if i is None else i)
                 counts.append(len(ids) + 1)
                 held += [ids, np.array([end_id], np.uint32)]
