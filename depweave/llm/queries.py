@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op2_decontaminate
+from .fingerprint import op10_fingerprints
+from .sharding import op5_sharding
 from .simhash import op7_simhash
 from .substring_dedup import op1_substring_dedup
 from .suffix_dedup import op4_suffix_dedup
 from .token_output import op8_token_output
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op4_suffix_dedup, op7_simhash, op8_token_output)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op4_suffix_dedup, op5_sharding, op7_simhash, op8_token_output, op10_fingerprints)}
 ORACLE: dict[str, str] = {}
