@@ -45,18 +45,23 @@ def automata_kernel(window: int, segments: list[bytes], owners: list[int], last:
     start = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]]))  # a window of the least document stands for its like
     shared = np.maximum.reduceat(np.array(last, np.int64)[seg[inside[order]]], start) > ds[start]
     keep = np.sort(inside[order[start[shared]]])
+    size = np.diff(np.concatenate([start, [len(hs)]]))
+    least = np.full(len(flat), -1, np.int64)  # of each shared window that a greater document has here
+    least[inside[order]] = np.repeat(np.where(shared, ds[start], -1), size)
+    least[np.repeat(np.array(last, np.int64), np.diff(off)) <= least] = -1
 
     # Passages: runs of such windows; phrases: their aligned blocks of half a window.
     step = window // 2
     runs = np.flatnonzero(np.concatenate([[True], (keep[1:] != keep[:-1] + 1) | (seg[keep[1:]] != seg[keep[:-1]])])) if len(keep) else np.zeros(0, np.int64)
-    passages, phrases = [], {}
+    passages: list[list[int]] = []
+    phrases: dict[tuple[int, ...], dict[int, list[tuple[int, int]]]] = {}
     for a, b in zip(runs.tolist(), [*runs[1:].tolist(), len(keep)], strict=True):
         s, e = int(keep[a]), int(keep[b - 1]) + window
         k = int(seg[s])
         p = words[k][s - off[k] : e - off[k]]
         for at in range(0, len(p) - step + 1, step):
-            phrases.setdefault(tuple(p[at : at + step]), []).append((len(passages), at))
-        passages.append((p, owners[k]))
+            phrases.setdefault(tuple(p[at : at + step]), {}).setdefault(owners[k], []).append((len(passages), at))
+        passages.append(p)
     hits: list[list[tuple[int, int, int]]] = [[] for _ in words]
     if phrases:
         machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
@@ -64,21 +69,23 @@ def automata_kernel(window: int, segments: list[bytes], owners: list[int], last:
             machine.add_word(phrase, places)
         machine.make_automaton()
         for k, text in enumerate(words):
-            done: dict[tuple[int, int], int] = {}
+            want = least[off[k] : off[k + 1]].tolist()
+            if max(want) < 0:
+                continue
             for end, places in machine.iter(tuple(text)):
-                for p, at in places:
-                    passage, owner = passages[p]
-                    shift = end - step + 1 - at  # of the passage's start in this text
-                    if done.get((p, shift), -1) > end:
-                        continue
-                    a, b = end - step + 1, end + 1
-                    while a > 0 and a > shift and text[a - 1] == passage[a - 1 - shift]:
-                        a -= 1
-                    while b < len(text) and b - shift < len(passage) and text[b] == passage[b - shift]:
-                        b += 1
-                    done[p, shift] = b
-                    if b - a >= window:
-                        hits[k].append((a, b, owner))
+                begin = end - step + 1
+                # an owner's passage that holds a wanted window around the phrase
+                for owner in {*want[max(0, begin - step) : begin + 1]}:
+                    for p, at in places.get(owner, ()):
+                        passage, shift = passages[p], begin - at
+                        a, b = begin, end + 1
+                        while a > 0 and a > shift and text[a - 1] == passage[a - 1 - shift]:
+                            a -= 1
+                        while b < len(text) and b - shift < len(passage) and text[b] == passage[b - shift]:
+                            b += 1
+                        if b - a >= window:
+                            hits[k].append((a, b, owner))
+                            want[a : b - window + 1] = [-1] * (b - window + 1 - a)
 
     def cover(k: int, doc: int) -> np.ndarray:
         return merge(np.array([(a, b) for a, b, o in hits[k] if o < doc], np.int64).reshape(-1, 2))
