@@ -127,18 +127,26 @@ DOC = np.dtype([("id", "<i8"), ("sum", "<i8"), ("n", "<u4")])
 HOMED = np.dtype([("pos", "<u4"), ("lo", "u1"), ("hi", "u1"), ("home", "<u8")])
 
 
-def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition's buckets: the anchors that two documents have, with their homes, by document."""
-    docs: list[np.ndarray] = []
-    recs: list[np.ndarray] = []
-    for b in batches:
-        for d, a in zip(b["docs"], b["anchors"], strict=True):
-            docs.append(np.frombuffer(d.as_py(), DOC))
-            recs.append(np.frombuffer(a.as_py(), ANCHOR))
-    if not recs:
-        return
-    doc, rec = np.concatenate(docs), np.concatenate(recs)
-    del docs, recs
+def _recurring(parts: int):
+    """Of a partition's buckets: the anchors that two documents have, with their homes, packed for the
+    partitions that gather them by document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs: list[np.ndarray] = []
+        recs: list[np.ndarray] = []
+        for b in batches:
+            for d, a in zip(b["docs"], b["anchors"], strict=True):
+                docs.append(np.frombuffer(d.as_py(), DOC))
+                recs.append(np.frombuffer(a.as_py(), ANCHOR))
+        if recs:
+            doc, rec = np.concatenate(docs), np.concatenate(recs)
+            del docs, recs
+            yield from _homes(doc, rec, parts)
+
+    return run
+
+
+def _homes(doc: np.ndarray, rec: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     owner = np.repeat(np.arange(len(doc)), doc["n"])
     order = np.argsort(rec["hash"])
     h = rec["hash"][order]
@@ -157,17 +165,50 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block = np.repeat(rec["pos"][order[start]] // BLOCK, size).astype(np.uint64)
     home = mix(np.repeat(ids[start], size).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + block)
     order, home = order[more], home[more]
-    sub = np.argsort(owner[order], kind="stable")
-    order, home = order[sub], home[sub]
+    who = owner[order]
+    to = (mix(doc["id"][who].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    sub = np.lexsort((who, to))
+    order, home, who, to = order[sub], home[sub], who[sub], to[sub]
     out = np.zeros(len(order), HOMED)
     out["pos"], out["lo"], out["hi"], out["home"] = rec["pos"][order], rec["lo"][order], rec["hi"][order], home
-    who = owner[order]
-    start = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])) if len(who) else np.zeros(0, np.int64)
-    for i in range(0, len(start), 4096):
-        s = start[i : i + 4096]
-        e = np.concatenate([start[i + 1 : i + 4096], [start[i + 4096] if i + 4096 < len(start) else len(who)]])[: len(s)]
-        d = doc[who[s]]
-        yield pa.RecordBatch.from_arrays([pa.array(d["id"]), pa.array(d["sum"]), pa.array([out[x:y].tobytes() for x, y in zip(s.tolist(), e.tolist(), strict=True)], pa.binary())], ["doc_id", "sum", "found"])
+    cuts = [*np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])).tolist(), len(to)] if len(to) else []
+    names, packed = [], []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        first = np.flatnonzero(np.concatenate([[True], who[a + 1 : b] != who[a : b - 1]])) + a
+        d = doc[who[first]]  # a copy
+        d["n"] = np.diff([*first, b])
+        names.append(d.tobytes())
+        packed.append(out[a:b].tobytes())
+    if names:
+        yield pa.RecordBatch.from_arrays([pa.array(to[cuts[:-1]], pa.int32()), pa.array(names, pa.binary()), pa.array(packed, pa.binary())], ["part", "docs", "found"])
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All anchors found of each of a partition's documents."""
+    docs: list[np.ndarray] = []
+    recs: list[np.ndarray] = []
+    for b in batches:
+        for d, a in zip(b["docs"], b["found"], strict=True):
+            docs.append(np.frombuffer(d.as_py(), DOC))
+            recs.append(np.frombuffer(a.as_py(), HOMED))
+    if not recs:
+        return
+    doc, rec = np.concatenate(docs), np.concatenate(recs)
+    del docs, recs
+    order = np.lexsort((doc["sum"], doc["id"]))
+    begin = np.concatenate([[0], np.cumsum(doc["n"], dtype=np.int64)])
+    at = 0
+    while at < len(order):
+        ids, sums, found = [], [], []
+        while at < len(order) and len(ids) < 4096:
+            k = at
+            while k < len(order) and doc["id"][order[k]] == doc["id"][order[at]] and doc["sum"][order[k]] == doc["sum"][order[at]]:
+                k += 1
+            ids.append(int(doc["id"][order[at]]))
+            sums.append(int(doc["sum"][order[at]]))
+            found.append(b"".join(rec[begin[i] : begin[i + 1]].tobytes() for i in order[at:k].tolist()))
+            at = k
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sums, pa.int64()), pa.array(found, pa.binary())], ["doc_id", "sum", "found"])
 
 
 def _segments(plan: Plan):
@@ -177,10 +218,10 @@ def _segments(plan: Plan):
         for b in pieces(batches, "text"):
             units = Units(plan.unit, *view(b["text"]))
             homes, ids, sums, begins, texts = [], [], [], [], []
-            for r, (i, s, lists) in enumerate(zip(b["doc_id"].to_pylist(), b["sum"].to_pylist(), b["found"].to_pylist(), strict=True)):
-                if not lists:
+            for r, (i, s, body) in enumerate(zip(b["doc_id"].to_pylist(), b["sum"].to_pylist(), b["found"].to_pylist(), strict=True)):
+                if not body:
                     continue
-                rec = np.unique(np.frombuffer(b"".join(lists), HOMED))  # by position; rows that repeat give equal ones
+                rec = np.unique(np.frombuffer(body, HOMED))  # by position; rows that repeat give equal ones
                 lo, hi, home = rec["pos"].astype(np.int64) - rec["lo"], rec["pos"].astype(np.int64) - rec["hi"], rec["home"]
                 new = np.concatenate([[True], (home[1:] != home[:-1]) | (lo[1:] != hi[:-1] + 1)])
                 last = np.concatenate([new[1:], [True]])
@@ -250,21 +291,22 @@ def merge(spans: np.ndarray) -> np.ndarray:
 
 
 def covered(docs: DataFrame, plan: Plan) -> DataFrame:
-    """doc_id, text and spans (lists of packed [start, end) units) of every row of docs(doc_id, text).
+    """Every row of docs(doc_id, text, ...) with spans: lists of packed [start, end) covered units.
 
-    The two joins with the texts share one shuffle of them.
+    The two joins with the texts have the same left side, so they share one shuffle of them.
     """
-    base = docs.select("doc_id", text_of("text").alias("text")).withColumn("sum", F.xxhash64("text"))
+    docs = docs.drop("sum", "found", "spans")
+    base = docs.withColumn("text", text_of("text")).withColumn("sum", F.xxhash64("text"))
     parts = parts_for(base, 16 << 20)
     found = cut(
         base.where("doc_id is not null").select("doc_id", "sum", "text").mapInArrow(_anchor_rows(plan, parts), "bucket int, docs binary, anchors binary")
-        .repartition(parts, "bucket").mapInArrow(_recurring, "doc_id long, sum long, found binary")
+        .repartition(parts, "bucket").mapInArrow(_recurring(parts), "part int, docs binary, found binary")
     )
-    found = found.groupBy("doc_id", "sum").agg(F.collect_list("found").alias("found"))
+    found = found.repartition(parts, "part").mapInArrow(_by_document, "doc_id long, sum long, found binary")
     segments = (
-        base.join(found.hint("shuffle_hash"), ["doc_id", "sum"], "left").where("found is not null").select("doc_id", "sum", "text", "found")
+        base.join(found.hint("shuffle_hash"), ["doc_id", "sum"], "left")
         .mapInArrow(_segments(plan), "home long, doc_id long, sum long, begin int, segment binary")
         .repartition(parts, "home").sortWithinPartitions("home", "doc_id")
     )
     spans = segments.mapInArrow(_covered(plan), "doc_id long, sum long, spans binary").groupBy("doc_id", "sum").agg(F.collect_list("spans").alias("spans"))
-    return base.join(spans.hint("shuffle_hash"), ["doc_id", "sum"], "left").select("doc_id", "text", "spans")
+    return base.join(spans.hint("shuffle_hash"), ["doc_id", "sum"], "left").select(*docs.columns, "spans")
