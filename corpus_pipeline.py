@@ -1,12 +1,66 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: language ID, near-dedup, suffix dedup, decontamination, pieces.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of documents; the last adds
+the columns of its operator. Results are written between stages, so each can be run again on its own.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from depweave.llm import decontaminate, language, pieces, simhash, suffix_dedup
+from depweave.llm._common import cut
+
+#: Below this pooled probability a document is in no language for sure.
+MIN_SCORE = 0.3
+
+
+def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without text or letters, and those that no language fits."""
+    judged = language.predict(docs, language.learn(docs))
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of least doc_id of each group; of rows that repeat it, one."""
+    found = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(found, "doc_id").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_n = 1")
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def drop_repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes passages that smaller documents hold; a document of which nothing is left goes."""
+    found = suffix_dedup.suffix_dedup(docs).where("kept <> ''")
+    return found.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that hold passages of the benchmark."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(~F.col("contaminated")).select(*docs.columns)
+
+
+def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encodes and decodes."""
+    import public_tokenizers
+
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
 
-STAGES: list = []
+STAGES = [
+    ("language", keep_known_language),
+    ("near_dedup", drop_near_duplicates),
+    ("suffix_dedup", drop_repeated_bytes),
+    ("decontaminate", drop_contaminated),
+    ("sentencepiece", to_pieces),
+]
+#: No stage but decontamination can be said in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

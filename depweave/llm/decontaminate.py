@@ -139,21 +139,25 @@ def hits(words: Words, index: Index, window: int, k: int) -> tuple[np.ndarray, d
     return hit, found
 
 
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+SCHEMA = ["n_words long", "n_hit long", "n_items long", "items_sha256 string", "contaminated boolean"]
 
 
-def _rows(b: pa.RecordBatch, words: Words, hit: np.ndarray, found: dict[int, set[str]]) -> pa.RecordBatch:
+def _rows(b: pa.RecordBatch, names: list[str], words: Words, hit: np.ndarray, found: dict[int, set[str]]) -> pa.RecordBatch:
     sums = np.concatenate([[0], np.cumsum(hit)])
     n_hit, n = np.diff(sums[words.off]), np.diff(words.off)
     digest = [hashlib.sha256(",".join(sorted(found.get(r, ()))).encode()).hexdigest() for r in range(b.num_rows)]
     n_items = [len(found.get(r, ())) for r in range(b.num_rows)]
-    return pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n), pa.array(n_hit), pa.array(n_items, pa.int64()), pa.array(digest), pa.array((n_hit > 0) & (20 * n_hit >= n))], [x.split()[0] for x in SCHEMA.split(", ")])
+    more = [pa.array(n), pa.array(n_hit), pa.array(n_items, pa.int64()), pa.array(digest), pa.array((n_hit > 0) & (20 * n_hit >= n))]
+    return pa.RecordBatch.from_arrays([*(b[x] for x in names), *more], [*names, *[x.split()[0] for x in SCHEMA]])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """n_words, n_hit, n_items, items_sha256 and contaminated of every row of docs(doc_id, text)."""
+    """docs(doc_id, text, ...) with n_words, n_hit, n_items, items_sha256 and contaminated; null texts are empty."""
     spark = session(docs)
-    base = docs.select("doc_id", text_of("text").alias("text"))
+    docs = docs.drop(*[x.split()[0] for x in SCHEMA], "items", "sum")
+    names = docs.columns
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], *SCHEMA])
+    base = docs.withColumn("text", text_of("text"))
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("item")).distinct()
     size = items.agg(F.sum(F.octet_length("item") + 16)).first()[0] or 0
     if size <= broadcast_bytes:
@@ -163,9 +167,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
             known = Index(index.value, window, k)
             for b in pieces(batches, "text"):
                 words = Words(*view(b["text"]))
-                yield _rows(b, words, *hits(words, known, window, k))
+                yield _rows(b, names, words, *hits(words, known, window, k))
 
-        return base.mapInArrow(small, SCHEMA)
+        return base.mapInArrow(small, schema)
 
     def keys(name: str, lengths: list[int], whole: bool):
         """Distinct (hash, id) fingerprints; of short items their whole hash, of documents all grams of such lengths."""
@@ -194,10 +198,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     every = base.withColumn("sum", F.xxhash64("text"))
     lengths = list(range(1, window))
     theirs = items.mapInArrow(keys("item_id", lengths, True), "hash long, item_id string").distinct()
-    ours = every.mapInArrow(keys("doc_id sum", lengths, False), "hash long, doc_id long, sum long").distinct()
+    ours = every.select("doc_id", "sum", "text").mapInArrow(keys("doc_id sum", lengths, False), "hash long, doc_id long, sum long").distinct()
     pairs = ours.join(theirs, "hash").select("doc_id", "sum", "item_id").distinct()
     theirs = pairs.join(items, "item_id").groupBy("doc_id", "sum").agg(F.collect_list(F.struct("item_id", "item")).alias("items"))
-    joined = every.alias("d").join(theirs.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d.sum") == F.col("t.sum")), "left").select("d.doc_id", "text", "items")
+    joined = every.alias("d").join(theirs.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d.sum") == F.col("t.sum")), "left").select(*[F.col(f"d.`{n}`") for n in names], "items")
 
     def large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -205,10 +209,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
                 b = batch.slice(r, 1)
                 words = Words(*view(b["text"]))
                 own = sorted((x["item_id"], x["item"]) for x in b["items"][0].as_py() or [])
-                yield _rows(b, words, *(hits(words, Index(own, window, k), window, k) if own else (np.zeros(len(words.hash), bool), {})))
+                yield _rows(b, names, words, *(hits(words, Index(own, window, k), window, k) if own else (np.zeros(len(words.hash), bool), {})))
 
-    return joined.mapInArrow(large, SCHEMA)
+    return joined.mapInArrow(large, schema)
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
-    return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text")

@@ -93,30 +93,39 @@ def automata_kernel(window: int, segments: list[bytes], owners: list[int], last:
     return cover
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in pieces(batches, "text"):
-        n, gone, sums, texts = [], [], [], []
-        for text, lists in zip(b["text"].to_pylist(), b["spans"].to_pylist(), strict=True):
-            words = text.encode().split()
-            n.append(len(words))
-            spans = merge(np.frombuffer(b"".join(lists or []), "<i4").reshape(-1, 2))
-            kept, at = [], 0
-            for a, e in spans.tolist():
-                kept += words[at:a]
-                at = e
-            kept += words[at:]
-            body = b" ".join(kept)
-            gone.append(len(words) - len(kept))
-            sums.append(hashlib.sha256(body).hexdigest())
-            texts.append(body.decode())
-        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sums), pa.array(texts)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+SCHEMA = ["n_words long", "n_removed long", "kept_sha256 string", "kept string"]
+
+
+def _apply(names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text"):
+            n, gone, sums, texts = [], [], [], []
+            for text, lists in zip(b["text"].to_pylist(), b["spans"].to_pylist(), strict=True):
+                words = text.encode().split()
+                n.append(len(words))
+                spans = merge(np.frombuffer(b"".join(lists or []), "<i4").reshape(-1, 2))
+                kept, at = [], 0
+                for a, e in spans.tolist():
+                    kept += words[at:a]
+                    at = e
+                kept += words[at:]
+                body = b" ".join(kept)
+                gone.append(len(words) - len(kept))
+                sums.append(hashlib.sha256(body).hexdigest())
+                texts.append(body.decode())
+            more = [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sums), pa.array(texts)]
+            yield pa.RecordBatch.from_arrays([*(b[n] for n in names), *more], [*names, *[x.split()[0] for x in SCHEMA]])
+
+    return run
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and the kept words of docs(doc_id, text)."""
+    """docs(doc_id, text, ...) with n_words, n_removed, kept_sha256 and the kept words; null texts are empty."""
+    docs = docs.drop(*[x.split()[0] for x in SCHEMA])
     plan = Plan("word", window, anchor_words, automata_kernel)
-    return covered(docs, plan).mapInArrow(_apply, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], *SCHEMA])
+    return covered(docs, plan).mapInArrow(_apply(docs.columns), schema)
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+    return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("kept", "text")

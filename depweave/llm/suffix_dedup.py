@@ -109,30 +109,39 @@ def expansion_kernel(window: int, segments: list[bytes], owners: list[int], last
     return cover
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in pieces(batches, "text"):
-        data, off = view(b["text"])
-        gone, runs, sums, texts = [], [], [], []
-        for r, lists in enumerate(b["spans"].to_pylist()):
-            body = data[off[r] : off[r + 1]]
-            spans = merge(np.frombuffer(b"".join(lists or []), "<i4").reshape(-1, 2))
-            if len(spans):
-                keep = np.ones(len(body), bool)
-                for a, e in spans.tolist():
-                    keep[a:e] = False
-                body = body[keep]
-            gone.append(int(off[r + 1] - off[r]) - len(body))
-            runs.append(len(spans))
-            sums.append(hashlib.sha256(body).hexdigest())
-            texts.append(body.tobytes().decode(errors="ignore"))
-        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(np.diff(off)), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sums), pa.array(texts)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+SCHEMA = ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", "kept string"]
+
+
+def _apply(names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text"):
+            data, off = view(b["text"])
+            gone, runs, sums, texts = [], [], [], []
+            for r, lists in enumerate(b["spans"].to_pylist()):
+                body = data[off[r] : off[r + 1]]
+                spans = merge(np.frombuffer(b"".join(lists or []), "<i4").reshape(-1, 2))
+                if len(spans):
+                    keep = np.ones(len(body), bool)
+                    for a, e in spans.tolist():
+                        keep[a:e] = False
+                    body = body[keep]
+                gone.append(int(off[r + 1] - off[r]) - len(body))
+                runs.append(len(spans))
+                sums.append(hashlib.sha256(body).hexdigest())
+                texts.append(body.tobytes().decode(errors="ignore"))
+            more = [pa.array(np.diff(off)), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sums), pa.array(texts)]
+            yield pa.RecordBatch.from_arrays([*(b[n] for n in names), *more], [*names, *[x.split()[0] for x in SCHEMA]])
+
+    return run
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW, anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept text of docs(doc_id, text)."""
+    """docs(doc_id, text, ...) with n_bytes, n_removed, n_spans, kept_sha256 and the kept text; null texts are empty."""
+    docs = docs.drop(*[x.split()[0] for x in SCHEMA])
     plan = Plan("byte", window, anchor_bytes, expansion_kernel)
-    return covered(docs, plan).mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], *SCHEMA])
+    return covered(docs, plan).mapInArrow(_apply(docs.columns), schema)
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+    return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("kept", "text")
