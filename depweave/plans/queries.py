@@ -76,10 +76,10 @@ def _(v, s):
     return v("lineitem").select(normalize.reach_label(F.col("l_linenumber"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("label")).distinct()
 
 
-@query("f12_safe_average", "SELECT l_orderkey, round(COALESCE(sum(l_extendedprice) / nullif(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity END), 0), 0), 4) AS average FROM lineitem GROUP BY 1")
+@query("f12_safe_average", "SELECT l_orderkey, round(COALESCE(sum(l_extendedprice) / nullif(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity END), 0), 0), 2) AS average FROM lineitem GROUP BY 1")
 def _(v, s):
     t = v("lineitem").groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("a"), F.coalesce(F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity"))), F.lit(0.0)).alias("b"))
-    return t.select("l_orderkey", F.round(normalize.average(F.col("a"), F.col("b")), 4).alias("average"))
+    return t.select("l_orderkey", F.round(normalize.average(F.col("a"), F.col("b")), 2).alias("average"))
 
 
 # Changes
