@@ -100,7 +100,7 @@ def _anchor_rows(plan: Plan, buckets: int):
             row, pos, lo, hi, h = anchors(units, plan.window, plan.k)
             if not len(row):
                 continue
-            ids, sums = b["doc_id"].to_numpy(), b["sum"].to_numpy()
+            ids, sums = b["doc_id"].to_numpy(), b["_sum"].to_numpy()
             bucket = (h >> np.uint64(8)).astype(np.int64) % buckets
             order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
             rec = np.zeros(len(order), ANCHOR)
@@ -112,7 +112,7 @@ def _anchor_rows(plan: Plan, buckets: int):
                 r = row[begin:end]
                 first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
                 doc = np.zeros(len(first), DOC)
-                doc["id"], doc["sum"], doc["n"] = ids[r[first]], sums[r[first]], np.diff([*first, len(r)])
+                doc["id"], doc["_sum"], doc["n"] = ids[r[first]], sums[r[first]], np.diff([*first, len(r)])
                 out.append((int(bucket[begin]), doc.tobytes(), rec[begin:end].tobytes()))
                 begin = end
             k, d, a = zip(*out, strict=True)
@@ -122,7 +122,7 @@ def _anchor_rows(plan: Plan, buckets: int):
 
 
 ANCHOR = np.dtype([("hash", "<u8"), ("pos", "<u4"), ("lo", "u1"), ("hi", "u1")])
-DOC = np.dtype([("id", "<i8"), ("sum", "<i8"), ("n", "<u4")])
+DOC = np.dtype([("id", "<i8"), ("_sum", "<i8"), ("n", "<u4")])
 #: An anchor that recurs, as its document gets it back.
 HOMED = np.dtype([("pos", "<u4"), ("lo", "u1"), ("hi", "u1"), ("home", "<u8")])
 
@@ -180,7 +180,7 @@ def _homes(doc: np.ndarray, rec: np.ndarray, parts: int) -> Iterator[pa.RecordBa
         names.append(d.tobytes())
         packed.append(out[a:b].tobytes())
     if names:
-        yield pa.RecordBatch.from_arrays([pa.array(to[cuts[:-1]], pa.int32()), pa.array(names, pa.binary()), pa.array(packed, pa.binary())], ["part", "docs", "found"])
+        yield pa.RecordBatch.from_arrays([pa.array(to[cuts[:-1]], pa.int32()), pa.array(names, pa.binary()), pa.array(packed, pa.binary())], ["part", "docs", "_found"])
 
 
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,27 +188,27 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     docs: list[np.ndarray] = []
     recs: list[np.ndarray] = []
     for b in batches:
-        for d, a in zip(b["docs"], b["found"], strict=True):
+        for d, a in zip(b["docs"], b["_found"], strict=True):
             docs.append(np.frombuffer(d.as_py(), DOC))
             recs.append(np.frombuffer(a.as_py(), HOMED))
     if not recs:
         return
     doc, rec = np.concatenate(docs), np.concatenate(recs)
     del docs, recs
-    order = np.lexsort((doc["sum"], doc["id"]))
+    order = np.lexsort((doc["_sum"], doc["id"]))
     begin = np.concatenate([[0], np.cumsum(doc["n"], dtype=np.int64)])
     at = 0
     while at < len(order):
         ids, sums, found = [], [], []
         while at < len(order) and len(ids) < 4096:
             k = at
-            while k < len(order) and doc["id"][order[k]] == doc["id"][order[at]] and doc["sum"][order[k]] == doc["sum"][order[at]]:
+            while k < len(order) and doc["id"][order[k]] == doc["id"][order[at]] and doc["_sum"][order[k]] == doc["_sum"][order[at]]:
                 k += 1
             ids.append(int(doc["id"][order[at]]))
-            sums.append(int(doc["sum"][order[at]]))
+            sums.append(int(doc["_sum"][order[at]]))
             found.append(b"".join(rec[begin[i] : begin[i + 1]].tobytes() for i in order[at:k].tolist()))
             at = k
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sums, pa.int64()), pa.array(found, pa.binary())], ["doc_id", "sum", "found"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sums, pa.int64()), pa.array(found, pa.binary())], ["doc_id", "_sum", "_found"])
 
 
 def _segments(plan: Plan):
@@ -218,7 +218,7 @@ def _segments(plan: Plan):
         for b in pieces(batches, "text"):
             units = Units(plan.unit, *view(b["text"]))
             homes, ids, sums, begins, texts = [], [], [], [], []
-            for r, (i, s, body) in enumerate(zip(b["doc_id"].to_pylist(), b["sum"].to_pylist(), b["found"].to_pylist(), strict=True)):
+            for r, (i, s, body) in enumerate(zip(b["doc_id"].to_pylist(), b["_sum"].to_pylist(), b["_found"].to_pylist(), strict=True)):
                 if not body:
                     continue
                 rec = np.unique(np.frombuffer(body, HOMED))  # by position; rows that repeat give equal ones
@@ -233,7 +233,7 @@ def _segments(plan: Plan):
                     begins.append(a)
                     texts.append(units.text(base + a, base + z + plan.window))
             if homes:
-                yield pa.RecordBatch.from_arrays([pa.array(homes, pa.int64()), pa.array(ids, pa.int64()), pa.array(sums, pa.int64()), pa.array(begins, pa.int32()), pa.array(texts, pa.binary())], ["home", "doc_id", "sum", "begin", "segment"])
+                yield pa.RecordBatch.from_arrays([pa.array(homes, pa.int64()), pa.array(ids, pa.int64()), pa.array(sums, pa.int64()), pa.array(begins, pa.int32()), pa.array(texts, pa.binary())], ["home", "doc_id", "_sum", "begin", "segment"])
 
     return run
 
@@ -261,12 +261,12 @@ def _covered(plan: Plan):
                 ids.append(i)
                 sums.append(s)
                 spans.append((x + begin).astype("<i4").tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sums, pa.int64()), pa.array(spans, pa.binary())], ["doc_id", "sum", "spans"]) if ids else None
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sums, pa.int64()), pa.array(spans, pa.binary())], ["doc_id", "_sum", "_spans"]) if ids else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, home = [], 0, None
         for b in batches:
-            for x in zip(b["home"].to_pylist(), b["doc_id"].to_pylist(), b["sum"].to_pylist(), b["begin"].to_pylist(), b["segment"].to_pylist(), strict=True):
+            for x in zip(b["home"].to_pylist(), b["doc_id"].to_pylist(), b["_sum"].to_pylist(), b["begin"].to_pylist(), b["segment"].to_pylist(), strict=True):
                 if x[0] != home and size >= KERNEL_BYTES:
                     if (out := solve(rows)) is not None:
                         yield out
@@ -295,18 +295,17 @@ def covered(docs: DataFrame, plan: Plan) -> DataFrame:
 
     The two joins with the texts have the same left side, so they share one shuffle of them.
     """
-    docs = docs.drop("sum", "found", "spans")
-    base = docs.withColumn("text", text_of("text")).withColumn("sum", F.xxhash64("text"))
+    base = docs.withColumn("text", text_of("text")).withColumn("_sum", F.xxhash64("text"))
     parts = parts_for(base, 16 << 20)
     found = cut(
-        base.where("doc_id is not null").select("doc_id", "sum", "text").mapInArrow(_anchor_rows(plan, parts), "bucket int, docs binary, anchors binary")
-        .repartition(parts, "bucket").mapInArrow(_recurring(parts), "part int, docs binary, found binary")
+        base.where("doc_id is not null").select("doc_id", "_sum", "text").mapInArrow(_anchor_rows(plan, parts), "bucket int, docs binary, anchors binary")
+        .repartition(parts, "bucket").mapInArrow(_recurring(parts), "part int, docs binary, _found binary")
     )
-    found = found.repartition(parts, "part").mapInArrow(_by_document, "doc_id long, sum long, found binary")
+    found = found.repartition(parts, "part").mapInArrow(_by_document, "doc_id long, _sum long, _found binary")
     segments = (
-        base.join(found.hint("shuffle_hash"), ["doc_id", "sum"], "left")
-        .mapInArrow(_segments(plan), "home long, doc_id long, sum long, begin int, segment binary")
+        base.join(found.hint("shuffle_hash"), ["doc_id", "_sum"], "left")
+        .mapInArrow(_segments(plan), "home long, doc_id long, _sum long, begin int, segment binary")
         .repartition(parts, "home").sortWithinPartitions("home", "doc_id")
     )
-    spans = segments.mapInArrow(_covered(plan), "doc_id long, sum long, spans binary").groupBy("doc_id", "sum").agg(F.collect_list("spans").alias("spans"))
-    return base.join(spans.hint("shuffle_hash"), ["doc_id", "sum"], "left").select(*docs.columns, "spans")
+    spans = segments.mapInArrow(_covered(plan), "doc_id long, _sum long, _spans binary").groupBy("doc_id", "_sum").agg(F.collect_list("_spans").alias("_spans"))
+    return base.join(spans.hint("shuffle_hash"), ["doc_id", "_sum"], "left").select(*docs.columns, "_spans")

@@ -10,7 +10,8 @@ fingerprints meet in a shuffle join, and documents get just the items that they
 
 Defined cases: a null text has no words; an item without words never occurs; rows that repeat an item_id
 count as one item; a null item_id or doc_id: the item is ignored, the document is judged as any other;
-an empty benchmark hits nothing; an empty table gives no rows; other columns are ignored.
+an empty benchmark hits nothing; an empty table gives no rows; other columns
+are kept, but for those named like a result.
 """
 
 from __future__ import annotations
@@ -154,7 +155,7 @@ def _rows(b: pa.RecordBatch, names: list[str], words: Words, hit: np.ndarray, fo
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs(doc_id, text, ...) with n_words, n_hit, n_items, items_sha256 and contaminated; null texts are empty."""
     spark = session(docs)
-    docs = docs.drop(*[x.split()[0] for x in SCHEMA], "items", "sum")
+    docs = docs.drop(*[x.split()[0] for x in SCHEMA], "_items", "_sum")
     names = docs.columns
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], *SCHEMA])
     base = docs.withColumn("text", text_of("text"))
@@ -195,20 +196,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
         b_text = "item" if whole else "text"
         return run
 
-    every = base.withColumn("sum", F.xxhash64("text"))
+    every = base.withColumn("_sum", F.xxhash64("text"))
     lengths = list(range(1, window))
     theirs = items.mapInArrow(keys("item_id", lengths, True), "hash long, item_id string").distinct()
-    ours = every.select("doc_id", "sum", "text").mapInArrow(keys("doc_id sum", lengths, False), "hash long, doc_id long, sum long").distinct()
-    pairs = ours.join(theirs, "hash").select("doc_id", "sum", "item_id").distinct()
-    theirs = pairs.join(items, "item_id").groupBy("doc_id", "sum").agg(F.collect_list(F.struct("item_id", "item")).alias("items"))
-    joined = every.alias("d").join(theirs.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d.sum") == F.col("t.sum")), "left").select(*[F.col(f"d.`{n}`") for n in names], "items")
+    ours = every.select("doc_id", "_sum", "text").mapInArrow(keys("doc_id _sum", lengths, False), "hash long, doc_id long, _sum long").distinct()
+    pairs = ours.join(theirs, "hash").select("doc_id", "_sum", "item_id").distinct()
+    theirs = pairs.join(items, "item_id").groupBy("doc_id", "_sum").agg(F.collect_list(F.struct("item_id", "item")).alias("_items"))
+    joined = every.alias("d").join(theirs.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d._sum") == F.col("t._sum")), "left").select(*[F.col(f"d.`{n}`") for n in names], "_items")
 
     def large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             for r in range(batch.num_rows):
                 b = batch.slice(r, 1)
                 words = Words(*view(b["text"]))
-                own = sorted((x["item_id"], x["item"]) for x in b["items"][0].as_py() or [])
+                own = sorted((x["item_id"], x["item"]) for x in b["_items"][0].as_py() or [])
                 yield _rows(b, names, words, *(hits(words, Index(own, window, k), window, k) if own else (np.zeros(len(words.hash), bool), {})))
 
     return joined.mapInArrow(large, schema)

@@ -186,7 +186,8 @@ def has_letter(text: str) -> bool:
 
 
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
-    """docs with lang_pred and score; every column of docs is kept."""
+    """docs with lang_pred and score; every column of docs is kept, but for two of these names."""
+    docs = docs.drop("lang_pred", "score")
     names = docs.columns
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], "`lang_pred` string", "`score` double"])
     known = net  # some 50 kB, of a fixed size

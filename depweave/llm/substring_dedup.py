@@ -6,7 +6,8 @@ and all candidate text streams through them; every occurrence is grown word by w
 
 Defined cases: a null or empty text has no words; documents under a window's length keep all words;
 equal texts: the smallest doc_id keeps its words; rows that repeat a doc_id don't remove each other's;
-a null doc_id neither removes nor loses words; an empty table gives no rows; other columns are ignored.
+a null doc_id neither removes nor loses words; an empty table gives no rows; other columns
+are kept, but for those named like a result.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from ._passages import Plan, covered, merge
 
 WINDOW = 50
 ANCHOR_WORDS = 20
+#: No document.
+NONE = -(1 << 63)
 
 
 def automata_kernel(window: int, segments: list[bytes], owners: list[int], last: list[int]):
@@ -46,9 +49,9 @@ def automata_kernel(window: int, segments: list[bytes], owners: list[int], last:
     shared = np.maximum.reduceat(np.array(last, np.int64)[seg[inside[order]]], start) > ds[start]
     keep = np.sort(inside[order[start[shared]]])
     size = np.diff(np.concatenate([start, [len(hs)]]))
-    least = np.full(len(flat), -1, np.int64)  # of each shared window that a greater document has here
-    least[inside[order]] = np.repeat(np.where(shared, ds[start], -1), size)
-    least[np.repeat(np.array(last, np.int64), np.diff(off)) <= least] = -1
+    least = np.full(len(flat), NONE, np.int64)  # of each shared window that a greater document has here
+    least[inside[order]] = np.repeat(np.where(shared, ds[start], NONE), size)
+    least[np.repeat(np.array(last, np.int64), np.diff(off)) <= least] = NONE
 
     # Passages: runs of such windows; phrases: their aligned blocks of half a window.
     step = window // 2
@@ -70,7 +73,7 @@ def automata_kernel(window: int, segments: list[bytes], owners: list[int], last:
         machine.make_automaton()
         for k, text in enumerate(words):
             want = least[off[k] : off[k + 1]].tolist()
-            if max(want) < 0:
+            if max(want) == NONE:
                 continue
             for end, places in machine.iter(tuple(text)):
                 begin = end - step + 1
@@ -85,7 +88,7 @@ def automata_kernel(window: int, segments: list[bytes], owners: list[int], last:
                             b += 1
                         if b - a >= window:
                             hits[k].append((a, b, owner))
-                            want[a : b - window + 1] = [-1] * (b - window + 1 - a)
+                            want[a : b - window + 1] = [NONE] * (b - window + 1 - a)
 
     def cover(k: int, doc: int) -> np.ndarray:
         return merge(np.array([(a, b) for a, b, o in hits[k] if o < doc], np.int64).reshape(-1, 2))
@@ -100,7 +103,7 @@ def _apply(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
             n, gone, sums, texts = [], [], [], []
-            for text, lists in zip(b["text"].to_pylist(), b["spans"].to_pylist(), strict=True):
+            for text, lists in zip(b["text"].to_pylist(), b["_spans"].to_pylist(), strict=True):
                 words = text.encode().split()
                 n.append(len(words))
                 spans = merge(np.frombuffer(b"".join(lists or []), "<i4").reshape(-1, 2))
@@ -121,7 +124,7 @@ def _apply(names: list[str]):
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
     """docs(doc_id, text, ...) with n_words, n_removed, kept_sha256 and the kept words; null texts are empty."""
-    docs = docs.drop(*[x.split()[0] for x in SCHEMA])
+    docs = docs.drop(*[x.split()[0] for x in SCHEMA], "_sum", "_found", "_spans")
     plan = Plan("word", window, anchor_words, automata_kernel)
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], *SCHEMA])
     return covered(docs, plan).mapInArrow(_apply(docs.columns), schema)

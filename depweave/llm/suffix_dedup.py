@@ -7,8 +7,8 @@ search stops at the threshold. Suffixes not parted by then share a window.
 
 Defined cases: a null or empty text has no bytes; texts under a window's length keep all; equal
 texts: the smallest doc_id keeps its bytes; rows that repeat a doc_id don't remove each other's; a null
-doc_id neither removes nor loses bytes; an empty table gives no rows; other columns are ignored. Kept
-bytes may break a character: `kept` drops the broken ones, kept_sha256 is of the bytes.
+doc_id neither removes nor loses bytes; an empty table gives no rows; other columns are kept, but for
+those named like a result. Kept bytes may break a character: `kept` drops the broken ones, kept_sha256 is of the bytes.
 """
 
 from __future__ import annotations
@@ -117,7 +117,7 @@ def _apply(names: list[str]):
         for b in pieces(batches, "text"):
             data, off = view(b["text"])
             gone, runs, sums, texts = [], [], [], []
-            for r, lists in enumerate(b["spans"].to_pylist()):
+            for r, lists in enumerate(b["_spans"].to_pylist()):
                 body = data[off[r] : off[r + 1]]
                 spans = merge(np.frombuffer(b"".join(lists or []), "<i4").reshape(-1, 2))
                 if len(spans):
@@ -137,7 +137,7 @@ def _apply(names: list[str]):
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW, anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
     """docs(doc_id, text, ...) with n_bytes, n_removed, n_spans, kept_sha256 and the kept text; null texts are empty."""
-    docs = docs.drop(*[x.split()[0] for x in SCHEMA])
+    docs = docs.drop(*[x.split()[0] for x in SCHEMA], "_sum", "_found", "_spans")
     plan = Plan("byte", window, anchor_bytes, expansion_kernel)
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], *SCHEMA])
     return covered(docs, plan).mapInArrow(_apply(docs.columns), schema)
