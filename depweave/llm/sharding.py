@@ -2,7 +2,7 @@
 
 Every document starts in a shard by hash. In each round documents count the weight of their links by
 the neighbour's shard; one that another shard would suit better asks to move, and each shard takes those
-that its quota has room for, in a fixed order. At last the documents are put in shard order and the order
+that its quota has room for, counting those that ask to leave it, in a fixed order. At last the documents are put in shard order and the order
 is cut into equal weights, so sizes are even (law "bytes": of the bytes; law "rows": of the counts) and
 few links that propagation saved are cut again. Law "key" hashes doc_id and the shard count by highest
 rendezvous: one more shard takes rows only into itself.
@@ -59,7 +59,8 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
         if turn % 2:  # linked pairs don't swap for ever: in odd rounds one half waits
             asks = asks.where(F.xxhash64("id", F.lit(turn)) % 2 == 0)
         load = {r.shard: r.n for r in now.groupBy("shard").agg(F.sum("size").alias("n")).collect()}  # a number a shard
-        room = F.create_map(*[F.lit(x) for s in range(shards) for x in (s, max(0, quota - load.get(s, 0)))])
+        leaving = {r.shard: r.n for r in asks.groupBy("shard").agg(F.sum("size").alias("n")).collect()}  # makes room
+        room = F.create_map(*[F.lit(x) for s in range(shards) for x in (s, max(0, quota - load.get(s, 0) + leaving.get(s, 0)))])
         cells = asks.select("id", "size", "to", F.pmod(F.xxhash64("id"), F.lit(CELLS * SALTS)).alias("cell"))
         inside = _running(cells, ["to", "cell"], ["id"], "size")
         first = inside.groupBy("to").agg(F.min("before").alias("zero"))
