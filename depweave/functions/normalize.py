@@ -79,9 +79,9 @@ def author_text(v: Column) -> Column:
 
 def main_text(v: Column) -> Column:
     """F8: string; list with a comma at the end; map as `Key: k Value: v , ` in key order."""
-    entries = F.array_sort(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")))
-    shown = F.array_join(F.transform(entries, lambda e: F.concat(F.lit("Key: "), e["key"], F.lit(" Value: "), text_at(e["value"]), F.lit(" , "))), "")
-    return F.when(kind(v) == "STRING", text_at(v)).when(kind(v) == "ARRAY", F.concat(F.array_join(F.transform(_list(v), text_at), ","), F.lit(","))).when(kind(v) == "OBJECT", shown).otherwise("")
+    entries = F.array_sort(F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: F.struct(e["key"].alias("key"), text_at(e["value"]).alias("value"))))
+    shown = F.array_join(F.transform(entries, lambda e: F.concat(F.lit("Key: "), e["key"], F.lit(" Value: "), e["value"], F.lit(" , "))), "")
+    return F.when(kind(v) == "STRING", text_at(v)).when(kind(v) == "ARRAY", F.concat(F.array_join(F.transform(_list(v), lambda x: text_at(x)), ","), F.lit(","))).when(kind(v) == "OBJECT", shown).otherwise("")
 
 
 def time_of(v: Column) -> Column:
@@ -158,8 +158,7 @@ def file_class(path: Column, content: Column | None = None) -> Column:
 def tarball_path(name: Column, version: Column) -> Column:
     """two one-letter folders; a scope's slash becomes an underscore."""
     flat = F.replace(name, F.lit("/"), F.lit("_"))
-    bare = F.when(name.startswith("@"), F.split(name, "/")[1]).otherwise(name)
-    second = F.when(name.startswith("@"), F.substring(bare, 1, 1)).otherwise(F.coalesce(F.nullif(F.substring(name, 2, 1), F.lit("")), F.lit("_")))
+    second = F.coalesce(F.nullif(F.substring(name, 2, 1), F.lit("")), F.lit("_"))
     return F.concat(F.substring(name, 1, 1), F.lit("/"), second, F.lit("/"), flat, F.lit("-"), version, F.lit(".tgz"))
 
 
