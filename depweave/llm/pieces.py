@@ -19,7 +19,7 @@ import hashlib
 import pickle
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,10 +55,20 @@ class Model:
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
         self.longest = max(map(len, self.vocab))
         self.fits = lru_cache(1 << 18)(self._fits)
-        self.stands = lru_cache(1 << 17)(self._stands)
 
-    def _stands(self, piece: str) -> bool:
-        return piece in self.vocab and self.bare.encode(piece) == [self.vocab[piece]]
+    @cached_property
+    def standing(self) -> dict[str, set[str]]:
+        """Pieces that encode to themselves, by their first two characters (single ones by that one)."""
+        out: dict[str, set[str]] = {}
+        names = list(self.vocab)
+        for piece, ids in zip(names, self.bare.encode(names, num_threads=1), strict=True):
+            if ids == [self.vocab[piece]]:
+                out.setdefault(piece[:2], set()).add(piece)
+        return out
+
+    @cached_property
+    def longest_by(self) -> dict[str, int]:
+        return {k: max(map(len, v)) for k, v in self.standing.items()}
 
     def _fits(self, a: str, b: str) -> bool:
         """Whether two pieces may be neighbours. A character outside the vocabulary merges with none."""
@@ -68,7 +78,10 @@ class Model:
 
     def at(self, text: str, p: int) -> list[str]:
         """Pieces that may begin at p."""
-        found = [text[p : p + n] for n in range(1, min(self.longest, len(text) - p) + 1) if self.stands(text[p : p + n])]
+        one, two = text[p], text[p : p + 2]
+        found = [one] if one in self.standing.get(one, ()) else []
+        if len(two) == 2 and (own := self.standing.get(two)):
+            found += [x for n in range(2, min(self.longest_by[two], len(text) - p) + 1) if (x := text[p : p + n]) in own]
         return found or ([text[p]] if text[p] not in self.vocab else [])
 
     def over(self, text: str, cut: int) -> list[tuple[int, str]]:
