@@ -29,19 +29,21 @@ from ._common import cut, gram_hashes, mix, parts_for, pieces, span_hashes, text
 #: Bits of a position in a chunk; the others hold the leading bits of a hash.
 POS = np.uint64(28)
 POS_MASK = np.uint64((1 << 28) - 1)
-#: Units of the home document that share a home.
-BLOCK = 1024
+#: Bytes of segments that a task holds to merge equal ones.
+HELD_BYTES = 8 << 20
 #: Bytes of segments that a kernel gets at once, whole homes apart.
 KERNEL_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
 class Plan:
-    """unit: "word" or "byte"; window: units that must recur; k: units of an anchor."""
+    """unit: "word" or "byte"; window: units that must recur; k: units of an anchor; block: units of the home
+    document that share a home (less: smaller groups, more text shuffled twice)."""
 
     unit: str
     window: int
     k: int
+    block: int
     #: kernel(window, segments, least documents, greatest documents) -> function of (segment, doc)
     #: that gives its covered [start, end) units
     kernel: Callable
@@ -112,7 +114,7 @@ def _anchor_rows(plan: Plan, buckets: int):
                 r = row[begin:end]
                 first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
                 doc = np.zeros(len(first), DOC)
-                doc["id"], doc["_sum"], doc["n"] = ids[r[first]], sums[r[first]], np.diff([*first, len(r)])
+                doc["id"], doc["sum"], doc["n"] = ids[r[first]], sums[r[first]], np.diff([*first, len(r)])
                 out.append((int(bucket[begin]), doc.tobytes(), rec[begin:end].tobytes()))
                 begin = end
             k, d, a = zip(*out, strict=True)
@@ -122,12 +124,14 @@ def _anchor_rows(plan: Plan, buckets: int):
 
 
 ANCHOR = np.dtype([("hash", "<u8"), ("pos", "<u4"), ("lo", "u1"), ("hi", "u1")])
-DOC = np.dtype([("id", "<i8"), ("_sum", "<i8"), ("n", "<u4")])
+DOC = np.dtype([("id", "<i8"), ("sum", "<i8"), ("n", "<u4")])
+#: A document that holds a segment, and where.
+MEMBER = np.dtype([("id", "<i8"), ("sum", "<i8"), ("begin", "<i4")])
 #: An anchor that recurs, as its document gets it back.
 HOMED = np.dtype([("pos", "<u4"), ("lo", "u1"), ("hi", "u1"), ("home", "<u8")])
 
 
-def _recurring(parts: int):
+def _recurring(parts: int, size: int):
     """Of a partition's buckets: the anchors that two documents have, with their homes, packed for the
     partitions that gather them by document."""
 
@@ -141,12 +145,12 @@ def _recurring(parts: int):
         if recs:
             doc, rec = np.concatenate(docs), np.concatenate(recs)
             del docs, recs
-            yield from _homes(doc, rec, parts)
+            yield from _homes(doc, rec, parts, size)
 
     return run
 
 
-def _homes(doc: np.ndarray, rec: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+def _homes(doc: np.ndarray, rec: np.ndarray, parts: int, size_of_block: int) -> Iterator[pa.RecordBatch]:
     owner = np.repeat(np.arange(len(doc)), doc["n"])
     order = np.argsort(rec["hash"])
     h = rec["hash"][order]
@@ -162,7 +166,7 @@ def _homes(doc: np.ndarray, rec: np.ndarray, parts: int) -> Iterator[pa.RecordBa
     start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     size = np.diff(np.concatenate([start, [len(h)]]))
     more = np.repeat(ids[start + size - 1] > ids[start], size)  # sorted by document
-    block = np.repeat(rec["pos"][order[start]] // BLOCK, size).astype(np.uint64)
+    block = np.repeat(rec["pos"][order[start]] // size_of_block, size).astype(np.uint64)
     home = mix(np.repeat(ids[start], size).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + block)
     order, home = order[more], home[more]
     who = owner[order]
@@ -195,84 +199,88 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     doc, rec = np.concatenate(docs), np.concatenate(recs)
     del docs, recs
-    order = np.lexsort((doc["_sum"], doc["id"]))
+    order = np.lexsort((doc["sum"], doc["id"]))
     begin = np.concatenate([[0], np.cumsum(doc["n"], dtype=np.int64)])
     at = 0
     while at < len(order):
         ids, sums, found = [], [], []
         while at < len(order) and len(ids) < 4096:
             k = at
-            while k < len(order) and doc["id"][order[k]] == doc["id"][order[at]] and doc["_sum"][order[k]] == doc["_sum"][order[at]]:
+            while k < len(order) and doc["id"][order[k]] == doc["id"][order[at]] and doc["sum"][order[k]] == doc["sum"][order[at]]:
                 k += 1
             ids.append(int(doc["id"][order[at]]))
-            sums.append(int(doc["_sum"][order[at]]))
+            sums.append(int(doc["sum"][order[at]]))
             found.append(b"".join(rec[begin[i] : begin[i + 1]].tobytes() for i in order[at:k].tolist()))
             at = k
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sums, pa.int64()), pa.array(found, pa.binary())], ["doc_id", "_sum", "_found"])
 
 
 def _segments(plan: Plan):
-    """Segments of documents: neighbouring windows whose anchors share a home."""
+    """Segments of documents: neighbouring windows whose anchors share a home. Equal segments of a task go
+    out once, with their members, before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            members = [np.array(m, MEMBER).tobytes() for m in held.values()]
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int64()), pa.array([t for _, t in held], pa.binary()), pa.array(members, pa.binary())], ["home", "segment", "members"])
+
         for b in pieces(batches, "text"):
             units = Units(plan.unit, *view(b["text"]))
-            homes, ids, sums, begins, texts = [], [], [], [], []
             for r, (i, s, body) in enumerate(zip(b["doc_id"].to_pylist(), b["_sum"].to_pylist(), b["_found"].to_pylist(), strict=True)):
                 if not body:
                     continue
                 rec = np.unique(np.frombuffer(body, HOMED))  # by position; rows that repeat give equal ones
-                lo, hi, home = rec["pos"].astype(np.int64) - rec["lo"], rec["pos"].astype(np.int64) - rec["hi"], rec["home"]
+                lo, hi, home = rec["pos"].astype(np.int64) - rec["lo"], rec["pos"].astype(np.int64) - rec["hi"], rec["home"].view(np.int64)
                 new = np.concatenate([[True], (home[1:] != home[:-1]) | (lo[1:] != hi[:-1] + 1)])
                 last = np.concatenate([new[1:], [True]])
                 base = int(units.off[r])
                 for a, z, k in zip(lo[new].tolist(), hi[last].tolist(), home[new].tolist(), strict=True):
-                    homes.append(k - (1 << 64) if k >= 1 << 63 else k)
-                    ids.append(i)
-                    sums.append(s)
-                    begins.append(a)
-                    texts.append(units.text(base + a, base + z + plan.window))
-            if homes:
-                yield pa.RecordBatch.from_arrays([pa.array(homes, pa.int64()), pa.array(ids, pa.int64()), pa.array(sums, pa.int64()), pa.array(begins, pa.int32()), pa.array(texts, pa.binary())], ["home", "doc_id", "_sum", "begin", "segment"])
+                    text = units.text(base + a, base + z + plan.window)
+                    own = held.setdefault((k, text), [])
+                    size += 20 + (0 if own else len(text))
+                    own.append((i, s, a))
+            if size > HELD_BYTES:
+                yield flush()
+                held.clear()
+                size = 0
+        if held:
+            yield flush()
 
     return run
 
 
 def _covered(plan: Plan):
-    """Covered units of each segment. Rows come sorted by home and doc_id."""
-
-    def solve(rows: list) -> pa.RecordBatch | None:
-        texts: dict[bytes, int] = {}
-        owners: list[int] = []
-        last: list[int] = []
-        which = []
-        for _, i, _, _, t in rows:  # equal segments count once, for their least and greatest documents
-            k = texts.setdefault(t, len(owners))
-            if k == len(owners):
-                owners.append(i)
-                last.append(i)
-            owners[k], last[k] = min(owners[k], i), max(last[k], i)
-            which.append(k)
-        cover = plan.kernel(plan.window, list(texts), owners, last)
+    """Covered units of each segment's members. Rows come sorted by home."""
+
+    def solve(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch | None:
+        texts: dict[bytes, list[np.ndarray]] = {}
+        for _, t, m in rows:  # equal segments count once, for their least and greatest documents
+            texts.setdefault(t, []).append(np.frombuffer(m, MEMBER))
+        members = [np.concatenate(m) for m in texts.values()]
+        cover = plan.kernel(plan.window, list(texts), [int(m["id"].min()) for m in members], [int(m["id"].max()) for m in members])
         ids, sums, spans = [], [], []
-        for (_, i, s, begin, _), k in zip(rows, which, strict=True):
-            x = cover(k, i)
-            if len(x):
-                ids.append(i)
-                sums.append(s)
-                spans.append((x + begin).astype("<i4").tobytes())
+        for k, own in enumerate(members):
+            for i, s, begin in own.tolist():
+                x = cover(k, i)
+                if len(x):
+                    ids.append(i)
+                    sums.append(s)
+                    spans.append((x + begin).astype("<i4").tobytes())
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sums, pa.int64()), pa.array(spans, pa.binary())], ["doc_id", "_sum", "_spans"]) if ids else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, home = [], 0, None
         for b in batches:
-            for x in zip(b["home"].to_pylist(), b["doc_id"].to_pylist(), b["_sum"].to_pylist(), b["begin"].to_pylist(), b["segment"].to_pylist(), strict=True):
+            for x in zip(b["home"].to_pylist(), b["segment"].to_pylist(), b["members"].to_pylist(), strict=True):
                 if x[0] != home and size >= KERNEL_BYTES:
                     if (out := solve(rows)) is not None:
                         yield out
                     rows, size = [], 0
                 rows.append(x)
-                size += len(x[4])
+                size += len(x[1])
                 home = x[0]
         if rows and (out := solve(rows)) is not None:
             yield out
@@ -299,13 +307,13 @@ def covered(docs: DataFrame, plan: Plan) -> DataFrame:
     parts = parts_for(base, 16 << 20)
     found = cut(
         base.where("doc_id is not null").select("doc_id", "_sum", "text").mapInArrow(_anchor_rows(plan, parts), "bucket int, docs binary, anchors binary")
-        .repartition(parts, "bucket").mapInArrow(_recurring(parts), "part int, docs binary, _found binary")
+        .repartition(parts, "bucket").mapInArrow(_recurring(parts, plan.block), "part int, docs binary, _found binary")
     )
     found = found.repartition(parts, "part").mapInArrow(_by_document, "doc_id long, _sum long, _found binary")
     segments = (
         base.join(found.hint("shuffle_hash"), ["doc_id", "_sum"], "left")
-        .mapInArrow(_segments(plan), "home long, doc_id long, _sum long, begin int, segment binary")
-        .repartition(parts, "home").sortWithinPartitions("home", "doc_id")
+        .mapInArrow(_segments(plan), "home long, segment binary, members binary")
+        .repartition(parts, "home").sortWithinPartitions("home")
     )
     spans = segments.mapInArrow(_covered(plan), "doc_id long, _sum long, _spans binary").groupBy("doc_id", "_sum").agg(F.collect_list("_spans").alias("_spans"))
     return base.join(spans.hint("shuffle_hash"), ["doc_id", "_sum"], "left").select(*docs.columns, "_spans")

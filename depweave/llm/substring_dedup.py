@@ -23,6 +23,7 @@ from ._common import gram_hashes, mix, pieces
 from ._passages import Plan, covered, merge
 
 WINDOW = 50
+BLOCK_WORDS = 128
 ANCHOR_WORDS = 20
 #: No document.
 NONE = -(1 << 63)
@@ -125,7 +126,7 @@ def _apply(names: list[str]):
 def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
     """docs(doc_id, text, ...) with n_words, n_removed, kept_sha256 and the kept words; null texts are empty."""
     docs = docs.drop(*[x.split()[0] for x in SCHEMA], "_sum", "_found", "_spans")
-    plan = Plan("word", window, anchor_words, automata_kernel)
+    plan = Plan("word", window, anchor_words, BLOCK_WORDS, automata_kernel)
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], *SCHEMA])
     return covered(docs, plan).mapInArrow(_apply(docs.columns), schema)
 

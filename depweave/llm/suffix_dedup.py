@@ -24,6 +24,7 @@ from ._common import pieces, view
 from ._passages import Plan, covered, merge
 
 WINDOW = 50
+BLOCK_BYTES = 512
 ANCHOR_BYTES = 24
 
 
@@ -138,7 +139,7 @@ def _apply(names: list[str]):
 def suffix_dedup(docs: DataFrame, window: int = WINDOW, anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
     """docs(doc_id, text, ...) with n_bytes, n_removed, n_spans, kept_sha256 and the kept text; null texts are empty."""
     docs = docs.drop(*[x.split()[0] for x in SCHEMA], "_sum", "_found", "_spans")
-    plan = Plan("byte", window, anchor_bytes, expansion_kernel)
+    plan = Plan("byte", window, anchor_bytes, BLOCK_BYTES, expansion_kernel)
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], *SCHEMA])
     return covered(docs, plan).mapInArrow(_apply(docs.columns), schema)
 
