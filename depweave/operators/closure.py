@@ -95,6 +95,15 @@ def ranked(counts: DataFrame, name: str, every: DataFrame | None = None, top: in
     return rows if top is None else rows.limit(top)
 
 
+def positions(counts: DataFrame, name: str, to: str = "name") -> DataFrame:
+    """Rank of every name by count, ties by name, without one task that sorts them all: ranges of the order are
+    written, and each gets the rows of the ranges before it as its offset."""
+    placed = cut(counts.select(F.col(name).alias(to), "count").repartitionByRange(F.desc("count"), F.asc(to)).withColumn("_p", F.spark_partition_id()))
+    before = placed.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    inner = F.row_number().over(Window.partitionBy("_p").orderBy(F.desc("count"), to))
+    return placed.withColumn("_i", inner).join(before, "_p").select(to, (F.col("_before") + F.col("_i")).alias("rank"))
+
+
 def windowed_union(pairs: DataFrame, width: int = 10) -> DataFrame:
     """Year, rank: size of the union of `width` consecutive ranks' sets; whole windows only.
 
@@ -102,6 +111,7 @@ def windowed_union(pairs: DataFrame, width: int = 10) -> DataFrame:
     counted distinct: no window holds sets.
     """
     size = pairs.groupBy("year", "src").agg(F.countDistinct("dst").alias("n"))
-    rank = size.withColumn("rank", F.row_number().over(Window.partitionBy("year").orderBy(F.desc("n"), "src"))).withColumn("last", F.count("*").over(Window.partitionBy("year")))
+    last = size.groupBy("year").agg(F.count("*").alias("last"))
+    rank = size.withColumn("rank", F.row_number().over(Window.partitionBy("year").orderBy(F.desc("n"), "src"))).join(F.broadcast(last), "year")
     spread = pairs.join(rank, ["year", "src"]).select("year", "dst", "last", F.explode(F.sequence(F.greatest(F.lit(1), F.col("rank") - width + 1), F.col("rank"))).alias("rank"))
     return spread.where(F.col("rank") + width - 1 <= F.col("last")).groupBy("year", "rank").agg(F.countDistinct("dst").alias("count"))

@@ -76,10 +76,10 @@ def _(v, s):
     return v("lineitem").select(normalize.reach_label(F.col("l_linenumber"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("label")).distinct()
 
 
-@query("f12_safe_average", "SELECT l_orderkey, round(COALESCE(sum(l_extendedprice) / nullif(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity END), 0), 0), 2) AS average FROM lineitem GROUP BY 1")
+@query("f12_safe_average", "SELECT l_orderkey, round(COALESCE(sum(l_quantity) / nullif(count(CASE WHEN l_returnflag = 'R' THEN 1 END), 0), 0), 6) AS average FROM lineitem GROUP BY 1")
 def _(v, s):
-    t = v("lineitem").groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("a"), F.coalesce(F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity"))), F.lit(0.0)).alias("b"))
-    return t.select("l_orderkey", F.round(normalize.average(F.col("a"), F.col("b")), 2).alias("average"))
+    t = v("lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("a"), F.count_if(F.col("l_returnflag") == "R").alias("b"))
+    return t.select("l_orderkey", F.round(normalize.average(F.col("a"), F.col("b")), 6).alias("average"))
 
 
 # Changes
@@ -283,10 +283,7 @@ def _(v, s):
 
 @query("r15_owner_ranking", "SELECT name AS owner, rank FROM ranking WHERE rank <= 20")
 def _(v, s):
-    from pyspark.sql import Window
-
-    top = closure.ranked(closure.owner_reach(closure.reach(v("edges")), v("owned")), "owner", top=20)
-    return top.select("owner", F.row_number().over(Window.orderBy(F.desc("count"), "owner")).cast("long").alias("rank"))
+    return closure.positions(closure.owner_reach(closure.reach(v("edges")), v("owned")), "owner", "owner").where("rank <= 20")
 
 
 @query("r17_windowed_reach", "SELECT 2000 AS year, a.rank, count(DISTINCT d.dst) AS count FROM package_ranking a JOIN package_ranking b ON b.rank BETWEEN a.rank AND a.rank + 9 JOIN dependents d ON d.src = b.name WHERE a.rank + 9 <= (SELECT max(rank) FROM package_ranking) GROUP BY 1, 2")
@@ -303,9 +300,7 @@ def _owner_pairs(v):
 
 
 def _ranks(counts, name):
-    from pyspark.sql import Window
-
-    return counts.select(F.col(name).alias("name"), F.row_number().over(Window.orderBy(F.desc("count"), name)).cast("long").alias("rank"))
+    return closure.positions(counts, name)
 
 
 @query("g1_cover_along", "SELECT r.rank, r.name, (SELECT count(*) FROM (SELECT d.dst FROM owned o JOIN dependents d ON d.src = o.package JOIN ranking x ON x.name = o.owner GROUP BY d.dst HAVING min(x.rank) = r.rank)) AS new, (SELECT count(*) FROM (SELECT d.dst FROM owned o JOIN dependents d ON d.src = o.package JOIN ranking x ON x.name = o.owner GROUP BY d.dst HAVING min(x.rank) <= r.rank)) AS total FROM ranking r")
