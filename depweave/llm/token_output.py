@@ -217,6 +217,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int = 0, doc_id: st
                 total += len(ids) + 1
         if names:
             yield close()
+        gc.enable()  # the worker may go on to other tasks
 
     return rows.mapInArrow(files, FILES)
 
