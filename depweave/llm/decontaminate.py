@@ -110,13 +110,13 @@ def hits(words: Words, index: Index, window: int, k: int) -> tuple[np.ndarray, d
     row = np.repeat(np.arange(len(words.off) - 1), np.diff(words.off))
     pos, h = winnow(words, window, k)
     seen = among(h, index.keys)
-    done: set[tuple[int, int]] = set()
+    done: set[tuple[int, int, int]] = set()  # by row too: an item cut over two rows has one diagonal in both
     for p, x in zip(pos[seen].tolist(), h[seen].tolist(), strict=True):
         r = int(row[p])
         for item, q in index.at[x]:
-            if (item, p - q) in done:
+            if (r, item, p - q) in done:
                 continue
-            done.add((item, p - q))
+            done.add((r, item, p - q))
             a = max(p - q, int(words.off[r]))  # extend the hit along its diagonal
             b = min(p - q + int(index.n[item]), int(words.off[r + 1]))
             o = int(index.words.off[item]) + a - (p - q)

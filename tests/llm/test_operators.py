@@ -135,6 +135,16 @@ def test_decontaminate(spark, docs, empty, limit):
     assert decontaminate.decontaminate(empty, bench, broadcast_bytes=limit).count() == 0
 
 
+@pytest.mark.parametrize("limit", [1 << 20, -1])
+def test_decontaminate_item_cut_over_two_rows(spark, limit):
+    item = [f"q{i}" for i in range(50)]
+    chunks = [(1, "a b c " + " ".join(item[:25])), (2, " ".join(item[25:]) + " d e")]
+    bench = spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")
+    out = decontaminate.decontaminate(spark.createDataFrame(chunks, "doc_id long, text string").coalesce(1), bench, broadcast_bytes=limit)
+    digest = hashlib.sha256(b"9").hexdigest()
+    assert rows(out.drop("text")) == [(1, 28, 25, 1, digest, True), (2, 27, 25, 1, digest, True)]
+
+
 def test_language(spark, docs, empty):
     net = language.network(["a", "b", "c"], hidden=3)
     for name in ("read", "recur"):
