@@ -126,8 +126,8 @@ class Words:
     """Byte-level BPE by the tokenizers library, remembering the ids of words.
 
     The tokenizer's pattern parts a text into words that it encodes on their own. Texts of plain Latin
-    characters are parted here, and the library's model gets each new word once; any other text goes
-    to the library whole.
+    characters are parted here, and the library's model gets each new word once; any other text, and one
+    that holds an added token, goes to the library whole.
     """
 
     plain = re.compile(r"[^\x20-\x7e\t\n\rÀ-ÖØ-öø-ɏ]")
@@ -138,7 +138,7 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         # The byte-level alphabet: printable bytes stand for themselves, the others for letters from 256 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [x for x in range(256) if x not in shown]
@@ -171,7 +171,7 @@ class Words:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text."""
-        if self.plain.search(text):
+        if self.plain.search(text) or any(x in text for x in self.added):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
         if len(self.at) > MEMO:
             self.clear()

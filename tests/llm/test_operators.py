@@ -270,6 +270,20 @@ def test_token_output(docs, empty):
     assert token_output.tokens(empty, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_token_output_as_the_library_gives_it(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    fresh, texts = Tokenizer.from_file(path), ["end <|endoftext|> start", "plain words", "<|endoftext|>", "a<|endoftext|><|endoftext|>中", "<|endoftext |>", None]
+    want, start = [], 0
+    for i, t in enumerate(texts):
+        ids = [*fresh.encode(t or "", add_special_tokens=False).ids, 0]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert fresh.encode(texts[0], add_special_tokens=False).ids == [437, 220, 50256, 923]
+    assert rows(token_output.tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path)) == want
+
+
 def test_patched_blocks_and_words():
     r = np.random.default_rng(0)
     for n in (0, 1, 255, 256, 257, 3000):
