@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from depweave.llm import decontaminate, language, pieces, simhash, suffix_dedup
+from depweave.llm import decontaminate, language, near_copies, pieces, suffix_dedup
 from depweave.llm._common import cut
 
 #: Below this pooled probability a document is in no language for sure.
@@ -23,8 +23,8 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id of each group; of rows that repeat it, one."""
-    found = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """Keeps the document of least doc_id of each group of near copies; of rows that repeat it, one."""
+    found = near_copies.near_copies(docs).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(found, "doc_id").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_n = 1")
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 

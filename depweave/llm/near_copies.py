@@ -1,0 +1,105 @@
+"""Near copies by exact similarity: documents of which the sets of word shingles are alike.
+
+Documents of equal sets are one node. Of every other set a prefix is kept: as many shingles as two sets of
+at least LIKENESS can't both miss, in one order of all shingles (rare first, by a table of counts of a fixed
+size), so every such pair shares a shingle of both prefixes. Candidates are compared over their whole sets,
+and components are made of the links that pass.
+
+Defined cases: texts of fewer words than a shingle are one shingle; texts without words are copies of each
+other; a null doc_id has no part; rows that repeat a doc_id are one node; an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ._common import cut, gram_hashes, pieces, session, span_hashes, text_of, view, word_spans
+from .simhash import components
+
+WORDS = 5
+#: Likeness in per cent: shared shingles of all shingles of both sets.
+LIKENESS = 80
+#: Bits of a cell in the table of counts.
+COUNTS = 18
+
+#: A-Z in lower case.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def shingles(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
+    """The distinct shingle hashes of each text, ascending."""
+    data, off = view(texts)
+    data = LOWER[data]
+    starts, ends, at = word_spans(data, off)
+    hashes = span_hashes(data, starts, ends)
+    grams = gram_hashes(hashes, words)
+    for a, b in zip(at.tolist(), at[1:].tolist(), strict=False):
+        yield np.unique(grams[a : b - words + 1] if b - a >= words else gram_hashes(hashes[a:b], b - a) if b > a else hashes[:0])
+
+
+def prefix(n: int, likeness: int = LIKENESS) -> int:
+    """How many of n shingles a set as alike as that can't all miss."""
+    return n - -(-likeness * n // 100) + 1
+
+
+def near_copies(docs: DataFrame, words: int = WORDS, likeness: int = LIKENESS) -> DataFrame:
+    """doc_id and component_id (the least doc_id) of every row of docs(doc_id, text) with a doc_id."""
+    spark = session(docs)
+    base = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
+    cell = np.uint64((1 << COUNTS) - 1)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[bytes]]]:
+        for b in pieces(batches, "text"):
+            sets = list(shingles(b["text"], words))
+            yield b, sets, [hashlib.md5(s.tobytes()).digest() for s in sets]
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, _, digest in each(batches):
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(digest, pa.binary())], ["doc_id", "set"])
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << COUNTS, np.int64)
+        for _, sets, _ in each(batches):
+            n += np.bincount((np.concatenate(sets) & cell).astype(np.int64), minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["cell", "n"])
+
+    rows = cut(base.mapInArrow(names, "doc_id long, set binary"))
+    table = np.zeros(1 << COUNTS, np.int64)
+    found = base.mapInArrow(counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # a table of a fixed size
+    table[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    known = spark.sparkContext.broadcast(table)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets, digest in each(batches):
+            kept = [s[np.lexsort((s, known.value[(s & cell).astype(np.int64)]))][: prefix(len(s), likeness)] if len(s) else s for s in sets]
+            at = np.repeat(np.arange(len(sets)), list(map(len, kept)))
+            n = np.array(list(map(len, sets)), np.int64)[at]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kept).view(np.int64)), pa.array(digest, pa.binary()).take(pa.array(at)), pa.array(n)], ["h", "set", "n"])
+
+    def wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets, digest in each(batches):
+            off = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(sets).view(np.int64)))], ["set", "all"])
+
+    least = cut(rows.groupBy("set").agg(F.min("doc_id").alias("id")))
+    kept = cut(base.mapInArrow(prefixes, "h long, set binary, n long").distinct())
+    a, b = (kept.select("h", F.col("set").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    pairs = cut(a.join(b, "h").where((F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= likeness * F.greatest("na", "nb"))).select("a", "b").distinct())
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(least, "set").select(F.col("id").alias("doc_id")).distinct()
+    whole = cut(base.join(asked, "doc_id", "left_semi").mapInArrow(wholes, "set binary, all array<long>").dropDuplicates(["set"]))
+    x, y = (whole.select(F.col("set").alias(k), F.col("all").alias(f"all{k}")) for k in "ab")
+    shared = F.size(F.array_intersect("alla", "allb"))
+    near = pairs.join(x, "a").join(y, "b").where(100 * shared >= likeness * (F.size("alla") + F.size("allb") - shared)).select("a", "b")
+    near = near.join(least.select(F.col("set").alias("a"), F.col("id").alias("ia")), "a").join(least.select(F.col("set").alias("b"), F.col("id").alias("ib")), "b")
+    # a doc_id with several texts joins their sets
+    several = rows.join(least, "set").where("doc_id <> id").select(F.col("doc_id").alias("ia"), F.col("id").alias("ib"))
+    joined = components(near.select("ia", "ib").unionByName(several).select(F.col("ia").alias("a"), F.col("ib").alias("b")))
+    return rows.select("doc_id").join(joined.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))

@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 import xxhash
 
-from depweave.llm import decontaminate, fingerprint, language, pieces, quotation, sharding, simhash, substring_dedup, suffix_dedup, token_output
+from depweave.llm import decontaminate, fingerprint, language, near_copies, pieces, quotation, sharding, simhash, substring_dedup, suffix_dedup, token_output
 from depweave.llm.token_output import pack, unpack
 
 R = random.Random(5)
@@ -372,3 +372,31 @@ def test_pipeline(spark):
     empty = spark.createDataFrame([], docs.schema)
     for _, stage in c.STAGES:
         assert stage(spark, empty, d).count() == 0
+
+
+def test_near_copies(spark):
+    import corpus_pipeline as c
+
+    rr = random.Random(9)
+    base, rows_ = [f"v{i}" for i in range(200)], []
+    for _ in range(40):
+        t = list(base) if rr.random() < 0.5 else [rr.choice(WORDS) for _ in range(rr.randrange(1, 90))]
+        for _ in range(rr.randrange(6)):
+            t[rr.randrange(len(t))] = rr.choice("xyz")
+        rows_.append((len(rows_) + 5, " ".join(t)))
+    rows_ += [(100, "One two"), (101, "one  TWO"), (102, "one three"), (103, ""), (104, None), (105, rows_[3][1])]
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = [grams(t) for _, t in rows_], list(range(len(rows_)))
+    for i in range(len(rows_)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root = [root[j] if x == root[i] else x for x in root]
+    want = [(i, min(k for (k, _), y in zip(rows_, root) if y == x)) for (i, _), x in zip(rows_, root)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string").repartition(3)
+    assert rows(near_copies.near_copies(docs)) == sorted(want, key=repr)
+    kept = sorted(r.doc_id for r in c.drop_near_duplicates(spark, docs, "").collect())
+    assert kept == sorted(i for i, k in want if i == k) and len(kept) < len(rows_) - 4
