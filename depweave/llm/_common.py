@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
+import re
+import sys
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -26,31 +26,69 @@ def session(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
+def unused(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, with as many underscores after them as keep them apart from df's columns."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where that setting is absent (tests, one machine) a temporary folder is used.
+    Where that setting is absent a temporary folder serves a session of one process (tests); on a cluster, whose
+    executors would each write to their own disk, it is an error.
     """
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    top = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not top:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = tempfile.mkdtemp(prefix="depweave-")
-        spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+        context.setCheckpointDir(top)
+    return f"{top.rstrip('/')}/depweave-{context.applicationId}/{uuid.uuid4().hex}"
+
 
+#: Removes a query's shuffle files when the query ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def cut(df: DataFrame) -> DataFrame:
+
+def cut(df: DataFrame, *done: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends, a lost executor costs nothing.
 
-    Shuffle files of the plan behind it are released.
+    The write's shuffle files go when it ends. `done`: results of cut() that nothing needs from here on; their
+    files are deleted. What is left lies in one folder of the application.
     """
     spark, path = session(df), scratch(session(df))
-    df.write.option("compression", "zstd").parquet(path)
-    del df
-    for _ in range(2):  # the cleaner drops shuffle files some time after their plan is collected
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
-    return spark.read.parquet(path)
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before) if before is not None else spark.conf.unset(CLEAN)
+    drop(*done)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def drop(*done: DataFrame) -> None:
+    """Deletes the files of results of cut()."""
+    for df in done:
+        if path := getattr(df, "cut_path", None):
+            jvm = session(df).sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(session(df).sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def worker_cache() -> dict:
+    """What a Python worker keeps between its tasks. Code travels by value, so a module's globals don't last."""
+    return sys.__dict__.setdefault("_depweave_cache", {})
 
 
 def size_bytes(df: DataFrame, text: str = "text") -> int:
@@ -156,21 +194,49 @@ def word_spans(data: np.ndarray, off: np.ndarray, gap: np.ndarray = SPACE) -> tu
     return starts, ends, np.searchsorted(starts, off)
 
 
-def ranged(docs: DataFrame, parts: int, key: str = "doc_id") -> DataFrame:
-    """Adds int column pid: ranges of ascending key (null: lowest) with about equal row counts.
+#: Slices of a range that are weighed apart, and quantiles that one aggregate is asked for.
+SLICES, ASKED = 8, 2048
+
 
-    The split points come from one approximate quantile query; parts - 1 numbers reach the driver.
+def ranged(docs: DataFrame, parts: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Adds int column pid: ranges of ascending key (null: lowest) of about equal bytes of text.
+
+    Approximate quantiles cut the keys into SLICES times as many slices as ranges, of about equal counts (in two
+    levels where they are many); the slices' bytes are summed, and neighbouring slices join to ranges; a slice of
+    very long texts is cut again. SLICES
+    numbers a range reach the driver (Spark's own range partitioner takes a hundred keys a range there).
     """
     low = -(1 << 63)
     value = F.coalesce(F.col(key).cast("long"), F.lit(low))
-    splits: list[int] = []
-    if parts > 1:
-        q = [i / parts for i in range(1, parts)]
-        splits = docs.agg(F.percentile_approx(value, q, max(10_000, 20 * parts))).first()[0] or []
-    at = np.array(sorted(set(splits)), np.int64)
-
-    @F.pandas_udf("int")
-    def pid(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(at, ids.to_numpy(), side="left").astype(np.int32))
 
-    return docs.withColumn("pid", pid(value))
+    def place(at: np.ndarray) -> Column:
+        @F.pandas_udf("int")
+        def pid(ids: pd.Series) -> pd.Series:
+            return pd.Series(np.searchsorted(at, ids.to_numpy(), side="left").astype(np.int32))
+
+        return pid(value)
+
+    def quantiles(n: int) -> Column:
+        return F.percentile_approx(value, [i / n for i in range(1, n)], max(10_000, 20 * n)).alias("q")
+
+    if parts < 2:
+        return docs.withColumn("pid", F.lit(0))
+    n = min(ASKED, SLICES * parts)
+    splits = np.unique(np.array(docs.agg(quantiles(n)).first()[0] or [], np.int64))
+    if (more := -(-SLICES * parts // n)) > 1:
+        inner = docs.groupBy(place(splits).alias("slice")).agg(quantiles(more)).collect()
+        splits = np.unique(np.concatenate([splits, *[np.array(r["q"] or [], np.int64) for r in inner]]))
+    size = np.zeros(len(splits) + 1)
+    for r in docs.groupBy(place(splits).alias("slice")).agg(F.sum(F.octet_length(text) + 64).alias("n")).collect():
+        size[r["slice"]] = r["n"] or 64
+    # A slice that alone would fill half a range is cut again, by counts.
+    share = size.sum() / parts
+    if len(heavy := np.flatnonzero(size > share / 2)):
+        k = int(min(256, np.ceil(4 * size.max() / share)))
+        inner = docs.where(place(splits).isin(heavy.tolist())).groupBy(place(splits).alias("slice")).agg(quantiles(k)).collect() if k > 1 else []
+        extra = {r["slice"]: np.setdiff1d(np.array(r["q"] or [], np.int64), splits) for r in inner}
+        size = np.concatenate([np.full(len(extra.get(i, ())) + 1, x / (len(extra.get(i, ())) + 1)) for i, x in enumerate(size.tolist())])
+        splits = np.unique(np.concatenate([splits, *extra.values()]))
+    ends = np.cumsum(size)
+    whole = np.minimum(parts - 1, ((ends - size / 2) * parts / max(1.0, ends[-1])).astype(np.int64))
+    return docs.withColumn("pid", place(splits[whole[1:] != whole[:-1]]))

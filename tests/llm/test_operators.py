@@ -11,6 +11,7 @@ import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
+from tokenizers import Tokenizer
 
 from depweave.llm import decontaminate, fingerprint, language, near_copies, pieces, quotation, sharding, simhash, substring_dedup, suffix_dedup, token_output
 from depweave.llm.token_output import pack, unpack
@@ -259,11 +260,11 @@ def test_simhash_links_keep_every_connection(spark, bits):
 
 def test_token_output(docs, empty):
     out = token_output.tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    words = token_output.Words(public_tokenizers.path("byte_bpe_50k.json"))
+    fresh = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     want, start = [], 0
     for r in order:
-        ids = [*words.tok.encode(r[1] or "", add_special_tokens=False).ids, 0]
+        ids = [*fresh.encode(r[1] or "", add_special_tokens=False).ids, 0]
         want.append((r[0], start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert rows(out) == sorted(want, key=repr)
@@ -271,8 +272,6 @@ def test_token_output(docs, empty):
 
 
 def test_token_output_as_the_library_gives_it(spark):
-    from tokenizers import Tokenizer
-
     path = public_tokenizers.path("byte_bpe_50k.json")
     fresh, texts = Tokenizer.from_file(path), ["end <|endoftext|> start", "plain words", "<|endoftext|>", "a<|endoftext|><|endoftext|>中", "<|endoftext |>", None]
     want, start = [], 0
@@ -292,11 +291,15 @@ def test_patched_blocks_and_words():
             assert (unpack(pack(x)) == x).all()
             x = np.where(r.random(n) < 0.05, x, x % 7).astype(np.uint32)
             assert (unpack(pack(x)) == x).all()
-    words = token_output.Words(public_tokenizers.path("byte_bpe_50k.json"))
-    rr = random.Random(1)
-    for _ in range(500):
-        t = "".join(rr.choice("ab CD  \n\t'sé12_.,!ß中") for _ in range(rr.randrange(40)))
-        assert words.encode(t).tolist() == words.tok.encode(t, add_special_tokens=False).ids
+    fresh = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    words, rr = token_output.Words(public_tokenizers.path("byte_bpe_50k.json")), random.Random(1)
+    texts = ["".join(rr.choice("ab CD  \n\t'sréevmld12_.,!ß中") for _ in range(rr.randrange(40))) for _ in range(800)]
+    texts += ["don't we'll 'tis\n's", "x " * 3000, "", "<|endoftext|>a"]
+    for n in (1, 50):
+        for k in range(0, len(texts), n):
+            ids, sizes = words.encode_all(texts[k : k + n])
+            want = [fresh.encode(t, add_special_tokens=False).ids for t in texts[k : k + n]]
+            assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
 
 
 def test_sentencepiece(docs, empty):
