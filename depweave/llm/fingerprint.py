@@ -1,14 +1,17 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A paragraph is a line, or a sentence of one (after ". "); equal ones are told apart by their count so
-far. Its 64-bit digest goes into one cell in each third of a sketch; a cell holds a count, the sum of
+A paragraph ends at a line's end, after a sentence mark (also wide ones), and where the content says so (a hash
+of the last eight bytes), some 32 bytes apart: a text of any kind beyond a few words has several. Equal ones are
+told apart by their count so far. A paragraph's 64-bit digest goes into one cell in each third of a sketch; a cell holds a count, the sum of
 its digests and the sum of their check values. Two sketches subtract cell by cell; peeling cells that
 hold one digest recovers what differs. Where peeling sticks, both texts get a sketch four times larger,
 until it ends; so the likeness (shared by all paragraphs) is exact.
 
 Defined cases: a null or empty text has no paragraph; two such texts are alike (1.0); equal texts have
 equal fingerprints; a single row is its own next document; rows that repeat are kept and follow each
-other; a null doc_id comes last in descending order; an empty table gives no rows; other columns are ignored.
+other, equal doc_ids in descending order of a hash of their texts; a null doc_id comes last in descending order; an
+empty table gives no rows; other columns are ignored, whatever their names; a very long text is read in one piece,
+in about sixty times its size of memory.
 """
 
 from __future__ import annotations
@@ -18,29 +21,62 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import mix, parts_for, pieces, ranged, session, text_of
+from ._common import MIX1, SPACE, gram_hashes, mix, parts_for, pieces, ranged, span_hashes, text_of
 
+#: Bytes that a content boundary looks at, and how far such boundaries are apart on average.
+GRAM, AVERAGE = 8, 32
+#: Bytes that end a paragraph: a line's end, and . ! ? ; in UTF-8 also the wide 。！？；
+MARK = np.zeros(256, bool)
+MARK[list(b"\n\r.!?;")] = True
+WIDE = ["。".encode(), "！".encode(), "？".encode(), "；".encode()]
+#: Text bytes of a range of documents.
+PART_BYTES = 128 << 20
 CELLS = 12
 GROWTH = 4
 CHECK = np.uint64(0xD6E8FEB86659FD93)
 SEEDS = tuple(np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
 
-def digests(text: str) -> np.ndarray:
-    """64-bit digests of the paragraphs, distinct within the text."""
-    import xxhash
-
-    seen: dict[int, int] = {}
-    out = []
-    for p in text.replace(". ", ".\n").split("\n"):
-        if p := p.strip():
-            h = xxhash.xxh64_intdigest(p.encode())
-            n = seen[h] = seen.get(h, 0) + 1
-            out.append((h + n * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-    return np.array(out, np.uint64)
+def paragraphs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, starts and ends of all paragraphs of texts (bytes and offsets), without white space at their ends."""
+    none = np.zeros(0, np.int64)
+    if not len(data):
+        return none, none, none
+    last = np.zeros(len(data), bool)  # the last byte of a paragraph
+    last[off[1:][np.diff(off) > 0] - 1] = True
+    last |= MARK[data]
+    grams = gram_hashes(data.astype(np.uint64) + np.uint64(1), GRAM)
+    at = np.flatnonzero(grams % np.uint64(AVERAGE) == 0)
+    inside = np.searchsorted(off, at, side="right") == np.searchsorted(off, at + GRAM - 1, side="right")  # in one text
+    last[at[inside] + GRAM - 1] = True
+    for mark in WIDE:
+        hit = (data[:-2] == mark[0]) & (data[1:-1] == mark[1]) & (data[2:] == mark[2])
+        last[np.flatnonzero(hit) + 2] = True
+    ends = np.flatnonzero(last) + 1
+    starts = np.concatenate([[0], ends[:-1]])
+    ink = np.flatnonzero(~SPACE[data])
+    first, after = np.searchsorted(ink, starts), np.searchsorted(ink, ends)
+    some = after > first  # others are white space alone
+    starts, ends = ink[first[some]], ink[after[some] - 1] + 1
+    return np.searchsorted(off, starts, side="right") - 1, starts, ends
+
+
+def digests(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and 64-bit digests of the texts' paragraphs, distinct within a text; rows ascend."""
+    raw = [t.encode() for t in texts]
+    data, off = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    row, starts, ends = paragraphs(data, off)
+    if not len(row):
+        return row, np.zeros(0, np.uint64)
+    h = span_hashes(data, starts, ends)
+    order = np.lexsort((h, row))
+    same = np.concatenate([[False], (h[order[1:]] == h[order[:-1]]) & (row[order[1:]] == row[order[:-1]])])
+    at = np.arange(len(h))
+    n = at - np.maximum.accumulate(np.where(same, 0, at))  # equal ones before it in its text
+    return row[order], mix(h[order] + (n + 1).astype(np.uint64) * MIX1)
 
 
 def _places(keys: np.ndarray, cells: int) -> np.ndarray:
@@ -83,31 +119,29 @@ def peel(count: np.ndarray, total: np.ndarray, check: np.ndarray, rows: int, cel
     return found, ~left.reshape(rows, cells).any(axis=1)
 
 
-def differing(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """How many digests differ between a[i] and b[i]; larger sketches where peeling fails."""
-    out = np.zeros(len(a), np.int64)
-    todo, cells = np.arange(len(a)), CELLS
+def differing(n: int, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many digests (rows, keys) differ between a and b in each of n rows; larger sketches where peeling fails."""
+    out, todo, cells = np.zeros(n, np.int64), np.arange(n), CELLS
     while len(todo):
-        keys = [np.concatenate([x[i] for i in todo.tolist()]) for x in (a, b)]
-        rows = [np.repeat(np.arange(len(todo)), [len(x[i]) for i in todo.tolist()]) for x in (a, b)]
-        one, two = (sketch(k, r, len(todo), cells) for k, r in zip(keys, rows, strict=True))
+        one, two = (sketch(k, r, len(todo), cells) for r, k in (a, b))
         found, done = peel(*(x - y for x, y in zip(one, two, strict=True)), len(todo), cells)
         out[todo[done]] = found[done]
+        number = np.cumsum(~done) - 1
+        a, b = ((number[r[~done[r]]], k[~done[r]]) for r, k in (a, b))
         todo, cells = todo[~done], cells * GROWTH
     return out
 
 
-def likeness(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    size = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], np.int64)
-    d = differing(a, b)
+def likeness(n: int, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    size = np.bincount(a[0], minlength=n) + np.bincount(b[0], minlength=n)
+    d = differing(n, a, b)
     return np.where(size > 0, (size - d) / np.maximum(1, size + d), 1.0)
 
 
-def fingerprint(keys: list[np.ndarray]) -> list[str]:
-    """The smallest sketches, as hexadecimal text: counts, sums, check sums' low half."""
-    rows = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-    c, t, k = sketch(np.concatenate([*keys, np.zeros(0, np.uint64)]), rows, len(keys), CELLS)
-    parts = [x.reshape(len(keys), -1) for x in (c.astype("<i4").view(np.uint8), t.astype("<u8").view(np.uint8), k.astype("<u8").astype("<u4").view(np.uint8))]
+def fingerprint(n: int, rows: np.ndarray, keys: np.ndarray) -> list[str]:
+    """The smallest sketches of n rows, as hexadecimal text: counts, sums, check sums' low half."""
+    c, t, k = sketch(keys, rows, n, CELLS)
+    parts = [x.reshape(n, -1) for x in (c.astype("<i4").view(np.uint8), t.astype("<u8").view(np.uint8), k.astype("<u8").astype("<u4").view(np.uint8))]
     return [x.tobytes().hex() for x in np.concatenate(parts, axis=1)]
 
 
@@ -116,35 +150,38 @@ OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edit
 
 def _compare(rows: list[tuple[int | None, str]], after: str) -> pa.RecordBatch:
     """Results of rows in order; `after` is the text that follows the last."""
-    texts = [t for _, t in rows]
+    n, texts = len(rows), [t for _, t in rows]
     nexts = [*texts[1:], after]
-    edited = [t[: len(t) - len(t) // 3] + n[: len(t) // 3] for t, n in zip(texts, nexts, strict=True)]
-    keys, changed = [digests(t) for t in texts], [digests(t) for t in edited]
-    ahead = [*keys[1:], digests(after)]
+    edited = [t[: len(t) - len(t) // 3] + x[: len(t) // 3] for t, x in zip(texts, nexts, strict=True)]
+    every, changed = digests([*texts, after]), digests(edited)
+    own = every[0] < n
+    keys = every[0][own], every[1][own]
+    ahead = every[0][every[0] > 0] - 1, every[1][every[0] > 0]
     cols = [
         pa.array([i for i, _ in rows], pa.int64()), pa.array(list(map(len, texts)), pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
-        pa.array(fingerprint(keys)), pa.array(fingerprint(changed)), pa.array(likeness(keys, changed)), pa.array(likeness(keys, ahead)),
+        pa.array(fingerprint(n, *keys)), pa.array(fingerprint(n, *changed)), pa.array(likeness(n, keys, changed)), pa.array(likeness(n, keys, ahead)),
     ]
     return pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in OUT.split(", ")])
 
 
-def fingerprints(docs: DataFrame, part_bytes: int = 4 << 20) -> DataFrame:
+def fingerprints(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """Fingerprints of every row of docs(doc_id, text) and of its edited text, with likenesses.
 
     Documents are range partitioned by doc_id, once; the first document of a range is also sent to the
-    range before it, so that every document meets the next. One id a range reaches the driver.
+    range before it, so that every document meets the next. The ranges' heads are one row of some 40 bytes a range
+    (of PART_BYTES at least): few enough for one window and a broadcast.
     """
-    spark = session(docs)
     base = docs.select("doc_id", text_of("text").alias("text")).withColumn("sum", F.xxhash64("text"))
     parts = parts_for(base, part_bytes)
     placed = ranged(base, parts).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    heads = sorted(((r.pid, r.h.key, r.h.sum) for r in placed.groupBy("pid").agg(F.max(F.struct("key", "sum")).alias("h")).collect()), reverse=True)
+    heads = placed.groupBy("pid").agg(F.max(F.struct("key", "sum")).alias("h"))
     # In descending order the head of a range follows the range above it; the very first follows the last.
-    sent = [(p, k, s, heads[i - 1][0], int(i == 0)) for i, (p, k, s) in enumerate(heads)]
-    also = F.broadcast(spark.createDataFrame(sent, "pid int, key long, sum long, to int, wrap int"))
+    above = F.lead("pid").over(Window.orderBy("pid"))
+    lowest = F.min("pid").over(Window.partitionBy())
+    also = F.broadcast(heads.select("pid", "h.key", "h.sum", F.coalesce(above, lowest).alias("to"), above.isNull().cast("int").alias("wrap")))
     own = F.array(F.struct(F.col("pid").alias("at"), F.lit(0).alias("guest")))
     both = placed.join(also, ["pid", "key", "sum"], "left").select("doc_id", "text", "sum", "key", F.explode(F.when(F.col("to").isNull(), own).otherwise(F.concat(own, F.array(F.struct(F.col("to").alias("at"), (F.col("wrap") + 1).alias("guest")))))).alias("x"))
-    rows = both.select("x.at", "x.guest", "doc_id", "text", "key", "sum").repartition(parts, "at").sortWithinPartitions("at", F.col("guest") > 0, F.desc("key"), F.desc("sum"))
+    rows = both.select("x.at", "x.guest", "doc_id", "text", "key", "sum").repartitionById(parts, "at").sortWithinPartitions("at", F.col("guest") > 0, F.desc("key"), F.desc("sum"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int | None, str]] = []

@@ -41,4 +41,25 @@ parts AS (SELECT d.rid, string_agg(substring(h, 2 * from_ - 1, 2 * (a - from_)),
 SELECT doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substring(h, 2 * coalesce(tail, 1) - 1))) AS kept_sha256 FROM d LEFT JOIN parts USING (rid)
 """
 
-ORACLE = {"op1_substring_dedup": WORDS_50, "op2_decontaminate": LEAKS, "op4_suffix_dedup": BYTES_50}
+_MARKS = "'^[ \\t]*(?:>[ \\t]*)+'"
+_QUOTED = "array_to_string(list_transform(string_split({0}.text, chr(10)), lambda x: '{1} ' || x), chr(10)) || chr(10)"
+THREADS = f"""
+WITH RECURSIVE plain AS (SELECT conv_id, turn, min(coalesce(text, '')) AS text FROM conversations GROUP BY 1, 2),
+messages AS (
+  SELECT row_number() OVER () AS rid, c.conv_id, c.turn, c.role,
+    CASE WHEN c.turn % 4 = 3 THEN coalesce({_QUOTED.format('g', '>>')}, '') ELSE '' END
+    || CASE WHEN c.turn % 4 <> 0 THEN coalesce({_QUOTED.format('p', '>')}, '') ELSE '' END || coalesce(c.text, '') AS text
+  FROM conversations c LEFT JOIN plain p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1 LEFT JOIN plain g ON g.conv_id = c.conv_id AND g.turn = c.turn - 2),
+split AS (SELECT rid, conv_id, turn, x.raw, x.i FROM (SELECT *, string_split_regex(text, '\\r?\\n') AS w FROM messages), LATERAL (SELECT unnest(w) AS raw, unnest(range(len(w))) AS i) x),
+lines AS (SELECT *, length(regexp_replace(regexp_extract(raw, {_MARKS}), '[^>]', '', 'g')) AS depth, trim(regexp_replace(lower(regexp_replace(raw, {_MARKS}, '')), '\\s+', ' ', 'g')) AS norm FROM split),
+first_ AS (SELECT conv_id, norm, min(turn) AS source FROM lines WHERE depth = 0 AND norm <> '' GROUP BY 1, 2),
+votes AS (SELECT l.conv_id, l.turn, l.depth, f.source, count(*) AS n FROM lines l JOIN first_ f ON f.conv_id = l.conv_id AND f.norm = l.norm WHERE l.depth > 0 AND f.source < l.turn GROUP BY 1, 2, 3, 4),
+parents AS (SELECT conv_id, turn, source AS reply_to FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY depth, n DESC, source DESC) AS r FROM votes) WHERE r = 1),
+tree AS (SELECT conv_id, turn, reply_to AS up, 1 AS depth FROM parents UNION ALL SELECT t.conv_id, t.turn, p.reply_to, t.depth + 1 FROM tree t JOIN parents p ON p.conv_id = t.conv_id AND p.turn = t.up),
+tops AS (SELECT conv_id, turn, arg_max(up, depth) AS thread, max(depth) AS depth FROM tree GROUP BY 1, 2),
+bodies AS (SELECT rid, trim(coalesce(string_agg(CASE WHEN depth = 0 THEN raw END, chr(10) ORDER BY i), '')) AS text, count(*) FILTER (depth > 0) AS n_quoted, max(depth) AS max_level FROM lines GROUP BY 1)
+SELECT m.conv_id, m.turn, m.role, b.text, b.n_quoted, b.max_level, CAST(p.reply_to AS BIGINT) AS reply_to, CAST(CASE WHEN m.conv_id IS NOT NULL THEN coalesce(t.thread, m.turn) END AS BIGINT) AS thread, CAST(coalesce(t.depth, 0) AS BIGINT) AS depth
+FROM messages m JOIN bodies b USING (rid) LEFT JOIN parents p ON p.conv_id = m.conv_id AND p.turn = m.turn LEFT JOIN tops t ON t.conv_id = m.conv_id AND t.turn = m.turn
+"""
+
+ORACLE = {"op1_substring_dedup": WORDS_50, "op2_decontaminate": LEAKS, "op4_suffix_dedup": BYTES_50, "op6_quotation_linking": THREADS}

@@ -278,7 +278,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int = 0, doc_id: st
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
     parts = parts_for(base, part_bytes)
-    rows = ranged(base, parts).repartition(parts, "pid").sortWithinPartitions("pid", F.col("doc_id").asc_nulls_first(), "text")
+    rows = ranged(base, parts).repartitionById(parts, "pid").sortWithinPartitions("pid", F.col("doc_id").asc_nulls_first(), "text")
     schema = pa.schema([("pid", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("before", pa.int64()), ("n_ids", pa.int64()), ("body", pa.binary())])
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -14,6 +14,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from depweave.llm import decontaminate, fingerprint, language, near_copies, pieces, quotation, sharding, simhash, substring_dedup, suffix_dedup, token_output
+from depweave.llm._common import gram_hashes
 from depweave.llm.token_output import pack, unpack
 
 R = random.Random(5)
@@ -302,32 +303,60 @@ def test_patched_blocks_and_words():
             assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
 
 
-def test_sentencepiece(docs, empty):
+@pytest.mark.parametrize("giant, group", [(500, 4), (1 << 16, 1024)])
+def test_sentencepiece(docs, empty, giant, group):
     path = public_tokenizers.path("piece_bpe_32k.model")
     model = pieces.Model(path)
-    out = pieces.encode(docs, path, ids=True, giant=500, chunk=64)
+    docs = docs.withColumnsRenamed({"source": "sum", "lang": "i", "found": "text_hash"})
+    out = pieces.encode(docs, path, ids=True, giant=giant, chunk=64, group=group)
     got = rows(out.select("doc_id", "text", "ids", "round_trip"))
     want = sorted(((r[0], r[1], model.whole.encode(r[1] or ""), True) for r in ROWS), key=repr)
-    assert got == want and pieces.encode(empty, path).count() == 0
+    assert got == want and pieces.encode(empty, path).count() == 0 and {"sum", "i", "text_hash"} <= set(out.columns)
+
+
+def test_sentencepiece_scan():
+    model = pieces.Model(public_tokenizers.path("piece_bpe_32k.model"))
     rr = random.Random(3)
     parts = ["a", "th", "he", " ", "  ", "▁", "é", "\n", "中", "😀", "the", "ing", "1", "=="]
-    for _ in range(300):
+    for k in range(600):
         t = "".join(rr.choice(parts) for _ in range(rr.randrange(60)))
-        assert pieces.scan(model, t, 17) == model.whole.encode(t)
-
-
-def test_fingerprints(docs, empty):
+        assert pieces.scan(model, t, (17, 5, 2)[k % 3]) == model.whole.encode(t)
+    for t in ("x" * 3000, "=" * 999 + " a" * 500, "ab" * 700, LONG * 3):
+        assert pieces.scan(model, t, 64) == model.whole.encode(t)
+    r = np.random.default_rng(0)
+    for n in (1, 2, 7, 16):
+        m = [np.where(r.random((3, 3)) < 0.6, r.integers(-5, 1, (3, 3)), -np.inf).astype(np.float32) for _ in range(n)]
+        best = m[0]
+        for x in m[1:]:
+            best = pieces.product(best, x)
+        assert (pieces.tree(m)[-1][0] == best).all()
+        if best[0].max() > -np.inf:
+            found = pieces.choose(m)
+            assert sum(x[i, j] for x, (i, j) in zip(m, found)) == best[0].max() and all(a[1] == b[0] for a, b in zip(found, found[1:]))
+
+
+def brute_paragraphs(text):
+    """Byte by byte, by the documented rule."""
+    raw, out, begin = (text or "").encode(), [], 0
+    for i in range(len(raw)):
+        end = i + 1 == len(raw) or raw[i : i + 1] in b"\n\r.!?;" or raw[max(0, i - 2) : i + 1] in [x.encode() for x in "。！？；"]
+        if i >= 7 and not end:
+            end = int(gram_hashes(np.frombuffer(raw[i - 7 : i + 1], np.uint8).astype(np.uint64) + np.uint64(1), 8)[0]) % 32 == 0
+        if end:
+            if p := raw[begin : i + 1].strip(b" \t\n\v\f\r"):
+                out.append(p)
+            begin = i + 1
+    return Counter(out)
+
+
+def test_fingerprints(spark, docs, empty):
     order = sorted(ROWS, key=lambda r: r[0] if r[0] is not None else -(1 << 63), reverse=True)
     out = fingerprint.fingerprints(docs, part_bytes=700).toPandas()
     assert len(out) == len(ROWS)
 
-    def parts(t):
-        return pd.Series([x.strip() for x in (t or "").replace(". ", ".\n").split("\n") if x.strip()], dtype=object).value_counts()
-
     def alike(a, b):
-        a, b = parts(a), parts(b)
-        both = pd.concat([a, b], axis=1).fillna(0)
-        return 1.0 if both.empty else both.min(axis=1).sum() / both.max(axis=1).sum()
+        a, b = brute_paragraphs(a), brute_paragraphs(b)
+        return (a & b).total() / (a | b).total() if a or b else 1.0
 
     ids = [r[0] for r in order]
     for k, r in enumerate(order):
@@ -338,7 +367,24 @@ def test_fingerprints(docs, empty):
         g = out[out.doc_id == r[0]].iloc[0]
         assert g.n_chars == len(t) and g.edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
         assert abs(g.near_edited - alike(t, e)) < 1e-9 and abs(g.near_next - alike(t, n)) < 1e-9
-    assert fingerprint.fingerprints(empty).count() == 0
+    # the repeated doc_id: either order of its two texts, each row judged once
+    again = out[out.doc_id == ROWS[8][0]]
+    assert sorted(again.n_chars) == sorted(len(r[1]) for r in ROWS if r[0] == ROWS[8][0])
+    seen = spark.createDataFrame([(i, t) for i, t in enumerate([LONG, "a", LONG, None, "", "É" * 50])], "doc_id long, text string")
+    f = fingerprint.fingerprints(seen).toPandas().sort_values("doc_id")
+    assert f.fingerprint.iloc[0] == f.fingerprint.iloc[2] and f.fingerprint.iloc[3] == f.fingerprint.iloc[4] and f.fingerprint.nunique() == 4
+    cells = fingerprint.sketch(np.arange(9, dtype=np.uint64), np.zeros(9, np.int64), 1, 12)
+    assert fingerprint.fingerprint(1, np.zeros(9, np.int64), np.arange(9, dtype=np.uint64))[0][:96] == cells[0].astype("<i4").tobytes().hex()
+    alone = fingerprint.fingerprints(seen.where("doc_id = 0")).first()
+    assert alone.near_next == 1.0 and fingerprint.fingerprints(empty).count() == 0
+
+
+def test_fingerprints_part_any_text(spark):
+    """Two thirds of a text are kept by the edit, whatever its marks are."""
+    r = random.Random(4)
+    texts = ["".join(r.choice("abcdefghij ") for _ in range(400)), "".join(chr(r.randrange(0x4E00, 0x4E80)) for _ in range(200)), " ".join(x.upper() + "!!" for x in LONG.split()[:60]), "other " * 50]
+    out = fingerprint.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas()
+    assert (out[out.doc_id < 3].near_edited > 0.35).all() and (out.near_next < 0.1).all()
 
 
 def test_quotation(spark):
@@ -355,10 +401,50 @@ def test_quotation(spark):
     assert see(1, 4) == (0, 0, 1, "Two")
     assert see(2, 0) == (None, 0, 0, "Alone")
     assert got[None, 5].thread is None and got[4, 7].thread == 7
-    assert got[1, 2].path == "000000000000/000000000001/000000000002"
     assert quotation.quote_threads(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def brute_threads(rows_):
+    """Reply and thread of each (conv, turn), message by message."""
+    plain = lambda x: re.sub(r"\s+", " ", re.sub(r"^[ \t]*(?:>[ \t]*)+", "", x).lower()).strip(" ")
+    deep = lambda x: m[0].count(">") if (m := re.match(r"[ \t]*(?:>[ \t]*)+", x)) else 0
+    seen, reply = {}, {}
+    for c, t, text in sorted((r for r in rows_ if None not in r[:2]), key=lambda r: r[:2]):
+        for x in re.split("\r?\n", text or ""):
+            if not deep(x) and plain(x):
+                seen.setdefault((c, plain(x)), t)
+    for c, t, text in rows_:
+        votes = Counter((-deep(x), seen[c, plain(x)]) for x in re.split("\r?\n", text or "") if deep(x) and seen.get((c, plain(x)), t) < t)
+        if votes:
+            reply[c, t] = max((d, n, s) for (d, s), n in votes.items())[2]
+    out = {}
+    for c, t, _ in rows_:
+        top, depth = t, 0
+        while (c, top) in reply:
+            top, depth = reply[c, top], depth + 1
+        out[c, t] = (reply.get((c, t)), top, depth)
+    return out
+
+
+def test_quotation_against_brute_force(spark):
+    r = random.Random(2)
+    rows_ = []
+    for c in range(12):
+        said = []
+        for t in range(r.randrange(1, 14)):
+            lines = []
+            for _ in range(r.randrange(4)):
+                if said:
+                    lines.append("> " * r.randrange(1, 4) + r.choice(said).upper())
+            own = [f"line {r.randrange(30)}  of {c}" for _ in range(r.randrange(3))]
+            said += own
+            rows_.append((c, t, "\n".join(lines + own)))
+    rows_.append((40, 0, "q " * 600_000 + "\n> " + "q " * 5))
+    got = {(x.conv_id, x.turn): (x.reply_to, x.thread, x.depth) for x in quotation.quote_threads(spark.createDataFrame([(c, t, "a", x, 1) for c, t, x in rows_], "conv_id long, turn long, role string, text string, depth int")).collect()}
+    want = brute_threads(rows_)
+    assert got == want and sum(x[0] is not None for x in want.values()) > 25 and max(x[2] for x in want.values()) > 2
+
+
 def test_pipeline(spark):
     import corpus_pipeline as c
 
