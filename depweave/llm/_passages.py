@@ -11,6 +11,11 @@
    covered by windows of smaller documents.
 5. The covered intervals go back to their documents.
 
+Hot anchors, which very many documents hold, have no home: each of their windows goes by its anchor and by a second
+one (the least k-gram by another hash), again by its content alone. Such segments are short, so those of copies are
+equal and merge before the shuffle, while those that differ part over tasks. An anchor that is hot within one batch
+sends its bucket one mark instead of its documents, and is answered at once.
+
 No task gets more than a share of the anchors or the segments of its homes. Broadcasts: none.
 """
 
@@ -18,21 +23,26 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, gram_hashes, mix, parts_for, pieces, span_hashes, text_of, view, word_spans
+from ._common import cut, gram_hashes, mix, parts_for, pieces, span_hashes, text_of, unused, view, word_spans
 
 #: Bits of a position in a chunk; the others hold the leading bits of a hash.
 POS = np.uint64(28)
 POS_MASK = np.uint64((1 << 28) - 1)
+#: Makes another hash of an anchor's.
+SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bytes of segments that a task holds to merge equal ones.
 HELD_BYTES = 8 << 20
 #: Bytes of segments that a kernel gets at once, whole homes apart.
 KERNEL_BYTES = 1 << 20
+#: Text bytes of a partition, and anchors that a bucket sorts at once.
+PART_BYTES, SORTED = 128 << 20, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -44,9 +54,12 @@ class Plan:
     window: int
     k: int
     block: int
+    #: documents of an anchor beyond which it is hot, over all and in one batch
+    hot: int = 256
+    hot_batch: int = 32
     #: kernel(window, segments, least documents, greatest documents) -> function of (segment, doc)
     #: that gives its covered [start, end) units
-    kernel: Callable
+    kernel: Callable = None
 
 
 class Units:
@@ -66,6 +79,15 @@ class Units:
         return b" ".join(self.data[self.starts[a] : self.ends[b - 1]].tobytes().split())
 
 
+def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of every `width` neighbours, by doubling."""
+    size = 1
+    while size * 2 <= width:
+        x = np.minimum(x[:-size], x[size:])
+        size *= 2
+    return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if size < width else x
+
+
 def anchors(units: Units, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, position, first and last window and hash of every anchor; positions count in the batch.
 
@@ -75,14 +97,10 @@ def anchors(units: Units, window: int, k: int) -> tuple[np.ndarray, np.ndarray,
     n, w = len(units.hash), window - k + 1
     if n < window:
         return none, none, none, none, none.astype(np.uint64)
+    if n > int(POS_MASK):
+        raise ValueError("a text of over 268 million units is too long for this search: split it")
     grams = gram_hashes(units.hash, k)
-    low = (grams & ~POS_MASK) | (POS_MASK - np.arange(len(grams), dtype=np.uint64))
-    size = 1
-    while size * 2 <= w:
-        low = np.minimum(low[:-size], low[size:])
-        size *= 2
-    if size < w:
-        low = np.minimum(low[: len(low) - (w - size)], low[w - size :])
+    low = sliding_least((grams & ~POS_MASK) | (POS_MASK - np.arange(len(grams), dtype=np.uint64)), w)
     row = np.repeat(np.arange(len(units.off) - 1), np.diff(units.off))
     at = np.flatnonzero(np.arange(len(low)) + window <= units.off[1:][row[: len(low)]])  # windows inside a row
     if not len(at):
@@ -93,8 +111,57 @@ def anchors(units: Units, window: int, k: int) -> tuple[np.ndarray, np.ndarray,
     return row[pos], pos, at[new], at[np.concatenate([new[1:], [len(at)]]) - 1], grams[pos]
 
 
-def _anchor_rows(plan: Plan, buckets: int):
-    """Packed anchors by bucket: rows of (bucket, docs, counts, anchors)."""
+ANCHOR = np.dtype([("hash", "<u8"), ("pos", "<u4"), ("lo", "u1"), ("hi", "u1")])
+DOC = np.dtype([("id", "<i8"), ("sum", "<i8"), ("n", "<u4")])
+#: A document that holds a segment, and where.
+MEMBER = np.dtype([("id", "<i8"), ("sum", "<i8"), ("begin", "<i4")])
+#: An anchor that recurs, as its document gets it back; home 0: it is hot.
+HOMED = np.dtype([("pos", "<u4"), ("lo", "u1"), ("hi", "u1"), ("home", "<u8")])
+#: `lo` of a mark that says that an anchor is hot.
+MARK = 255
+NAMES = ["bucket", "homed", "docs", "found"]
+
+
+def _packed(doc: np.ndarray, who: np.ndarray, rec: np.ndarray, key: np.ndarray) -> tuple[list[int], list[bytes], list[bytes]]:
+    """Rows by key: the documents (of doc, by index) and their records; all are in the order of key, then of who."""
+    if not len(key):
+        return [], [], []
+    cuts = [*np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist(), len(key)]
+    names, bodies = [], []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        first = np.flatnonzero(np.concatenate([[True], who[a + 1 : b] != who[a : b - 1]])) + a
+        d = doc[who[first]]  # a copy
+        d["n"] = np.diff([*first, b])
+        names.append(d.tobytes())
+        bodies.append(rec[a:b].tobytes())
+    return key[cuts[:-1]].tolist(), names, bodies
+
+
+def _batch(rows: list[tuple[bool, tuple]]) -> pa.RecordBatch:
+    keys, homed, names, bodies = [], [], [], []
+    for flag, (k, d, f) in rows:
+        keys += k
+        homed += [flag] * len(k)
+        names += d
+        bodies += f
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(homed, pa.bool_()), pa.array(names, pa.binary()), pa.array(bodies, pa.binary())], NAMES)
+
+
+def _by_part(doc: np.ndarray, who: np.ndarray, found: np.ndarray, parts: int) -> tuple[list[int], list[bytes], list[bytes]]:
+    """Rows of found anchors for the partitions that gather them by document."""
+    to = (mix(doc["id"][who].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((who, to))
+    return _packed(doc, who[order], found[order], to[order])
+
+
+def _homed(pos: np.ndarray, lo: np.ndarray, hi: np.ndarray, home: np.ndarray | int) -> np.ndarray:
+    out = np.zeros(len(pos), HOMED)
+    out["pos"], out["lo"], out["hi"], out["home"] = pos, lo, hi, home
+    return out
+
+
+def _anchor_rows(plan: Plan, parts: int, hashed: str):
+    """Packed anchors by bucket; those that are hot within a batch as found ones, and a mark each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
@@ -102,56 +169,69 @@ def _anchor_rows(plan: Plan, buckets: int):
             row, pos, lo, hi, h = anchors(units, plan.window, plan.k)
             if not len(row):
                 continue
-            ids, sums = b["doc_id"].to_numpy(), b["_sum"].to_numpy()
-            bucket = (h >> np.uint64(8)).astype(np.int64) % buckets
-            order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
-            rec = np.zeros(len(order), ANCHOR)
-            rec["hash"], rec["pos"], rec["lo"], rec["hi"] = h[order], (pos - units.off[row])[order], (pos - lo)[order], (pos - hi)[order]
-            row, bucket = row[order], bucket[order]
-            ends = np.flatnonzero(np.concatenate([bucket[1:] != bucket[:-1], [True]])) + 1
-            begin, out = 0, []
-            for end in ends.tolist():
-                r = row[begin:end]
-                first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-                doc = np.zeros(len(first), DOC)
-                doc["id"], doc["sum"], doc["n"] = ids[r[first]], sums[r[first]], np.diff([*first, len(r)])
-                out.append((int(bucket[begin]), doc.tobytes(), rec[begin:end].tobytes()))
-                begin = end
-            k, d, a = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(d, pa.binary()), pa.array(a, pa.binary())], ["bucket", "docs", "anchors"])
+            doc = np.zeros(b.num_rows, DOC)
+            doc["id"], doc["sum"] = b["doc_id"].to_numpy(), b[hashed].to_numpy()
+            rec = np.zeros(len(row), ANCHOR)
+            rec["hash"], rec["pos"], rec["lo"], rec["hi"] = h, pos - units.off[row], pos - lo, pos - hi
+            out = []
+            hot = _hot(h, row, plan.hot_batch) if b.num_rows >= plan.hot_batch else np.zeros(0, np.int64)
+            if len(hot):
+                x = rec[hot]
+                out.append((True, _by_part(doc, row[hot], _homed(x["pos"], x["lo"], x["hi"], 0), parts)))
+                _, first = np.unique(h[hot], return_index=True)
+                rec["lo"][hot[first]] = MARK
+                keep = np.ones(len(row), bool)
+                keep[hot] = False
+                keep[hot[first]] = True
+                rec, row, h = rec[keep], row[keep], h[keep]
+            bucket = (h >> np.uint64(8)).astype(np.int64) % parts
+            order = np.argsort(bucket.astype(np.uint16) if parts < 1 << 16 else bucket, kind="stable")
+            out.append((False, _packed(doc, row[order], rec[order], bucket[order])))
+            yield _batch(out)
 
     return run
 
 
-ANCHOR = np.dtype([("hash", "<u8"), ("pos", "<u4"), ("lo", "u1"), ("hi", "u1")])
-DOC = np.dtype([("id", "<i8"), ("sum", "<i8"), ("n", "<u4")])
-#: A document that holds a segment, and where.
-MEMBER = np.dtype([("id", "<i8"), ("sum", "<i8"), ("begin", "<i4")])
-#: An anchor that recurs, as its document gets it back.
-HOMED = np.dtype([("pos", "<u4"), ("lo", "u1"), ("hi", "u1"), ("home", "<u8")])
+def _hot(h: np.ndarray, row: np.ndarray, least: int) -> np.ndarray:
+    """Which anchors so many rows of a batch have."""
+    order = np.argsort(h, kind="stable")  # rows ascend within a hash
+    s, r = h[order], row[order]
+    new = np.concatenate([[True], s[1:] != s[:-1]])
+    start = np.flatnonzero(new)
+    rows = np.add.reduceat((new | np.concatenate([[True], r[1:] != r[:-1]])).astype(np.int64), start)
+    return order[np.repeat(rows >= least, np.diff(np.append(start, len(s))))]
 
 
-def _recurring(parts: int, size: int):
+def _recurring(plan: Plan, parts: int):
     """Of a partition's buckets: the anchors that two documents have, with their homes, packed for the
-    partitions that gather them by document."""
+    partitions that gather them by document. What is found already passes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: list[np.ndarray] = []
         recs: list[np.ndarray] = []
         for b in batches:
-            for d, a in zip(b["docs"], b["anchors"], strict=True):
+            homed = b["homed"].to_numpy(zero_copy_only=False)
+            if homed.any():
+                yield b.filter(pa.array(homed))
+            for d, a in zip(b["docs"].filter(pa.array(~homed)), b["found"].filter(pa.array(~homed)), strict=True):
                 docs.append(np.frombuffer(d.as_py(), DOC))
                 recs.append(np.frombuffer(a.as_py(), ANCHOR))
-        if recs:
-            doc, rec = np.concatenate(docs), np.concatenate(recs)
-            del docs, recs
-            yield from _homes(doc, rec, parts, size)
+        if not recs:
+            return
+        doc, rec = np.concatenate(docs), np.concatenate(recs)
+        del docs, recs
+        owner = np.repeat(np.arange(len(doc), dtype=np.int32), doc["n"])
+        steps = -(-len(rec) // SORTED)
+        for i in range(steps):  # by ranges of hashes, so many at a time
+            at = np.flatnonzero((rec["hash"] >> np.uint64(40)) % np.uint64(steps) == i) if steps > 1 else slice(None)
+            if len(found := _homes(doc, owner[at], rec[at], plan)[0]):
+                yield _batch([(True, _by_part(doc, *found, parts))])
 
     return run
 
 
-def _homes(doc: np.ndarray, rec: np.ndarray, parts: int, size_of_block: int) -> Iterator[pa.RecordBatch]:
-    owner = np.repeat(np.arange(len(doc)), doc["n"])
+def _homes(doc: np.ndarray, owner: np.ndarray, rec: np.ndarray, plan: Plan) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The documents and found anchors of some buckets' anchors; owner: each one's document."""
     order = np.argsort(rec["hash"])
     h = rec["hash"][order]
     start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -159,32 +239,22 @@ def _homes(doc: np.ndarray, rec: np.ndarray, parts: int, size_of_block: int) ->
     many = np.repeat(size > 1, size)  # most anchors are alone: leave them early
     order, h = order[many], h[many]
     if not len(h):
-        return
+        return [()]
     ids = doc["id"][owner[order]]
     sub = np.lexsort((rec["pos"][order], ids, h))
     order, h, ids = order[sub], h[sub], ids[sub]
-    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    new = np.concatenate([[True], h[1:] != h[:-1]])
+    start = np.flatnonzero(new)
     size = np.diff(np.concatenate([start, [len(h)]]))
-    more = np.repeat(ids[start + size - 1] > ids[start], size)  # sorted by document
-    block = np.repeat(rec["pos"][order[start]] // size_of_block, size).astype(np.uint64)
-    home = mix(np.repeat(ids[start], size).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + block)
-    order, home = order[more], home[more]
-    who = owner[order]
-    to = (mix(doc["id"][who].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-    sub = np.lexsort((who, to))
-    order, home, who, to = order[sub], home[sub], who[sub], to[sub]
-    out = np.zeros(len(order), HOMED)
-    out["pos"], out["lo"], out["hi"], out["home"] = rec["pos"][order], rec["lo"][order], rec["hi"][order], home
-    cuts = [*np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])).tolist(), len(to)] if len(to) else []
-    names, packed = [], []
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        first = np.flatnonzero(np.concatenate([[True], who[a + 1 : b] != who[a : b - 1]])) + a
-        d = doc[who[first]]  # a copy
-        d["n"] = np.diff([*first, b])
-        names.append(d.tobytes())
-        packed.append(out[a:b].tobytes())
-    if names:
-        yield pa.RecordBatch.from_arrays([pa.array(to[cuts[:-1]], pa.int32()), pa.array(names, pa.binary()), pa.array(packed, pa.binary())], ["part", "docs", "_found"])
+    mark = rec["lo"][order] == MARK
+    n_docs = np.add.reduceat((new | np.concatenate([[True], ids[1:] != ids[:-1]])).astype(np.int64), start)
+    hot = np.logical_or.reduceat(mark, start) | (n_docs > plan.hot)
+    more = np.repeat(hot | (n_docs > 1), size) & ~mark
+    block = np.repeat(rec["pos"][order[start]] // plan.block, size).astype(np.uint64)
+    home = np.maximum(mix(np.repeat(ids[start], size).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + block), np.uint64(1))
+    home[np.repeat(hot, size)] = 0
+    x = rec[order[more]]
+    return [(owner[order[more]], _homed(x["pos"], x["lo"], x["hi"], home[more]))] if more.any() else [()]
 
 
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +262,7 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     docs: list[np.ndarray] = []
     recs: list[np.ndarray] = []
     for b in batches:
-        for d, a in zip(b["docs"], b["_found"], strict=True):
+        for d, a in zip(b["docs"], b["found"], strict=True):
             docs.append(np.frombuffer(d.as_py(), DOC))
             recs.append(np.frombuffer(a.as_py(), HOMED))
     if not recs:
@@ -212,10 +282,29 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums.append(int(doc["sum"][order[at]]))
             found.append(b"".join(rec[begin[i] : begin[i + 1]].tobytes() for i in order[at:k].tolist()))
             at = k
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sums, pa.int64()), pa.array(found, pa.binary())], ["doc_id", "_sum", "_found"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sums, pa.int64()), pa.array(found, pa.binary())], ["doc", "sum", "found"])
+
+
+def _runs(rec: np.ndarray, window: int) -> Iterator[tuple[int, int, int]]:
+    """First and last window and home of the segments of anchors with homes."""
+    lo, hi, home = rec["pos"].astype(np.int64) - rec["lo"], rec["pos"].astype(np.int64) - rec["hi"], rec["home"].view(np.int64)
+    new = np.concatenate([[True], (home[1:] != home[:-1]) | (lo[1:] != hi[:-1] + 1)])
+    last = np.concatenate([new[1:], [True]])
+    return zip(lo[new].tolist(), hi[last].tolist(), home[new].tolist(), strict=True)
+
+
+def _hot_runs(rec: np.ndarray, base: int, grams: np.ndarray, second: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """The same of hot anchors: by the anchor and the second one of each window; base: the row's first unit."""
+    size = rec["lo"].astype(np.int64) - rec["hi"] + 1
+    begin = rec["pos"].astype(np.int64) - rec["lo"]
+    at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+    key = mix(np.repeat(grams[base + rec["pos"].astype(np.int64)], size) ^ mix(second[base + at]))
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (at[1:] != at[:-1] + 1)])
+    last = np.concatenate([new[1:], [True]])
+    return zip(at[new].tolist(), at[last].tolist(), key[new].view(np.int64).tolist(), strict=True)
 
 
-def _segments(plan: Plan):
+def _segments(plan: Plan, hashed: str, found: str):
     """Segments of documents: neighbouring windows whose anchors share a home. Equal segments of a task go
     out once, with their members, before the shuffle."""
 
@@ -229,15 +318,19 @@ def _segments(plan: Plan):
 
         for b in pieces(batches, "text"):
             units = Units(plan.unit, *view(b["text"]))
-            for r, (i, s, body) in enumerate(zip(b["doc_id"].to_pylist(), b["_sum"].to_pylist(), b["_found"].to_pylist(), strict=True)):
+            grams = second = None
+            for r, (i, s, body) in enumerate(zip(b["doc_id"].to_pylist(), b[hashed].to_pylist(), b[found].to_pylist(), strict=True)):
                 if not body:
                     continue
                 rec = np.unique(np.frombuffer(body, HOMED))  # by position; rows that repeat give equal ones
-                lo, hi, home = rec["pos"].astype(np.int64) - rec["lo"], rec["pos"].astype(np.int64) - rec["hi"], rec["home"].view(np.int64)
-                new = np.concatenate([[True], (home[1:] != home[:-1]) | (lo[1:] != hi[:-1] + 1)])
-                last = np.concatenate([new[1:], [True]])
-                base = int(units.off[r])
-                for a, z, k in zip(lo[new].tolist(), hi[last].tolist(), home[new].tolist(), strict=True):
+                base, hot = int(units.off[r]), rec["home"] == 0
+                runs = _runs(rec[~hot], plan.window) if not hot.all() else ()
+                if hot.any():
+                    if grams is None:
+                        grams = gram_hashes(units.hash, plan.k)
+                        second = sliding_least(mix(grams ^ SECOND), plan.window - plan.k + 1)
+                    runs = chain(runs, _hot_runs(rec[hot], base, grams, second))
+                for a, z, k in runs:
                     text = units.text(base + a, base + z + plan.window)
                     own = held.setdefault((k, text), [])
                     size += 20 + (0 if own else len(text))
@@ -269,7 +362,7 @@ def _covered(plan: Plan):
                     ids.append(i)
                     sums.append(s)
                     spans.append((x + begin).astype("<i4").tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sums, pa.int64()), pa.array(spans, pa.binary())], ["doc_id", "_sum", "_spans"]) if ids else None
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sums, pa.int64()), pa.array(spans, pa.binary())], ["doc", "sum", "spans"]) if ids else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, home = [], 0, None
@@ -298,22 +391,24 @@ def merge(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[new, 0], top[np.concatenate([new[1:], [True]])]], axis=1)
 
 
-def covered(docs: DataFrame, plan: Plan) -> DataFrame:
-    """Every row of docs(doc_id, text, ...) with spans: lists of packed [start, end) covered units.
+def covered(docs: DataFrame, plan: Plan) -> tuple[DataFrame, str]:
+    """Every row of docs(doc_id, text, ...) with one more column: lists of packed [start, end) covered units; its name.
 
     The two joins with the texts have the same left side, so they share one shuffle of them.
     """
-    base = docs.withColumn("text", text_of("text")).withColumn("_sum", F.xxhash64("text"))
-    parts = parts_for(base, 16 << 20)
+    hashed, found_name, spans_name = unused(docs, "text_hash", "found", "spans")
+    base = docs.withColumn("text", text_of("text")).withColumn(hashed, F.xxhash64("text"))
+    parts = parts_for(base, PART_BYTES)
+    rows = "bucket int, homed boolean, docs binary, found binary"
     found = cut(
-        base.where("doc_id is not null").select("doc_id", "_sum", "text").mapInArrow(_anchor_rows(plan, parts), "bucket int, docs binary, anchors binary")
-        .repartition(parts, "bucket").mapInArrow(_recurring(parts, plan.block), "part int, docs binary, _found binary")
+        base.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), hashed, "text").mapInArrow(_anchor_rows(plan, parts, hashed), rows)
+        .repartition(parts, "bucket").mapInArrow(_recurring(plan, parts), rows)
     )
-    found = found.repartition(parts, "part").mapInArrow(_by_document, "doc_id long, _sum long, _found binary")
+    found = found.select("bucket", "docs", "found").repartition(parts, "bucket").mapInArrow(_by_document, "doc long, sum long, found binary").withColumnRenamed("found", found_name)
+    same = lambda df: base.join(df.hint("shuffle_hash"), (F.col("doc_id") == F.col("doc")) & (F.col(hashed) == F.col("sum")), "left")
     segments = (
-        base.join(found.hint("shuffle_hash"), ["doc_id", "_sum"], "left")
-        .mapInArrow(_segments(plan), "home long, segment binary, members binary")
+        same(found).mapInArrow(_segments(plan, hashed, found_name), "home long, segment binary, members binary")
         .repartition(parts, "home").sortWithinPartitions("home")
     )
-    spans = segments.mapInArrow(_covered(plan), "doc_id long, _sum long, _spans binary").groupBy("doc_id", "_sum").agg(F.collect_list("_spans").alias("_spans"))
-    return base.join(spans.hint("shuffle_hash"), ["doc_id", "_sum"], "left").select(*docs.columns, "_spans")
+    spans = segments.mapInArrow(_covered(plan), "doc long, sum long, spans binary").groupBy("doc", "sum").agg(F.collect_list("spans").alias(spans_name))
+    return same(spans).select(*[F.col(f"`{c}`") for c in docs.columns], spans_name), spans_name

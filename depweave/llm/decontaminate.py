@@ -11,7 +11,8 @@ fingerprints meet in a shuffle join, and documents get just the items that they
 Defined cases: a null text has no words; an item without words never occurs; rows that repeat an item_id
 count as one item; a null item_id or doc_id: the item is ignored, the document is judged as any other;
 an empty benchmark hits nothing; an empty table gives no rows; other columns
-are kept, but for those named like a result.
+are kept, but for those named like a result; a very long text is judged in one piece, in about sixty times its
+size of memory.
 """
 
 from __future__ import annotations
@@ -25,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import gram_hashes, pieces, session, span_hashes, text_of, view, word_spans
+from ._common import cut, gram_hashes, pieces, session, span_hashes, text_of, unused, view, word_spans
 
 WINDOW = 13
 K = 5
 #: Items' text bytes up to which they are broadcast.
 BROADCAST_BYTES = 16 << 20
+#: Places where the documents of one hash are met beyond that.
+SALTS = 16
 
 #: A-Z in lower case; 0-9, a-z and bytes from \x80 are of words.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -155,8 +158,9 @@ def _rows(b: pa.RecordBatch, names: list[str], words: Words, hit: np.ndarray, fo
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs(doc_id, text, ...) with n_words, n_hit, n_items, items_sha256 and contaminated; null texts are empty."""
     spark = session(docs)
-    docs = docs.drop(*[x.split()[0] for x in SCHEMA], "_items", "_sum")
+    docs = docs.drop(*[x.split()[0] for x in SCHEMA])
     names = docs.columns
+    hashed, found = unused(docs, "text_hash", "found_items")
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], *SCHEMA])
     base = docs.withColumn("text", text_of("text"))
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("item")).distinct()
@@ -196,21 +200,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
         b_text = "item" if whole else "text"
         return run
 
-    every = base.withColumn("_sum", F.xxhash64("text"))
-    lengths = list(range(1, window))
-    theirs = items.mapInArrow(keys("item_id", lengths, True), "hash long, item_id string").distinct()
-    ours = every.select("doc_id", "_sum", "text").mapInArrow(keys("doc_id _sum", lengths, False), "hash long, doc_id long, _sum long").distinct()
-    pairs = ours.join(theirs, "hash").select("doc_id", "_sum", "item_id").distinct()
-    theirs = pairs.join(items, "item_id").groupBy("doc_id", "_sum").agg(F.collect_list(F.struct("item_id", "item")).alias("_items"))
-    joined = every.alias("d").join(theirs.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d._sum") == F.col("t._sum")), "left").select(*[F.col(f"d.`{n}`") for n in names], "_items")
+    every = base.withColumn(hashed, F.xxhash64("text"))
+    # Only the lengths that short items have: their grams alone are made of documents.
+    n_words = F.size(F.filter(F.split(F.lower("item"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda x: x != ""))
+    lengths = sorted(r[0] for r in items.select(n_words.alias("n")).where((F.col("n") > 0) & (F.col("n") < window)).distinct().collect())
+    theirs = cut(items.mapInArrow(keys("item_id", lengths, True), "hash long, item_id string").distinct())
+    ours = every.select(F.col("doc_id").cast("long").alias("doc"), F.col(hashed).alias("sum"), "text").mapInArrow(keys("doc sum", lengths, False), "hash long, doc long, sum long").distinct()
+    # A hash that very many documents have is met in SALTS places; the benchmark is the small side.
+    salts = F.array(*[F.lit(x) for x in range(SALTS)])
+    theirs = theirs.select("hash", "item_id", F.explode(salts).alias("salt"))
+    ours = ours.withColumn("salt", F.pmod(F.xxhash64("doc", "sum"), F.lit(SALTS)).cast("int"))
+    pairs = ours.join(theirs, ["hash", "salt"]).select("doc", "sum", "item_id").distinct()
+    theirs = pairs.join(items, "item_id").groupBy("doc", "sum").agg(F.collect_list(F.struct("item_id", "item")).alias(found))
+    joined = every.alias("d").join(theirs.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc")) & (F.col(f"d.{hashed}") == F.col("t.sum")), "left").select(*[F.col(f"d.`{n}`") for n in names], found)
 
     def large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            for r in range(batch.num_rows):
-                b = batch.slice(r, 1)
-                words = Words(*view(b["text"]))
-                own = sorted((x["item_id"], x["item"]) for x in b["_items"][0].as_py() or [])
-                yield _rows(b, names, words, *(hits(words, Index(own, window, k), window, k) if own else (np.zeros(len(words.hash), bool), {})))
+            lists = [b or [] for b in batch[found].to_pylist()]
+            own = sorted({(x["item_id"], x["item"]) for b in lists for x in b})
+            words = Words(*view(batch["text"]))
+            # One index of the batch's items; an item that another row shares can be found here too, and is exact.
+            yield _rows(batch, names, words, *(hits(words, Index(own, window, k), window, k) if own else (np.zeros(len(words.hash), bool), {})))
 
     return joined.mapInArrow(large, schema)
 

@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
 A paragraph ends at a line's end, after a sentence mark (also wide ones), and where the content says so (a hash
-of the last eight bytes), some 32 bytes apart: a text of any kind beyond a few words has several. Equal ones are
+of the last eight bytes), some 48 bytes apart: a text of any kind beyond a few words has several. Equal ones are
 told apart by their count so far. A paragraph's 64-bit digest goes into one cell in each third of a sketch; a cell holds a count, the sum of
 its digests and the sum of their check values. Two sketches subtract cell by cell; peeling cells that
 hold one digest recovers what differs. Where peeling sticks, both texts get a sketch four times larger,
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ._common import MIX1, SPACE, gram_hashes, mix, parts_for, pieces, ranged, span_hashes, text_of
 
 #: Bytes that a content boundary looks at, and how far such boundaries are apart on average.
-GRAM, AVERAGE = 8, 32
+GRAM, AVERAGE = 8, 48
 #: Bytes that end a paragraph: a line's end, and . ! ? ; in UTF-8 also the wide 。！？；
 MARK = np.zeros(256, bool)
 MARK[list(b"\n\r.!?;")] = True
@@ -84,37 +84,41 @@ def _places(keys: np.ndarray, cells: int) -> np.ndarray:
     return np.stack([(mix(keys ^ s) % third + third * np.uint64(i)).astype(np.int64) for i, s in enumerate(SEEDS)])
 
 
-def sketch(keys: np.ndarray, row: np.ndarray, rows: int, cells: int, sign: np.ndarray | int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts, sums and check sums of all rows' cells; row[i] holds keys[i], added sign times."""
-    at = (_places(keys, cells) + row * cells).reshape(-1)
-    sign = np.broadcast_to(np.asarray(sign, np.int64), len(keys))
-    count, total, check = np.zeros(rows * cells, np.int64), np.zeros(rows * cells, np.uint64), np.zeros(rows * cells, np.uint64)
-    np.add.at(count, at, np.tile(sign, 3))
-    np.add.at(total, at, np.tile(keys * sign.view(np.uint64), 3))
-    np.add.at(check, at, np.tile(mix(keys ^ CHECK) * sign.view(np.uint64), 3))
-    return count, total, check
+def _add(cells: tuple[np.ndarray, np.ndarray, np.ndarray], at: np.ndarray, keys: np.ndarray, sign: np.ndarray) -> None:
+    np.add.at(cells[0], at, sign)
+    np.add.at(cells[1], at, keys * sign.view(np.uint64))
+    np.add.at(cells[2], at, mix(keys ^ CHECK) * sign.view(np.uint64))
+
+
+def sketch(keys: np.ndarray, row: np.ndarray, rows: int, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, sums and check sums of all rows' cells; row[i] holds keys[i]."""
+    out = np.zeros(rows * cells, np.int64), np.zeros(rows * cells, np.uint64), np.zeros(rows * cells, np.uint64)
+    one = np.ones(len(keys), np.int64)
+    for at in _places(keys, cells):
+        _add(out, at + row * cells, keys, one)
+    return out
 
 
 def peel(count: np.ndarray, total: np.ndarray, check: np.ndarray, rows: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
     """Digests recovered from each row's subtracted cells, and whether all were."""
     found = np.zeros(rows, np.int64)
-    todo = np.arange(rows * cells)
+    todo = np.flatnonzero(count)
     while True:
         at = todo[np.abs(count[todo]) == 1]
-        key = total[at] * count[at].view(np.uint64)
-        pure = mix(key ^ CHECK) * count[at].view(np.uint64) == check[at]
-        at, key = at[pure], key[pure]
+        sign = count[at]
+        key = total[at] * sign.view(np.uint64)
+        pure = mix(key ^ CHECK) * sign.view(np.uint64) == check[at]
+        at, key, sign = at[pure], key[pure], sign[pure]
         if not len(at):
             break
         row = at // cells
-        pair = np.unique(np.stack([row.astype(np.uint64), key, count[at].view(np.uint64)]), axis=1)
-        row, key, sign = pair[0].astype(np.int64), pair[1], pair[2].view(np.int64)
+        _, first = np.unique(mix(row.astype(np.uint64)) ^ key, return_index=True)  # a digest may be alone in three cells
+        row, key, sign = row[first], key[first], -sign[first]
         found += np.bincount(row, minlength=rows)
-        c, t, k = sketch(key, row, rows, cells, sign)
-        count -= c
-        total -= t
-        check -= k
-        todo = np.flatnonzero(count)
+        places = [p + row * cells for p in _places(key, cells)]
+        for p in places:
+            _add((count, total, check), p, key, sign)
+        todo = np.unique(np.concatenate(places))  # no other cell has changed
     left = (count != 0) | (total != 0) | (check != 0)
     return found, ~left.reshape(rows, cells).any(axis=1)
 

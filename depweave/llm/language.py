@@ -2,13 +2,14 @@
 
 Two recurrent passes, one from each side, read windows of bytes; a softmax over both states labels every
 position, and a document's probabilities are the mean over its positions. Training is backpropagation
-through time on a bounded, documented sample: up to `per_lang` documents of each language, chosen by hash,
-and `chars` characters of each from a place chosen by hash. Prediction reads every byte of every text.
+through time on a bounded, documented sample: about `per_lang` documents of each language (fewer, alike for all, where there
+are so many languages that this would pass `total`; one at least), chosen by hash, and `chars` characters of each from
+a place chosen by hash. Every label that is there is learned. Prediction reads every byte of every text.
 
 Defined cases: a null text, or one without a letter: `und`, score 0; nothing to learn from: `und`, score 0
 for all; a null or empty label is not learned from; a null doc_id counts as not held out; rows that repeat
-are predicted alike; a text of any length is read in windows of equal size; an empty table gives no rows;
-other columns are ignored.
+are predicted alike; a text of any length, very long ones too, is read in windows of equal size, so many at a time;
+an empty table gives no rows; other columns are kept, but for those named like a result.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import pieces, view
@@ -27,7 +28,7 @@ from ._common import pieces, view
 HIDDEN = 8
 WINDOW = 64
 #: Bounds of the training sample.
-PER_LANG, CHARS, LANGS = 600, 256, 64
+PER_LANG, TOTAL, CHARS = 600, 60_000, 256
 EPOCHS, BATCH, RATE = 6, 256, 0.02
 #: Text bytes in one step of prediction.
 STEP_BYTES = 1 << 18
@@ -165,17 +166,24 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def learn(docs: DataFrame, per_lang: int = PER_LANG, chars: int = CHARS) -> Network | None:
-    """Trains on the documented sample of docs(doc_id, text, lang) that are not held out."""
-    rows = docs.where(~held_out() & F.col("lang").isNotNull() & (F.col("lang") != "") & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
-    if not counts:
+def learn(docs: DataFrame, per_lang: int = PER_LANG, chars: int = CHARS, total: int = TOTAL) -> Network | None:
+    """Trains on the documented sample of docs(doc_id, text, lang) that are not held out.
+
+    The least `per_lang` hashes of each language are found by one aggregate with a bounded state."""
+    rows = docs.where(~held_out() & F.col("lang").isNotNull() & (F.col("lang") != "") & F.col("text").isNotNull() & (F.col("text") != ""))
+    counts = rows.groupBy("lang").count()
+    n = counts.count()  # the labels are few; their names don't come to the driver
+    if not n:
         return None
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], float(min(1.0, per_lang / r["count"])))])
-    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    each = max(1, min(per_lang, total // n))
+    # With this chance a language gives a little more than `each`; the exact least ones of these are taken then.
+    chance = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) / float(1 << 30)
     place = 1 + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - chars + 1))
-    picked = rows.where(chance < share[F.col("lang")]).select(F.substring(F.col("text"), place.cast("int"), F.lit(chars)).alias("t"), "lang", F.xxhash64("doc_id").alias("h"))
-    return train([(r.t, r.lang) for r in picked.orderBy("h", "t").limit(2 * per_lang * len(counts)).collect()])
+    share = counts.select("lang", ((each + 6 * each**0.5 + 20) / F.col("count")).alias("share"))
+    picked = rows.join(F.broadcast(share), "lang").where(chance < F.col("share")).select(F.substring(F.col("text"), place.cast("int"), F.lit(chars)).alias("t"), "lang", F.xxhash64("doc_id").alias("h"))
+    first = Window.partitionBy("lang").orderBy("h", "t")
+    sample = picked.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= each)
+    return train([(r.t, r.lang) for r in sample.orderBy("lang", "h", "t").collect()])
 
 
 LETTER = re.compile(r"[^\W\d_]")

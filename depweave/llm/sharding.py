@@ -1,18 +1,19 @@
 """Sharding by balanced label propagation, in DataFrame operations alone.
 
-Every document starts in a shard by hash. In each round documents count the weight of their links by
-the neighbour's shard; one that another shard would suit better asks to move, and each shard takes those
-that its quota has room for, counting those that ask to leave it, in a fixed order. At last the documents are put in shard order and the order
+Every document starts in a shard by hash. Documents of one group are linked, each with all others; their votes are
+summed by group and shard, so no link is written out. In each round a group looks for the shard that holds most of it,
+of those that have room for the rest of it; shards take the groups that ask, whole, in a fixed order, up to a quota;
+rounds go on until nothing moves. At last the documents are put in shard order and the order
 is cut into equal weights, so sizes are even (law "bytes": of the bytes; law "rows": of the counts) and
 few links that propagation saved are cut again. Law "key" hashes doc_id and the shard count by highest
-rendezvous: one more shard takes rows only into itself.
+rendezvous: one more shard takes rows only into itself. What is cut is reported by row: copies, and those elsewhere.
 
 Windows run over cells of (shard, hash cell, salt), never over a shard or a group of copies; the number of
-cells is a constant, so their running sums are small at any size.
+cells is a constant, so their running sums are small at any size. A group that no shard has room for stays spread.
 
 Defined cases: a null text weighs 1 and has checksum 0, and is a copy of an empty text; a null doc_id hashes
-as any value; rows that repeat are kept, each with its own slot; an empty table gives no rows; other columns
-are ignored.
+as any value; rows that repeat are kept, each with its own slot; very long texts weigh what they are; an empty table
+gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 from ._common import cut
 
 SHARDS = 8
-ROUNDS = 3
+#: Rounds at most; they end when nothing moves.
+ROUNDS = 10
 #: A shard may hold this much above its share while documents move.
 SLACK = 0.25
 CELLS, SALTS = 64, 16
@@ -42,30 +44,30 @@ def _running(df: DataFrame, cell: list[str], order: list[str], weight: str) -> D
     return local.join(F.broadcast(base), cell).withColumn("before", F.col("_base") + F.col("_in")).drop("_base", "_in")
 
 
-def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
-    """id, size, shard: nodes(id, size, shard) after rounds of moves along links(src, dst, w).
-
-    src may move towards dst's shard; a hub that only receives links stays.
-    """
-    now = cut(nodes.select("id", F.col("size").cast("long").alias("size"), "shard"))
-    total = now.agg(F.sum("size")).first()[0] or 0
-    quota = int(total / shards * (1 + slack)) + 1
-    for turn in range(rounds):
-        near = links.join(now.select(F.col("id").alias("dst"), "shard"), "dst")
-        votes = near.groupBy("src", "shard").agg(F.sum("w").alias("w"))
-        best = votes.groupBy("src").agg(F.max(F.struct("w", -F.col("shard"))).alias("b"), F.map_from_entries(F.collect_list(F.struct("shard", "w"))).alias("m"))
-        wish = best.select(F.col("src").alias("id"), (-F.col("b.col2")).cast("int").alias("to"), F.col("b.w").alias("gain"), "m")
-        asks = now.join(wish, "id").where((F.col("to") != F.col("shard")) & (F.col("gain") > F.coalesce(F.col("m")[F.col("shard")], F.lit(0))))
-        if turn % 2:  # linked pairs don't swap for ever: in odd rounds one half waits
-            asks = asks.where(F.xxhash64("id", F.lit(turn)) % 2 == 0)
-        load = {r.shard: r.n for r in now.groupBy("shard").agg(F.sum("size").alias("n")).collect()}  # a number a shard
-        leaving = {r.shard: r.n for r in asks.groupBy("shard").agg(F.sum("size").alias("n")).collect()}  # makes room
-        room = F.create_map(*[F.lit(x) for s in range(shards) for x in (s, max(0, quota - load.get(s, 0) + leaving.get(s, 0)))])
-        cells = asks.select("id", "size", "to", F.pmod(F.xxhash64("id"), F.lit(CELLS * SALTS)).alias("cell"))
-        inside = _running(cells, ["to", "cell"], ["id"], "size")
-        first = inside.groupBy("to").agg(F.min("before").alias("zero"))
-        takes = inside.join(F.broadcast(first), "to").where(F.col("before") - F.col("zero") + F.col("size") <= room[F.col("to")]).select("id", "to")
-        now = cut(now.join(takes, "id", "left").select("id", "size", F.coalesce("to", "shard").alias("shard")))
+def targets(nodes: DataFrame, room: list[int]) -> DataFrame:
+    """grp, to, asks (weight that has to move): groups that want into the shard that holds most of them (of equals the
+    first), of those with room for the rest, and are not whole yet."""
+    shards = range(len(room))
+    held = nodes.groupBy("grp").agg(F.sum("size").alias("all"), *[F.sum(F.when(F.col("shard") == s, F.col("size")).otherwise(0)).alias(f"s{s}") for s in shards])
+    fit = F.filter(F.array(*[F.struct(F.col(f"s{s}").alias("w"), F.lit(-s).alias("n")) for s in shards]), lambda x: F.col("all") - x["w"] <= F.array(*[F.lit(r) for r in room])[-x["n"]])
+    return held.select("grp", "all", F.array_max(fit).alias("b")).select("grp", (-F.col("b.n")).cast("int").alias("to"), (F.col("all") - F.col("b.w")).alias("asks")).where("asks > 0")
+
+
+def propagate(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
+    """nodes(id, grp, size, shard) after rounds of moves; nodes without a group stay."""
+    now = cut(nodes.select("id", "grp", F.col("size").cast("long").alias("size"), "shard"))
+    for _ in range(rounds):
+        load = {r["shard"]: r["n"] for r in now.groupBy("shard").agg(F.sum("size").alias("n")).collect()}  # a number a shard
+        quota = int(sum(load.values()) / shards * (1 + slack)) + 1
+        room = [max(0, quota - load.get(s, 0)) for s in range(shards)]
+        asking = cut(targets(now.where("grp is not null"), room).withColumn("cell", F.pmod(F.xxhash64("grp"), F.lit(CELLS * SALTS))))
+        inside = _running(asking, ["to", "cell"], ["grp"], "asks")
+        first = asking.groupBy("to").agg(F.sum("asks").alias("w"))
+        first = first.select("to", (F.sum("w").over(Window.orderBy("to")) - F.col("w")).alias("zero"))
+        takes = cut(inside.join(F.broadcast(first), "to").where(F.col("before") - F.col("zero") + F.col("asks") <= F.array(*[F.lit(r) for r in room])[F.col("to")]).select("grp", "to"), asking)
+        if takes.isEmpty():
+            break
+        now = cut(now.join(takes, "grp", "left").select("id", "grp", "size", F.coalesce("to", "shard").alias("shard")), now, takes)
     return now
 
 
@@ -76,7 +78,8 @@ def rendezvous(key: Column, shards: int) -> Column:
 
 
 def shard(docs: DataFrame, law: str = "bytes", shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row of docs(doc_id, text)."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, copies (rows of an equal text) and copies_elsewhere (of
+    these in other shards: cut links) of every row of docs(doc_id, text)."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("copy"))
     # equal rows share an id: their order does not matter, and they move together
@@ -86,12 +89,10 @@ def shard(docs: DataFrame, law: str = "bytes", shards: int = SHARDS, rounds: int
         placed = rows.select("*", rendezvous(F.col("doc_id"), shards).alias("shard"), grown.alias("grown_shard")).withColumn("label", F.col("shard"))
     else:
         weight = F.col("size") if law == "bytes" else F.lit(1).cast("long")
-        hubs = rows.groupBy("copy").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-        salted = hubs.select("copy", "hub", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        member = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-        links = cut(member.join(salted, ["copy", "salt"]).where("id <> hub").select(F.col("id").alias("src"), F.col("hub").alias("dst"), F.lit(1).cast("long").alias("w")).distinct())
-        nodes = rows.groupBy("id").agg(F.sum(weight).alias("size")).withColumn("shard", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(shards)).cast("int"))
-        labels = propagate(nodes, links, shards, rounds)
+        several = rows.groupBy("copy").agg(F.count("*").alias("n")).where("n > 1").select("copy", F.col("copy").alias("grp"))
+        start = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(shards)).cast("int").alias("shard")
+        nodes = rows.groupBy("id", "copy").agg(F.sum(weight).alias("size")).join(several, "copy", "left").select("id", "grp", "size", start)
+        labels = propagate(nodes, shards, rounds)
         every = rows.join(labels.select("id", F.col("shard").alias("label")), "id").withColumn("weight", weight)
         every = every.withColumn("cell", F.pmod(F.xxhash64("copy"), F.lit(CELLS)).cast("int")).withColumn("salt", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(SALTS)).cast("int"))
         every = cut(_running(every, ["label", "cell", "salt"], ["copy", "id"], "weight"))
@@ -103,7 +104,11 @@ def shard(docs: DataFrame, law: str = "bytes", shards: int = SHARDS, rounds: int
     ordered = _running(placed, ["shard", "cell"], ["id"], "one")
     zero = placed.groupBy("shard").agg(F.count("*").alias("n"))
     zero = zero.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("zero"))
-    return ordered.join(F.broadcast(zero), "shard").select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", (F.col("before") - F.col("zero")).alias("slot"), "grown_shard")
+    ordered = ordered.join(F.broadcast(zero), "shard")
+    here = placed.groupBy("copy", "shard").agg(F.count("*").alias("here"))
+    copies = here.groupBy("copy").agg(F.sum("here").alias("copies")).where("copies > 1")
+    apart = here.join(copies, "copy").select("copy", "shard", "copies", (F.col("copies") - F.col("here")).alias("copies_elsewhere"))
+    return ordered.join(apart, ["copy", "shard"], "left").select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", (F.col("before") - F.col("zero")).alias("slot"), "grown_shard", F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("copies_elsewhere", F.lit(0)).alias("copies_elsewhere"))
 
 
 def op5_sharding(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ and all candidate text streams through them; every occurrence is grown word by w
 Defined cases: a null or empty text has no words; documents under a window's length keep all words;
 equal texts: the smallest doc_id keeps its words; rows that repeat a doc_id don't remove each other's;
 a null doc_id neither removes nor loses words; an empty table gives no rows; other columns
-are kept, but for those named like a result.
+are kept, but for those named like a result; a text of over 268 million words is an error, others may be of any length.
 """
 
 from __future__ import annotations
@@ -59,7 +59,7 @@ def automata_kernel(window: int, segments: list[bytes], owners: list[int], last:
     runs = np.flatnonzero(np.concatenate([[True], (keep[1:] != keep[:-1] + 1) | (seg[keep[1:]] != seg[keep[:-1]])])) if len(keep) else np.zeros(0, np.int64)
     passages: list[list[int]] = []
     phrases: dict[tuple[int, ...], dict[int, list[tuple[int, int]]]] = {}
-    for a, b in zip(runs.tolist(), [*runs[1:].tolist(), len(keep)], strict=True):
+    for a, b in zip(runs.tolist(), np.append(runs[1:], len(keep)).tolist(), strict=False):
         s, e = int(keep[a]), int(keep[b - 1]) + window
         k = int(seg[s])
         p = words[k][s - off[k] : e - off[k]]
@@ -100,11 +100,11 @@ def automata_kernel(window: int, segments: list[bytes], owners: list[int], last:
 SCHEMA = ["n_words long", "n_removed long", "kept_sha256 string", "kept string"]
 
 
-def _apply(names: list[str]):
+def _apply(names: list[str], spans_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
             n, gone, sums, texts = [], [], [], []
-            for text, lists in zip(b["text"].to_pylist(), b["_spans"].to_pylist(), strict=True):
+            for text, lists in zip(b["text"].to_pylist(), b[spans_name].to_pylist(), strict=True):
                 words = text.encode().split()
                 n.append(len(words))
                 spans = merge(np.frombuffer(b"".join(lists or []), "<i4").reshape(-1, 2))
@@ -123,12 +123,15 @@ def _apply(names: list[str]):
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
-    """docs(doc_id, text, ...) with n_words, n_removed, kept_sha256 and the kept words; null texts are empty."""
-    docs = docs.drop(*[x.split()[0] for x in SCHEMA], "_sum", "_found", "_spans")
-    plan = Plan("word", window, anchor_words, BLOCK_WORDS, automata_kernel)
+def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor_words: int = ANCHOR_WORDS, **options) -> DataFrame:
+    """docs(doc_id, text, ...) with n_words, n_removed, kept_sha256 and the kept words; null texts are empty.
+
+    options: hot, hot_batch (see Plan)."""
+    docs = docs.drop(*[x.split()[0] for x in SCHEMA])
+    plan = Plan("word", window, anchor_words, BLOCK_WORDS, kernel=automata_kernel, **options)
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], *SCHEMA])
-    return covered(docs, plan).mapInArrow(_apply(docs.columns), schema)
+    found, spans_name = covered(docs, plan)
+    return found.mapInArrow(_apply(docs.columns, spans_name), schema)
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ search stops at the threshold. Suffixes not parted by then share a window.
 Defined cases: a null or empty text has no bytes; texts under a window's length keep all; equal
 texts: the smallest doc_id keeps its bytes; rows that repeat a doc_id don't remove each other's; a null
 doc_id neither removes nor loses bytes; an empty table gives no rows; other columns are kept, but for
-those named like a result. Kept bytes may break a character: `kept` drops the broken ones, kept_sha256 is of the bytes.
+those named like a result; a text of over 268 million bytes is an error, others may be of any length. Kept bytes may break a character: `kept` drops the broken ones, kept_sha256 is of the bytes.
 """
 
 from __future__ import annotations
@@ -113,12 +113,12 @@ def expansion_kernel(window: int, segments: list[bytes], owners: list[int], last
 SCHEMA = ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", "kept string"]
 
 
-def _apply(names: list[str]):
+def _apply(names: list[str], spans_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
             data, off = view(b["text"])
             gone, runs, sums, texts = [], [], [], []
-            for r, lists in enumerate(b["_spans"].to_pylist()):
+            for r, lists in enumerate(b[spans_name].to_pylist()):
                 body = data[off[r] : off[r + 1]]
                 spans = merge(np.frombuffer(b"".join(lists or []), "<i4").reshape(-1, 2))
                 if len(spans):
@@ -136,12 +136,15 @@ def _apply(names: list[str]):
     return run
 
 
-def suffix_dedup(docs: DataFrame, window: int = WINDOW, anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
-    """docs(doc_id, text, ...) with n_bytes, n_removed, n_spans, kept_sha256 and the kept text; null texts are empty."""
-    docs = docs.drop(*[x.split()[0] for x in SCHEMA], "_sum", "_found", "_spans")
-    plan = Plan("byte", window, anchor_bytes, BLOCK_BYTES, expansion_kernel)
+def suffix_dedup(docs: DataFrame, window: int = WINDOW, anchor_bytes: int = ANCHOR_BYTES, **options) -> DataFrame:
+    """docs(doc_id, text, ...) with n_bytes, n_removed, n_spans, kept_sha256 and the kept text; null texts are empty.
+
+    options: hot, hot_batch (see Plan)."""
+    docs = docs.drop(*[x.split()[0] for x in SCHEMA])
+    plan = Plan("byte", window, anchor_bytes, BLOCK_BYTES, kernel=expansion_kernel, **options)
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], *SCHEMA])
-    return covered(docs, plan).mapInArrow(_apply(docs.columns), schema)
+    found, spans_name = covered(docs, plan)
+    return found.mapInArrow(_apply(docs.columns, spans_name), schema)
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:

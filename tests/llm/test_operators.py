@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from depweave.llm import decontaminate, fingerprint, language, near_copies, pieces, quotation, sharding, simhash, substring_dedup, suffix_dedup, token_output
+from depweave.llm import decontaminate, fingerprint, language, pieces, quotation, sharding, simhash, substring_dedup, suffix_dedup, token_output
 from depweave.llm._common import gram_hashes
 from depweave.llm.token_output import pack, unpack
 
@@ -69,26 +69,48 @@ def windows_removed(units, window):
     return out
 
 
-def test_substring_dedup(docs, empty):
+HOT = [{}, {"hot": 2, "hot_batch": 3}, {"hot": 1, "hot_batch": 99}]
+
+
+@pytest.mark.parametrize("options", HOT)
+def test_substring_dedup(docs, empty, options):
     units = [(r[0], (r[1] or "").encode().split()) for r in ROWS]
     want = sorted(((i, len(u), sum(g), hashlib.sha256(b" ".join(x for x, y in zip(u, g) if not y)).hexdigest()) for (i, u), g in zip(units, windows_removed(units, 50))), key=repr)
-    out = substring_dedup.substring_dedup(docs)
+    out = substring_dedup.substring_dedup(docs.withColumnRenamed("lang", "spans"), **options)
     assert rows(out.select("doc_id", "n_words", "n_removed", "kept_sha256")) == want
     assert sum(x[2] for x in want) > 300 and "source" in out.columns
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
-def test_suffix_dedup(docs, empty):
+@pytest.mark.parametrize("options", HOT)
+def test_suffix_dedup(docs, empty, options):
     units = [(r[0], (r[1] or "").encode()) for r in ROWS]
     want = []
     for (i, u), g in zip(units, windows_removed(units, 50)):
         kept = bytes(x for x, y in zip(u, g) if not y)
         want.append((i, len(u), sum(g), len([x for x in bytes(g).split(b"\0") if x]), hashlib.sha256(kept).hexdigest()))
-    out = suffix_dedup.suffix_dedup(docs)
+    out = suffix_dedup.suffix_dedup(docs, **options)
     assert rows(out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) == sorted(want, key=repr)
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("dedup, window, unit", [(substring_dedup.substring_dedup, 50, "word"), (suffix_dedup.suffix_dedup, 50, "byte")])
+def test_dedup_of_a_hot_group(spark, dedup, window, unit):
+    """Near copies of one text, a third of all rows, with thresholds that make their anchors hot or not."""
+    r = random.Random(3)
+    base, rows_ = [f"v{r.randrange(90)}" for _ in range(300)], []
+    for i in range(90):
+        t = list(base) if i % 3 == 0 else [r.choice(WORDS) for _ in range(60)]
+        for _ in range(r.randrange(4)):
+            t[r.randrange(len(t))] = r.choice(WORDS)
+        rows_.append((i, " ".join(t)))
+    units = [(i, t.encode() if unit == "byte" else t.encode().split()) for i, t in rows_]
+    want = sorted((i, sum(g)) for (i, _), g in zip(units, windows_removed(units, window)))
+    docs = spark.createDataFrame(rows_, "doc_id long, text string").repartition(3)
+    for options in ({}, {"hot": 8}, {"hot": 1000, "hot_batch": 4}):
+        assert rows(dedup(docs, **options).select("doc_id", "n_removed")) == sorted(want, key=repr), options
+
+
 @pytest.mark.parametrize("kernel", [substring_dedup.automata_kernel, suffix_dedup.expansion_kernel])
 def test_kernels_on_many_near_copies(kernel):
     r = random.Random(1)
@@ -199,13 +221,46 @@ def test_sharding(docs, empty):
     assert sharding.shard(empty).count() == 0
 
 
-def test_sharding_keeps_copies_together(spark):
-    rows_ = [(i, f"text {i % 100} " + "x" * (i % 100)) for i in range(1600)]
-    out = sharding.shard(spark.createDataFrame(rows_, "doc_id long, text string")).toPandas()
+def test_sharding_round_against_brute_force(spark):
+    r = random.Random(6)
+    rows_ = [(i, r.choice([None, *range(12)]), r.randrange(1, 30), r.randrange(4)) for i in range(120)]
+    rows_ += [(1000 + i, 99, 40, i % 4) for i in range(30)]  # a group that no shard can hold
+    nodes = spark.createDataFrame(rows_, "id long, grp long, size long, shard int")
+    load = [sum(x[2] for x in rows_ if x[3] == s) for s in range(4)]
+    quota = int(sum(load) / 4 * 1.25) + 1
+    room = [max(0, quota - x) for x in load]
+    want = {}
+    for g in {x[1] for x in rows_ if x[1] is not None}:
+        held = [sum(x[2] for x in rows_ if x[1] == g and x[3] == s) for s in range(4)]
+        fit = [(held[s], -s) for s in range(4) if sum(held) - held[s] <= room[s]]
+        if fit and sum(held) > max(fit)[0]:
+            want[g] = (-max(fit)[1], sum(held) - max(fit)[0])
+    assert {x.grp: (x.to, x.asks) for x in sharding.targets(nodes.where("grp is not null"), room).collect()} == want and 99 not in want
+    cell = {x.grp: x.c for x in nodes.selectExpr("grp", "pmod(xxhash64(grp), 1024) AS c").distinct().collect()}
+    moved, used = {}, [0] * 4
+    for g in sorted(want, key=lambda g: (cell[g], g)):
+        to, asks = want[g]
+        used[to] += asks
+        if used[to] <= room[to]:
+            moved[g] = to
+    got = {x.id: x.shard for x in sharding.propagate(nodes, 4, rounds=1).collect()}
+    assert got == {i: moved.get(g, s) for i, g, _, s in rows_} and moved
+
+
+@pytest.mark.parametrize("hot", [0, 800])
+def test_sharding_keeps_copies_together(spark, hot):
+    """Groups of 16 copies, beside a group of a third of all rows."""
+    rows_ = [(i, f"text {i % 100} " + "x" * (i % 100)) for i in range(1600)] + [(5000 + i, "hot " * 12) for i in range(hot)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string")
+    out = sharding.shard(docs).toPandas()
     size = out.groupby("shard")["size"].sum()
     assert size.max() < 1.05 * size.mean()
-    split = out.assign(t=out.doc_id % 100).groupby("t")["shard"].nunique()
-    assert (split == 1).sum() >= 60
+    cold = out[out.doc_id < 5000].assign(t=lambda x: x.doc_id % 100)
+    assert (cold.groupby("t")["shard"].nunique() == 1).sum() >= 88
+    links = sum(n * (n - 1) // 2 for n in out.groupby("text_crc32").size())
+    apart = links - sum(n * (n - 1) // 2 for n in out.groupby(["text_crc32", "shard"]).size())
+    before = sharding.shard(docs, rounds=0)  # by hash, cut in its order
+    assert out.copies_elsewhere.sum() == 2 * apart and (hot or apart < 0.1 * before.agg({"copies_elsewhere": "sum"}).first()[0] / 2)
 
 
 def brute_fingerprint(text, n=4):
@@ -242,8 +297,8 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("bits", [0, 5])
-def test_simhash_links_keep_every_connection(spark, bits):
+@pytest.mark.parametrize("bits, bucket", [(0, 2048), (5, 2048), (2, 4), (0, 3)])
+def test_simhash_links_keep_every_connection(spark, bits, bucket):
     r = random.Random(bits)
     fps = set()
     for _ in range(60):
@@ -255,7 +310,7 @@ def test_simhash_links_keep_every_connection(spark, bits):
     fps = sorted(fps)
     ids = list(range(100, 100 + len(fps)))
     nodes = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, i) for x, i in zip(fps, ids)], "fp long, id long")
-    got = dict(map(tuple, simhash.components(simhash.links(nodes, 4, bits, 4)).collect()))
+    got = dict(map(tuple, simhash.components(simhash.links(nodes, 4, bits, 4, bucket)).collect()))
     assert [got.get(i, i) for i in ids] == brute_components(fps, ids)
 
 
@@ -341,7 +396,7 @@ def brute_paragraphs(text):
     for i in range(len(raw)):
         end = i + 1 == len(raw) or raw[i : i + 1] in b"\n\r.!?;" or raw[max(0, i - 2) : i + 1] in [x.encode() for x in "。！？；"]
         if i >= 7 and not end:
-            end = int(gram_hashes(np.frombuffer(raw[i - 7 : i + 1], np.uint8).astype(np.uint64) + np.uint64(1), 8)[0]) % 32 == 0
+            end = int(gram_hashes(np.frombuffer(raw[i - 7 : i + 1], np.uint8).astype(np.uint64) + np.uint64(1), 8)[0]) % fingerprint.AVERAGE == 0
         if end:
             if p := raw[begin : i + 1].strip(b" \t\n\v\f\r"):
                 out.append(p)
@@ -454,18 +509,12 @@ def test_pipeline(spark):
     names = docs.columns
     assert set(names) <= set(out.columns) and out.round_trip.all() and out.doc_id.is_unique and 0 < len(out) < docs.count()
     assert [n for n, _ in c.STAGES] == ["language", "near_dedup", "suffix_dedup", "decontaminate", "sentencepiece"]
-    odd = spark.createDataFrame([(None, "A clean text that stays.", "en", "s", 24), (5, None, "en", "s", 0), (6, "12", "en", "s", 2), (7, "Same words here.", "en", "s", 16), (7, "Same words here.", "en", "s", 16), (8, "Same words here.", "en", "s", 16)], docs.schema)
-    once = c.drop_near_duplicates(spark, odd, d)
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in once.collect()) == [(False, 5), (False, 6), (False, 7), (True, 0)]
-    assert once.columns == names
     empty = spark.createDataFrame([], docs.schema)
     for _, stage in c.STAGES:
         assert stage(spark, empty, d).count() == 0
 
 
-def test_near_copies(spark):
-    import corpus_pipeline as c
-
+def test_similar(spark):
     rr = random.Random(9)
     base, rows_ = [f"v{i}" for i in range(200)], []
     for _ in range(40):
@@ -473,7 +522,9 @@ def test_near_copies(spark):
         for _ in range(rr.randrange(6)):
             t[rr.randrange(len(t))] = rr.choice("xyz")
         rows_.append((len(rows_) + 5, " ".join(t)))
-    rows_ += [(100, "One two"), (101, "one  TWO"), (102, "one three"), (103, ""), (104, None), (105, rows_[3][1])]
+    chain = [f"c{i}" for i in range(60)]  # each like the next, the ends unlike
+    rows_ += [(200 + k, " ".join(chain[k * 4 : k * 4 + 44])) for k in range(5)]
+    rows_ += [(100, "One two"), (101, "one  TWO"), (102, "one three"), (103, ""), (104, None), (105, rows_[3][1]), (5, "of its own"), (5, "of its own")]
 
     def grams(t):
         w = (t or "").lower().split()
@@ -485,7 +536,40 @@ def test_near_copies(spark):
             if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
                 root = [root[j] if x == root[i] else x for x in root]
     want = [(i, min(k for (k, _), y in zip(rows_, root) if y == x)) for (i, _), x in zip(rows_, root)]
-    docs = spark.createDataFrame(rows_, "doc_id long, text string").repartition(3)
-    assert rows(near_copies.near_copies(docs)) == sorted(want, key=repr)
-    kept = sorted(r.doc_id for r in c.drop_near_duplicates(spark, docs, "").collect())
-    assert kept == sorted(i for i, k in want if i == k) and len(kept) < len(rows_) - 4
+    docs = spark.createDataFrame([(*r, 1) for r in rows_] + [(None, rows_[0][1], 1)], "doc_id long, text string, text_hash int").repartition(3)
+    out = simhash.similar(docs)
+    assert rows(out.where("doc_id is not null").select("doc_id", "component_id")) == sorted(want, key=repr)
+    assert out.where("doc_id is null").first().component_id is None and out.columns == ["doc_id", "text", "text_hash", "component_id", "is_first"]
+    assert len({x for _, x in want}) < len(rows_) - 6 and rows(out.where("is_first").select("component_id").distinct()) == [(x,) for x in sorted({x for _, x in want}, key=lambda x: repr((x,)))]
+    assert simhash.similar(docs.limit(0)).count() == 0
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Each stage on nulls, repeated rows, columns of clashing names and long texts."""
+    import corpus_pipeline as c
+
+    d = "/root/testdata/sf0.001"
+    bench = spark.read.parquet(f"{d}/benchmark.parquet").where("length(text) > 100").first().text
+    names = spark.read.parquet(f"{d}/documents.parquet").columns
+    base = [spark.read.parquet(f"{d}/documents.parquet").where(f"lang = '{x}' and n_chars > 300").first() for x in ("en", "de")]
+    rows_ = [(i, r.text, r.lang, "s", 1, 2, "k") for i, r in enumerate(base)] + [(9, base[0].text, "en", "s", 1, 2, "k"), (9, base[0].text, "en", "s", 1, 2, "k"), (None, base[1].text, None, None, None, None, None), (5, None, "en", "s", 0, 0, ""), (6, "", "en", "s", 0, 0, ""), (7, "12 34", "en", "s", 5, 0, "")]
+    rows_ += [(11, LONG * 700, "en", "s", 1, 2, "k"), (12, "Words before it. " + bench + " Words after it. " + _text(400), "en", "s", 1, 2, "k")]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long, kept long, text_hash string")
+    for name, stage in c.STAGES:
+        out = stage(spark, docs, d)
+        got = out.collect()
+        assert set(docs.columns) <= set(out.columns) and (name == "sentencepiece") == (len(out.columns) > len(docs.columns))
+        ids = [r.doc_id for r in got]
+        assert {0, 1, 11} <= set(ids) and None in ids
+        if name == "language":
+            assert not {5, 6, 7} & set(ids)
+        if name == "near_dedup":
+            assert 9 not in ids and ids.count(None) == 1 and ids.count(0) == 1 and 5 in ids and 6 not in ids
+        if name == "suffix_dedup":
+            assert next(r for r in got if r.doc_id == 0).text == base[0].text and 9 not in ids
+        if name == "decontaminate":
+            assert 12 not in ids and len(ids) == len(rows_) - 1
+        if name == "sentencepiece":
+            assert len(ids) == len(rows_)
+    again = [(3, _text(80), "en", "s", 1), (3, _text(80), "en", "s", 1)]  # one doc_id, two texts
+    assert c.drop_near_duplicates(spark, spark.createDataFrame(again, ", ".join(f"{n} {t}" for n, t in zip(names, ("long", "string", "string", "string", "long")))), d).count() == 2
