@@ -11,8 +11,8 @@
    covered by windows of smaller documents.
 5. The covered intervals go back to their documents.
 
-Hot anchors, which very many documents hold, have no home: each of their windows goes by its anchor and by a second
-one (the least k-gram by another hash), again by its content alone. Such segments are short, so those of copies are
+Hot anchors, which very many documents hold, have no home: each of their windows goes by its anchor, by three more
+(the least k-grams by other hashes) and by landmarks at its ends, again by its content alone. Such segments are short, so those of copies are
 equal and merge before the shuffle, while those that differ part over tasks. An anchor that is hot within one batch
 sends its bucket one mark instead of its documents, and is answered at once.
 
@@ -35,8 +35,10 @@ from ._common import cut, gram_hashes, mix, parts_for, pieces, span_hashes, text
 #: Bits of a position in a chunk; the others hold the leading bits of a hash.
 POS = np.uint64(28)
 POS_MASK = np.uint64((1 << 28) - 1)
-#: Makes another hash of an anchor's.
-SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Make other hashes of an anchor's.
+#: Units of a landmark by kind, and one of how many is one.
+LANDMARKS = {"byte": (8, 8), "word": (1, 4)}
+OTHERS = tuple(np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 #: Bytes of segments that a task holds to merge equal ones.
 HELD_BYTES = 8 << 20
 #: Bytes of segments that a kernel gets at once, whole homes apart.
@@ -55,8 +57,8 @@ class Plan:
     k: int
     block: int
     #: documents of an anchor beyond which it is hot, over all and in one batch
-    hot: int = 256
-    hot_batch: int = 32
+    hot: int = 1024
+    hot_batch: int = 64
     #: kernel(window, segments, least documents, greatest documents) -> function of (segment, doc)
     #: that gives its covered [start, end) units
     kernel: Callable = None
@@ -293,12 +295,32 @@ def _runs(rec: np.ndarray, window: int) -> Iterator[tuple[int, int, int]]:
     return zip(lo[new].tolist(), hi[last].tolist(), home[new].tolist(), strict=True)
 
 
-def _hot_runs(rec: np.ndarray, base: int, grams: np.ndarray, second: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """The same of hot anchors: by the anchor and the second one of each window; base: the row's first unit."""
+def window_keys(units: Units, grams: np.ndarray, plan: Plan) -> np.ndarray:
+    """A hash of each window's content: of the least k-grams by other hashes, and of its first and last landmark
+    (short grams picked by their hash), so that windows of unlike ends or middles part, and neighbours mostly agree."""
+    width = plan.window - plan.k + 1
+    out = np.zeros(len(grams) - width + 1, np.uint64)
+    for x in OTHERS:
+        out = mix(out ^ sliding_least(mix(grams ^ x), width))
+    size, every = LANDMARKS[plan.unit]
+    h = gram_hashes(units.hash, size)
+    at = np.flatnonzero(h % np.uint64(every) == 0)
+    if len(at):
+        begin = np.arange(len(out))
+        end = begin + plan.window - size
+        first, last = np.searchsorted(at, begin), np.searchsorted(at, end, side="right") - 1
+        some = last >= first
+        for side in (first, last):
+            out = mix(out ^ np.where(some, h[at[np.where(some, side, 0)]], np.uint64(0)))
+    return out
+
+
+def _hot_runs(rec: np.ndarray, base: int, grams: np.ndarray, others: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """The same of hot anchors: by the anchor and what window_keys() says; base: the row's first unit."""
     size = rec["lo"].astype(np.int64) - rec["hi"] + 1
     begin = rec["pos"].astype(np.int64) - rec["lo"]
     at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
-    key = mix(np.repeat(grams[base + rec["pos"].astype(np.int64)], size) ^ mix(second[base + at]))
+    key = mix(np.repeat(grams[base + rec["pos"].astype(np.int64)], size) ^ others[base + at])
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (at[1:] != at[:-1] + 1)])
     last = np.concatenate([new[1:], [True]])
     return zip(at[new].tolist(), at[last].tolist(), key[new].view(np.int64).tolist(), strict=True)
@@ -318,7 +340,7 @@ def _segments(plan: Plan, hashed: str, found: str):
 
         for b in pieces(batches, "text"):
             units = Units(plan.unit, *view(b["text"]))
-            grams = second = None
+            grams = others = None
             for r, (i, s, body) in enumerate(zip(b["doc_id"].to_pylist(), b[hashed].to_pylist(), b[found].to_pylist(), strict=True)):
                 if not body:
                     continue
@@ -328,8 +350,8 @@ def _segments(plan: Plan, hashed: str, found: str):
                 if hot.any():
                     if grams is None:
                         grams = gram_hashes(units.hash, plan.k)
-                        second = sliding_least(mix(grams ^ SECOND), plan.window - plan.k + 1)
-                    runs = chain(runs, _hot_runs(rec[hot], base, grams, second))
+                        others = window_keys(units, grams, plan)
+                    runs = chain(runs, _hot_runs(rec[hot], base, grams, others))
                 for a, z, k in runs:
                     text = units.text(base + a, base + z + plan.window)
                     own = held.setdefault((k, text), [])

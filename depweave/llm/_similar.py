@@ -1,10 +1,11 @@
 """What SimHash near-dedup adds where links have to be of exact likeness: sets of word shingles, candidates, checks.
 
-Texts of equal sets are one node. Candidates come from SimHash groups (a star each), then from prefixes: of every
+Texts of equal sets are one node. Candidates come from SimHash groups (stars), then from prefixes: of every
 set as many shingles are kept as two sets of at least LIKENESS can't both miss, in one order of all shingles (rare
-first, by a table of counts of a fixed size), so every such pair shares a shingle of both prefixes. The nodes of a
-shared shingle are first compared with one of them, and of those that this leaves apart from it each is compared with
-all the others: large groups of copies come together in stars, and no group is expanded into its pairs. Candidates are
+first, by a table of counts of a fixed size), so every such pair shares a shingle of both prefixes. Where up to FEW
+nodes share one, all their pairs are candidates, so groups of up to FEW texts are exact. Larger groups would have too
+many pairs; there each node is compared with centres, in TURNS turns: a component of many texts comes together by its
+links to these, and a text may stay apart that is alike to few of very many texts around it. Candidates are
 compared over their whole sets, and components are made of the links that pass.
 """
 
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import cut, gram_hashes, pieces, session, span_hashes, view, word_spans
@@ -25,6 +26,12 @@ WORDS = 5
 LIKENESS = 80
 #: Bits of a cell in the table of counts.
 COUNTS = 18
+#: Nodes of a shingle up to which all pairs are compared; beyond, shingles by which a node is, and nodes of a centre.
+FEW, TAKEN, PART = 8, 4, 256
+#: Turns with other orders for these.
+TURNS = 4
+#: Parts of a star.
+SALTS = 64
 
 #: A-Z in lower case.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -117,7 +124,7 @@ class Sets:
     def alike(self, pairs: DataFrame, rows: DataFrame) -> DataFrame:
         """The pairs (a, b) of nodes whose sets are as alike as asked."""
         one = rows.groupBy("node").agg(F.min(F.struct("doc_id", "sum")).alias("r"))  # the row that shows a node's text
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(one, "node").select("r.*").distinct()
+        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(one, "node").select("r.*").distinct()
         whole = cut(self.wholes(self.docs.join(asked, ["doc_id", "sum"], "left_semi")))
         x, y = (whole.select(F.col("node").alias(k), F.col("all").alias(f"all{k}")) for k in "ab")
         shared = F.size(F.array_intersect("alla", "allb"))
@@ -126,36 +133,58 @@ class Sets:
 
 
 def star(members: DataFrame, key: str) -> DataFrame:
-    """Pairs of each key's least node with its others."""
-    least = members.groupBy(key).agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most").drop("most")
-    return members.join(least, key).where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    """Pairs that join the nodes of each key: in SALTS parts a star each, and one of the stars' centres."""
+    part = members.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    centre = part.groupBy(key, "part").agg(F.min("node").alias("a"))
+    least = centre.groupBy(key).agg(F.min("a").alias("low"))
+    pairs = part.join(centre, [key, "part"]).select("a", F.col("node").alias("b")).unionByName(centre.join(least, key).select(F.col("low").alias("a"), F.col("a").alias("b")))
+    return pairs.where("a <> b").distinct()
 
 
 def _sized(likeness: int):
     return 100 * F.least("na", "nb") >= likeness * F.greatest("na", "nb")
 
 
-def groups(docs: DataFrame, hints: DataFrame, components, words: int = WORDS, likeness: int = LIKENESS) -> DataFrame:
+def _sides(rows: DataFrame, on: list[str], *more: str) -> tuple[DataFrame, DataFrame]:
+    """rows(node, n, ...) twice, for pairs."""
+    return tuple(rows.select(*on, F.col("node").alias(x), F.col("n").alias(f"n{x}"), *[F.col(c).alias(f"{c}{x}") for c in more]) for x in "ab")
+
+
+def by_shingle(posts: DataFrame, likeness: int, few: int, turn: int) -> DataFrame:
+    """Candidate pairs (a < b) of posts(h, node, n, held): of shingles that few nodes hold all pairs; for the others
+    every node takes the TAKEN of its shingles that come first in an order by hash, the same for all nodes, and is
+    compared with one centre of each, among PART nodes at most on average. Every turn has its own orders."""
+    x, y = _sides(posts.where(F.col("held") <= few), ["h"])
+    small = x.join(y, "h").where((F.col("a") < F.col("b")) & _sized(likeness)).select("a", "b")
+    order = Window.partitionBy("node").orderBy(F.xxhash64("h", F.lit(turn)), "h")
+    taken = posts.where(F.col("held") > few).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= TAKEN)
+    taken = taken.withColumn("part", F.pmod(F.xxhash64("node", "h", F.lit(turn)), F.ceil(F.col("held") / PART))).select("h", "part", "node", "n")
+    centre = taken.groupBy("h", "part").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", "h", F.lit(turn))).alias("c")).select("h", "part", F.col("c.node").alias("a"), F.col("c.n").alias("na"))
+    large = taken.withColumnsRenamed({"node": "b", "n": "nb"}).join(centre, ["h", "part"]).where((F.col("a") != F.col("b")) & _sized(likeness)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return small.unionByName(large).distinct()
+
+
+def groups(docs: DataFrame, hints: DataFrame, components, words: int = WORDS, likeness: int = LIKENESS, few: int = FEW) -> DataFrame:
     """doc_id, sum and component (a number) of every row of docs(doc_id, text, sum).
 
     hints(doc_id, hint): documents that may be alike; components(edges(a, b)): least connected ids."""
     sets = Sets(docs, words, likeness)
     rows = cut(sets.rows())
-    kept = cut(sets.prefixes())
-    hinted = star(rows.join(hints, "doc_id").select("node", "hint").distinct(), "hint")
-    size = kept.groupBy("h").agg(F.min_by(F.struct("node", "n"), "node").alias("l"), F.max("node").alias("most")).where("l.node < most").select("h", F.col("l.node").alias("a"), F.col("l.n").alias("na"))
-    by_shingle = kept.select("h", F.col("node").alias("b"), F.col("n").alias("nb")).join(size, "h").where((F.col("a") != F.col("b")) & _sized(likeness)).select("a", "b")
-    asked = cut(hinted.unionByName(by_shingle).distinct())
+    kept = sets.prefixes()
+    held = kept.groupBy("h").agg(F.count("*").alias("held")).where("held > 1")
+    posts = cut(kept.join(held, "h"))
+    hinted = star(rows.join(hints, "doc_id").select("node", "hint").distinct(), "hint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    asked = cut(hinted.unionByName(by_shingle(posts, likeness, few, 0)).distinct())
     near = sets.alike(asked, rows)
-
-    # What the stars leave apart: nodes of a shingle in another component than its least node's.
-    joined = cut(components(near))
-    placed = kept.join(joined.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    main = placed.groupBy("h").agg(F.min_by("component", "node").alias("main"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h", "main")
-    mixed = cut(placed.join(main, "h"), joined)
-    x = mixed.select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), (F.col("component") == F.col("main")).alias("first"))
-    y = mixed.where("component <> main").select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    apart = x.join(y, "h").where((F.col("ca") != F.col("cb")) & (F.col("first") | (F.col("a") < F.col("b"))) & _sized(likeness))
-    more = cut(apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), mixed, kept)
-    ends = components(near.unionByName(sets.alike(more, rows)))
+    ends = components(near)
+    # Again where a shingle of many nodes holds several components.
+    many = posts.where(F.col("held") > few)
+    for turn in range(1, TURNS):
+        placed = many.join(ends.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
+        more = cut(by_shingle(many.join(mixed, "h", "left_semi"), likeness, few, turn).join(asked, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            break
+        asked, near = asked.unionByName(more), near.unionByName(sets.alike(more, rows))
+        ends = components(near)
     return rows.join(ends.select(F.col("id").alias("node"), "component"), "node", "left").select("doc_id", "sum", F.coalesce("component", "node").alias("component"))
