@@ -14,7 +14,7 @@
 Hot anchors, which very many documents hold, have no home: each of their windows goes by its anchor, by three more
 (the least k-grams by other hashes) and by landmarks at its ends, again by its content alone. Such segments are short, so those of copies are
 equal and merge before the shuffle, while those that differ part over tasks. An anchor that is hot within one batch
-sends its bucket one mark instead of its documents, and is answered at once.
+sends its bucket one mark instead of its documents, and is answered at once, as it is in the task's later batches.
 
 No task gets more than a share of the anchors or the segments of its homes. Broadcasts: none.
 """
@@ -45,6 +45,8 @@ HELD_BYTES = 8 << 20
 KERNEL_BYTES = 1 << 20
 #: Text bytes of a partition, and anchors that a bucket sorts at once.
 PART_BYTES, SORTED = 128 << 20, 1 << 20
+#: Hot anchors that a task remembers from batch to batch.
+KNOWN = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -57,7 +59,7 @@ class Plan:
     k: int
     block: int
     #: documents of an anchor beyond which it is hot, over all and in one batch
-    hot: int = 1024
+    hot: int = 4096
     hot_batch: int = 64
     #: kernel(window, segments, least documents, greatest documents) -> function of (segment, doc)
     #: that gives its covered [start, end) units
@@ -166,6 +168,7 @@ def _anchor_rows(plan: Plan, parts: int, hashed: str):
     """Packed anchors by bucket; those that are hot within a batch as found ones, and a mark each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros(0, np.uint64)  # hot ones so far
         for b in pieces(batches, "text"):
             units = Units(plan.unit, *view(b["text"]))
             row, pos, lo, hi, h = anchors(units, plan.window, plan.k)
@@ -177,7 +180,10 @@ def _anchor_rows(plan: Plan, parts: int, hashed: str):
             rec["hash"], rec["pos"], rec["lo"], rec["hi"] = h, pos - units.off[row], pos - lo, pos - hi
             out = []
             hot = _hot(h, row, plan.hot_batch) if b.num_rows >= plan.hot_batch else np.zeros(0, np.int64)
+            if len(known):
+                hot = np.union1d(hot, np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h))
             if len(hot):
+                known = np.union1d(known, h[hot]) if len(known) < KNOWN else known
                 x = rec[hot]
                 out.append((True, _by_part(doc, row[hot], _homed(x["pos"], x["lo"], x["hi"], 0), parts)))
                 _, first = np.unique(h[hot], return_index=True)
@@ -340,7 +346,11 @@ def _segments(plan: Plan, hashed: str, found: str):
 
         for b in pieces(batches, "text"):
             units = Units(plan.unit, *view(b["text"]))
-            grams = others = None
+            some = [r for r, body in enumerate(b[found].to_pylist()) if body and (np.frombuffer(body, HOMED)["home"] == 0).any()]
+            if some:  # documents with hot anchors, and what their windows go by
+                part = Units(plan.unit, *view(b["text"].take(pa.array(some))))
+                grams = gram_hashes(part.hash, plan.k)
+                others, base_of = window_keys(part, grams, plan), dict(zip(some, part.off.tolist(), strict=False))
             for r, (i, s, body) in enumerate(zip(b["doc_id"].to_pylist(), b[hashed].to_pylist(), b[found].to_pylist(), strict=True)):
                 if not body:
                     continue
@@ -348,10 +358,7 @@ def _segments(plan: Plan, hashed: str, found: str):
                 base, hot = int(units.off[r]), rec["home"] == 0
                 runs = _runs(rec[~hot], plan.window) if not hot.all() else ()
                 if hot.any():
-                    if grams is None:
-                        grams = gram_hashes(units.hash, plan.k)
-                        others = window_keys(units, grams, plan)
-                    runs = chain(runs, _hot_runs(rec[hot], base, grams, others))
+                    runs = chain(runs, _hot_runs(rec[hot], base_of[r], grams, others))
                 for a, z, k in runs:
                     text = units.text(base + a, base + z + plan.window)
                     own = held.setdefault((k, text), [])

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import parts_for, pieces, unused, worker_cache
+from ._common import parts_for, pieces, unused
 
 #: Characters beyond which a document's chunks are spread over tasks, and of a chunk.
 GIANT, CHUNK = 1 << 16, 1 << 11
@@ -65,7 +65,7 @@ class Model:
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
         self.longest = max(map(len, self.vocab))
         self.inner = {piece[i : i + 2] for piece in self.vocab for i in range(len(piece) - 1)}
-        self.fits = lru_cache(1 << 18)(self._fits)
+        self.fits = lru_cache(1 << 16)(self._fits)
 
     @cached_property
     def standing(self) -> dict[str, set[str]]:
@@ -276,12 +276,6 @@ def encode(docs: DataFrame, model: str, *, ids: bool = False, giant: int = GIANT
     longest = Model(model).longest
     hashed, traced_ids = unused(docs, "text_hash", "found_ids")
 
-    def worker() -> Model:
-        cache = worker_cache()
-        if ("pieces", model) not in cache:
-            cache["pieces", model] = Model(model)
-        return cache["pieces", model]
-
     def finish(b: pa.RecordBatch, found: list[list[int]], known: Model) -> pa.RecordBatch:
         decoded = known.whole.decode(found)
         texts = [t or "" for t in b["text"].to_pylist()]
@@ -292,7 +286,7 @@ def encode(docs: DataFrame, model: str, *, ids: bool = False, giant: int = GIANT
         return pa.RecordBatch.from_arrays([*(b[n] for n in names), *more], [*names, *[x.split()[0] for x in new]])
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = worker()
+        known = Model(model)
         for b in pieces(batches, "text"):
             texts = [t or "" for t in b["text"].to_pylist()]
             short = iter(known.whole.encode([t for t in texts if len(t) <= chunk], num_threads=1))
@@ -313,12 +307,13 @@ def encode(docs: DataFrame, model: str, *, ids: bool = False, giant: int = GIANT
     keys = ", ".join(f"{n} {t}" for n, t in key)
 
     def by_rows(names: list[str], make):
-        """mapInArrow of rows that keep their key; make(row) gives the other values of one or more rows."""
+        """mapInArrow of rows that keep their key; make(row, model) gives the other values of one or more rows."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = lru_cache(1)(lambda: Model(model))  # of this task
             for b in batches:
                 for r in b.to_pylist():
-                    rows = make(r)
+                    rows = make(r, known)
                     k = len(rows)
                     base = [pa.array([r["doc"]] * k, b.schema.field("doc").type), pa.array([r["sum"]] * k, pa.int64())]
                     yield pa.RecordBatch.from_arrays([*base, *[pa.array([x[c] for x in rows], t) for c, t in enumerate((pa.int32(), *kinds[len(names)]))]], ["doc", "sum", "i", *names])
@@ -329,7 +324,7 @@ def encode(docs: DataFrame, model: str, *, ids: bool = False, giant: int = GIANT
     def place(r: dict) -> tuple:
         return r["part"], r["left"], r["right"], r["first"], r["last"]
 
-    def descend(r: dict) -> list[tuple[int, int, int]]:
+    def descend(r: dict, known) -> list[tuple[int, int, int]]:
         found = choose([pickle.loads(x["matrix"]) for x in r["all"]], r["enter"], None if r["leave"] < 0 else r["leave"])
         return [(x["i"], *e) for x, e in zip(r["all"], found, strict=True)]
 
@@ -338,17 +333,17 @@ def encode(docs: DataFrame, model: str, *, ids: bool = False, giant: int = GIANT
         return df.groupBy("doc", "sum", F.floor(F.col("i") / group).cast("int").alias("g")).agg(F.array_sort(F.collect_list(F.struct("i", "matrix"))).alias("all")).withColumnRenamed("g", "i")
 
     same = lambda x, y, *more: F.col(f"{x}.doc").eqNullSafe(F.col(f"{y}.doc")) & (F.col(f"{x}.sum") == F.col(f"{y}.sum"))
-    low = met(chunks.mapInArrow(by_rows(["matrix"], lambda r: [(r["i"], pickle.dumps(transfer(worker(), *place(r))))]), f"{keys}, matrix binary"))
-    top = met(low.mapInArrow(by_rows(["matrix"], lambda r: [(r["i"], pickle.dumps(tree([pickle.loads(x["matrix"]) for x in r["all"]])[-1][0]))]), f"{keys}, matrix binary"))
+    low = met(chunks.mapInArrow(by_rows(["matrix"], lambda r, known: [(r["i"], pickle.dumps(transfer(known(), *place(r))))]), f"{keys}, matrix binary"))
+    top = met(low.mapInArrow(by_rows(["matrix"], lambda r, known: [(r["i"], pickle.dumps(tree([pickle.loads(x["matrix"]) for x in r["all"]])[-1][0]))]), f"{keys}, matrix binary"))
     picks = top.select("*", F.lit(0).alias("enter"), F.lit(-1).alias("leave")).mapInArrow(by_rows(["enter", "leave"], descend), f"{keys}, enter int, leave int")
     picks = low.alias("l").join(picks.alias("p"), same("l", "p") & (F.col("l.i") == F.col("p.i"))).select("l.*", "enter", "leave").mapInArrow(by_rows(["enter", "leave"], descend), f"{keys}, enter int, leave int")
     joined = chunks.alias("c").join(picks.alias("k"), same("c", "k") & (F.col("c.i") == F.col("k.i"))).select("c.*", "enter", "leave")
-    traced = joined.mapInArrow(by_rows(["ids"], lambda r: [(r["i"], backtrace(worker(), *place(r), r["enter"], r["leave"]))]), f"{keys}, ids array<int>")
+    traced = joined.mapInArrow(by_rows(["ids"], lambda r, known: [(r["i"], backtrace(known(), *place(r), r["enter"], r["leave"]))]), f"{keys}, ids array<int>")
     traced = traced.groupBy("doc", "sum").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "ids"))), lambda x: x["ids"])).alias(traced_ids))
     whole = giants.alias("g").join(traced.alias("t"), F.col("g.doc_id").eqNullSafe(F.col("t.doc")) & (F.col(f"g.{hashed}") == F.col("t.sum")), "left").select(*[F.col(f"g.`{n}`") for n in names], F.col(traced_ids))
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = worker()
+        known = Model(model)
         for b in pieces(batches, "text"):
             yield finish(b, b[traced_ids].to_pylist(), known)
 
