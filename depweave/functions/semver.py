@@ -112,6 +112,34 @@ def satisfies_one(version: str | None, range_text: str | None, node: bool = Fals
     return False
 
 
+def _key_of(v: tuple) -> Column:
+    """A parsed version as key() has it; the mark below all pre-releases is an empty list of them."""
+    ids = [i for i in v[4] if i[0] >= 0]
+    one = [F.struct(F.lit(i[0] == 1).alias("alpha"), F.lit(i[1] if i[0] == 0 else None).cast("long").alias("num"), F.lit(i[2] if i[0] == 1 else None).cast("string").alias("str")) for i in ids]
+    listed = F.array(*one) if one else F.array().cast("array<struct<alpha:boolean,num:bigint,str:string>>")
+    return F.struct(*[F.lit(x).cast("long").alias(n) for x, n in zip(v[:3], ("major", "minor", "patch"), strict=True)], F.lit(bool(v[3])).alias("release"), listed.alias("ids"))
+
+
+def in_range(version: Column, text: str, node: bool = False) -> Column:
+    """F15 (node: F16) with a range that is known: parsed once, compared by key(); null for what is no version."""
+    k = key(version)
+    inside = F.lit(False)
+    for comparators in intervals(text):
+        ok = F.lit(True)
+        for op, x in comparators:
+            c = _key_of(x)
+            ok = ok & {"<": k < c, "<=": k <= c, ">": k > c, ">=": k >= c, "=": k == c, "!=": k != c}[op]
+        if node:
+            beside = [x for _, x in comparators if x[4] and x[4] != ((-1, 0, ""),)]
+            same = [(part(version, 1) == x[0]) & (part(version, 2) == x[1]) & (part(version, 3) == x[2]) for x in beside]
+            near = F.lit(False)
+            for m in same:
+                near = near | m
+            ok = ok & ((prerelease(version) == "") | near)
+        inside = inside | ok
+    return F.when(is_semver(version), inside)
+
+
 @F.pandas_udf(T.BooleanType())
 def satisfies(version: pd.Series, range_text: pd.Series) -> pd.Series:
     """comparators, `||` and wildcards."""

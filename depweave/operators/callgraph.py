@@ -142,6 +142,11 @@ def functions_of_type(graph: dict[str, DataFrame], kind: str = "actualExport") -
     return graph["function"].where(F.col("type") == kind)
 
 
+def all_packages(graph: dict[str, DataFrame]) -> DataFrame:
+    """N2, S25."""
+    return graph["package"].select("id")
+
+
 def call_counts(graph: dict[str, DataFrame]) -> DataFrame:
     """Calls of every function, 0 without."""
     n = graph["call"].groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("calls"))

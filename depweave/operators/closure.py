@@ -110,8 +110,17 @@ def windowed_union(pairs: DataFrame, width: int = 10) -> DataFrame:
     Each member of a set at rank r counts in windows r - width + 1 to r, so rows are expanded by the width and
     counted distinct: no window holds sets.
     """
-    size = pairs.groupBy("year", "src").agg(F.countDistinct("dst").alias("n"))
+    size = pairs.groupBy("year", "src").agg(F.countDistinct("dst").alias("count"))
     last = size.groupBy("year").agg(F.count("*").alias("last"))
-    rank = size.withColumn("rank", F.row_number().over(Window.partitionBy("year").orderBy(F.desc("n"), "src"))).join(F.broadcast(last), "year")
+    placed = cut(size.repartitionByRange("year", F.desc("count"), F.asc("src")).withColumn("_p", F.spark_partition_id()))
+    parts = placed.groupBy("year", "_p").agg(F.count("*").alias("_n"))
+    before = parts.select("year", "_p", (F.sum("_n").over(Window.partitionBy("year").orderBy("_p")) - F.col("_n")).alias("_before"))
+    inner = F.row_number().over(Window.partitionBy("year", "_p").orderBy(F.desc("count"), "src"))
+    rank = placed.withColumn("_i", inner).join(before, ["year", "_p"]).select("year", "src", (F.col("_before") + F.col("_i")).alias("rank")).join(F.broadcast(last), "year")
     spread = pairs.join(rank, ["year", "src"]).select("year", "dst", "last", F.explode(F.sequence(F.greatest(F.lit(1), F.col("rank") - width + 1), F.col("rank"))).alias("rank"))
     return spread.where(F.col("rank") + width - 1 <= F.col("last")).groupBy("year", "rank").agg(F.countDistinct("dst").alias("count"))
+
+
+def store(pairs: DataFrame, path: str) -> None:
+    """Reach rows as a table in folders by month."""
+    pairs.write.mode("overwrite").partitionBy("month").parquet(path)

@@ -86,7 +86,8 @@ def vulnerable_reach(details: DataFrame, reach: DataFrame, months: DataFrame) ->
     Open months are enumerated from each vulnerability's own dates: no range join."""
     begin, end = F.add_months(F.trunc("vulnerable_date", "MM"), 1), F.trunc(F.col("patched_date") - F.expr("interval 1 microsecond"), "MM")
     open_ = details.withColumn("b", begin).withColumn("e", end).where("b <= e").select("id", "package", F.explode(F.sequence("b", "e", F.expr("interval 1 month"))).alias("month"))
-    rows = open_.join(reach.select(F.col("src").alias("package"), "month", "dst"), ["package", "month"])
+    keys = ["package", "month"] if "month" in reach.columns else ["package"]  # a reach that is the same in all months
+    rows = open_.join(reach.select(F.col("src").alias("package"), *keys[1:], "dst"), keys)
     by = rows.groupBy("month").agg(F.countDistinct("id").alias("open"), F.countDistinct("dst").alias("count"))
     return months.join(by, "month", "left").select("month", F.coalesce("open", F.lit(0)).alias("open"), F.coalesce("count", F.lit(0)).alias("count"))
 
@@ -123,32 +124,52 @@ def used_ratio(results: DataFrame) -> DataFrame:
 
 
 def decade_buckets(x: Column) -> Column:
-    """V1, V2: 0, 1 to 5 singly, 6-9, 10-99, 100-999, 1000-9999, more."""
+    """V1: 0, 1 to 5 singly, 6-9, 10-99, 100-999, 1000-9999, more."""
     return F.when(x <= 5, x.cast("int").cast("string")).when(x < 10, "6-9").when(x < 100, "10-99").when(x < 1000, "100-999").when(x < 10000, "1000-9999").otherwise("10000+")
 
 
+def cost_buckets(x: Column) -> Column:
+    """V2: 0, 1-9, 10-99, 100-999, 1000-9999, more."""
+    return F.when(x < 1, "0").when(x < 10, "1-9").when(x < 100, "10-99").when(x < 1000, "100-999").when(x < 10000, "1000-9999").otherwise("10000+")
+
+
+def cost_histogram(df: DataFrame, column: str) -> DataFrame:
+    """V2."""
+    return df.groupBy(cost_buckets(F.col(column)).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def used_histogram(results: DataFrame) -> DataFrame:
+    """V5: packages by the tenth that their share of used dependencies falls in; those that declare none are left out."""
+    return results.where(F.col("ratio").isNotNull()).groupBy(F.floor(F.col("ratio") * 10).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
+
+
 def histogram(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(decade_buckets(F.col(column)).alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def doane_histogram(df: DataFrame, column: str) -> DataFrame:
-    """V1: bins by Doane's rule from count and skewness."""
+    """V1: bins by Doane's rule from count and skewness; one bin for a constant, no skewness below three rows."""
     x = F.col(column).cast("double")
     s = df.agg(F.count(x).alias("n"), F.skewness(x).alias("g"), F.min(x).alias("lo"), F.max(x).alias("hi"))
     sigma = F.sqrt(6.0 * (F.col("n") - 2) / ((F.col("n") + 1.0) * (F.col("n") + 3)))
-    s = s.select("lo", "hi", F.ceil(1 + F.log2(F.col("n").cast("double")) + F.log2(1 + F.abs("g") / sigma)).cast("int").alias("bins"))
-    at = F.least(F.col("bins") - 1, F.floor((x - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("bins")).cast("int"))
-    return df.crossJoin(F.broadcast(s)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
+    skew = F.when((F.col("n") < 3) | F.isnan("g"), 0.0).otherwise(F.coalesce(F.try_divide(F.abs("g"), sigma), F.lit(0.0)))
+    bins = F.when(F.col("hi") <= F.col("lo"), 1).otherwise(F.ceil(1 + F.log2(F.col("n").cast("double")) + F.log2(1 + skew)).cast("int"))
+    s = s.select("lo", "hi", bins.alias("bins"))
+    part = F.coalesce(F.try_divide(x - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
+    at = F.least(F.col("bins") - 1, F.floor(part * F.col("bins")).cast("int"))
+    return df.where(F.col(column).isNotNull()).crossJoin(F.broadcast(s)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
 
 
 def positive_mean(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """V3: mean of values not under 0."""
-    return rows.where(F.col(value) >= 0).groupBy(key).agg(F.avg(value).alias("mean"))
+    """V3: mean of positive values; keys without any have none."""
+    return rows.where(F.col(value) > 0).groupBy(key).agg(F.avg(value).alias("mean"))
 
 
 def saving(usage: DataFrame, cost: DataFrame, most: float = 0.1) -> DataFrame:
-    """V4: sum of cost + 1 over dependencies that are used up to a share."""
-    return usage.where((F.col("share") >= 0) & (F.col("share") <= most)).join(cost, usage["dst"] == cost["src"]).groupBy("package").agg(F.sum(F.col("count") + 1).alias("saving"))
+    """V4: by package the sum of cost + 1 over dependencies that are used, but up to a share; 0 for others."""
+    little = usage.where((F.col("share") > 0) & (F.col("share") <= most)).join(cost.select(F.col("src").alias("dst"), "count"), "dst", "left")
+    found = little.groupBy("package").agg(F.sum(F.coalesce("count", F.lit(0)) + 1).alias("saving"))
+    return usage.select("package").distinct().join(found, "package", "left").select("package", F.coalesce("saving", F.lit(0)).alias("saving"))
 
 
 def top_modules(uses: DataFrame, modules: DataFrame) -> DataFrame:
@@ -175,16 +196,17 @@ def spearman(pairs: DataFrame) -> DataFrame:
 def boosts(diffs: DataFrame, least: float = 1000.0) -> DataFrame:
     """Pairs of the last spike and the fall that ends it; diffs(key, t, diff)."""
     w = Window.partitionBy("key").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-    rows = diffs.withColumn("spike", F.max(F.when(F.col("diff") >= least, F.col("t"))).over(w)).withColumn("fall", F.max(F.when(F.col("diff") <= -least, F.col("t"))).over(w))
-    return rows.where((F.col("diff") <= -least) & F.col("spike").isNotNull() & (F.col("fall").isNull() | (F.col("fall") < F.col("spike")))).select("key", "spike", F.col("t").alias("fall"))
+    rows = diffs.withColumn("spike", F.max(F.when(F.col("diff") > least, F.col("t"))).over(w)).withColumn("fall", F.max(F.when(F.col("diff") < -least, F.col("t"))).over(w))
+    return rows.where((F.col("diff") < -least) & F.col("spike").isNotNull() & (F.col("fall").isNull() | (F.col("fall") < F.col("spike")))).select("key", "spike", F.col("t").alias("fall"))
 
 
 def boost_factors(series: DataFrame, found: DataFrame) -> DataFrame:
-    """Value after the first fall over the trend before its spike; factors of 1 and more; series(key, t, value)."""
+    """How far the value after the first fall is from the trend before its spike, as a share of that; shares of 1
+    and more are dropped, as is a trend of 0; series(key, t, value)."""
     first = found.groupBy("key").agg(F.min(F.struct("fall", "spike")).alias("b")).select("key", "b.spike", "b.fall")
     trend = series.join(first, "key").where("t < spike").groupBy("key", "fall").agg(F.regr_slope("value", "t").alias("m"), F.regr_intercept("value", "t").alias("c"))
     after = series.join(trend, "key").where("t = fall").withColumn("expected", F.col("m") * F.col("t") + F.col("c")).where("expected <> 0")
-    return after.select("key", "fall", (F.col("value") / F.col("expected")).alias("factor")).where("factor >= 1")
+    return after.select("key", "fall", ((F.col("value") - F.col("expected")) / F.col("expected")).alias("factor")).where("factor < 1")
 
 
 def usage_bars(layer_counts: DataFrame) -> DataFrame:
@@ -235,3 +257,34 @@ def platform_class(uses: DataFrame, node: list[str], browser: list[str]) -> Data
 def presence(rows: DataFrame) -> DataFrame:
     """By month repositories that have each name."""
     return rows.select("month", "repo", "name").distinct().groupBy("month", "name").agg(F.count("*").alias("n"))
+
+
+def cumulative_reach(reach: DataFrame, months: DataFrame) -> DataFrame:
+    """V8: packages that vulnerabilities have reached in any month before each; reach(month, package)."""
+    from .timeline import cumulative_items
+
+    return cumulative_items(reach.select(F.col("package").alias("item"), "month"), months)
+
+
+def vulnerable_use(dependencies: DataFrame, calls: DataFrame) -> DataFrame:
+    """By month repositories with a vulnerable dependency, and those that also call what is vulnerable;
+    dependencies(month, repo), calls(month, repo)."""
+    have = dependencies.select("month", "repo").distinct()
+    do = calls.select("month", "repo", F.lit(1).alias("called")).distinct()
+    return have.join(do, ["month", "repo"], "left").groupBy("month").agg(F.count("*").alias("dependent"), F.count("called").alias("calling"))
+
+
+def lines_of(lines: DataFrame, repo) -> DataFrame:
+    """Thousands of lines of one repository by month; lines(month, repo, lines)."""
+    return lines.where(F.col("repo") == F.lit(repo)).groupBy("month").agg((F.sum("lines") / 1000.0).alias("kloc"))
+
+
+def top_by_year(counts: DataFrame, n: int) -> DataFrame:
+    """The n largest counts of each year, ties by name; counts(year, name, count)."""
+    order = Window.partitionBy("year").orderBy(F.desc("count"), "name")
+    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
+def side_by_side(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Two series (month, value) on all months of either."""
+    return first.withColumnRenamed("value", "first").join(second.withColumnRenamed("value", "second"), "month", "full")

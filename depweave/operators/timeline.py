@@ -30,12 +30,12 @@ def latest_version(versions: DataFrame, when: str) -> DataFrame:
 
 
 def monthly_versions(versions: DataFrame, first: str = FIRST, last: str = LAST) -> DataFrame:
-    """Each package's version at each month (released ones only): one running maximum, no range join."""
+    """Each package's version at each month, `unreleased` before the first: one running maximum, no range join."""
     step = _candidates(versions).withColumn("month", F.greatest(F.add_months(F.trunc("release_time", "MM"), 1), F.lit(first).cast("date")))
     best = step.where(F.col("month") <= F.lit(last).cast("date")).groupBy("package", "month").agg(F.max("best").alias("b"))
-    span = best.groupBy("package").agg(F.min("month").alias("from")).select("package", F.explode(F.sequence("from", F.lit(last).cast("date"), F.expr("interval 1 month"))).alias("month"))
+    span = versions.select("package").distinct().select("package", F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr("interval 1 month"))).alias("month"))
     run = F.max("b").over(Window.partitionBy("package").orderBy("month").rowsBetween(Window.unboundedPreceding, 0))
-    return span.join(best, ["package", "month"], "left").withColumn("b", run).select("package", "month", "b.version")
+    return span.join(best, ["package", "month"], "left").withColumn("b", run).select("package", "month", F.coalesce("b.version", F.lit("unreleased")).alias("version"))
 
 
 def timeline(versions: DataFrame, members: DataFrame, first: str = FIRST, last: str = LAST) -> DataFrame:

@@ -14,9 +14,11 @@ VIEWS = {
     "members": f"SELECT o_custkey AS package, {VERSION} AS version, l_suppkey AS item, min(l_returnflag) AS value FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3",
     "maintainer_changes": "SELECT l_suppkey AS name, l_partkey % 40 AS package, 'ADDED' AS change, '1.0.0' AS version, min(l_shipdate) AS release_time FROM lineitem GROUP BY 1, 2 UNION ALL SELECT l_suppkey, l_partkey % 40, 'REMOVED', '2.0.0', max(l_shipdate) FROM lineitem GROUP BY 1, 2 HAVING min(l_shipdate) < max(l_shipdate) AND min(l_linenumber) = 1",
     "popularity": "SELECT o_custkey AS package, round(sum(o_totalprice), 2) AS overall, round(sum(CASE WHEN o_orderdate >= DATE '2000-01-01' THEN o_totalprice ELSE 0 END), 2) AS year2000 FROM orders GROUP BY 1",
-    "edges": "SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber WHERE a.l_quantity >= 45 AND b.l_quantity >= 35 AND a.l_partkey <> b.l_partkey",
-    "dev_edges": "SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber WHERE a.l_quantity <= 3 AND b.l_quantity >= 35 AND a.l_partkey <> b.l_partkey",
-    "owned": "SELECT DISTINCT l_suppkey AS owner, l_partkey AS package FROM lineitem WHERE l_quantity >= 46",
+    # every line item is read; a package depends on packages of smaller number, so closures stay small
+    "edges": "SELECT DISTINCT l_partkey AS src, CAST(floor(l_partkey / (2 + l_suppkey % 4)) AS BIGINT) AS dst FROM lineitem WHERE l_partkey >= 2 + l_suppkey % 4",
+    "dev_edges": "SELECT DISTINCT l_partkey AS src, CAST(floor(l_partkey / (6 + l_linenumber)) AS BIGINT) AS dst FROM lineitem WHERE l_partkey >= 6 + l_linenumber",
+    "owned": "SELECT DISTINCT l_suppkey AS owner, l_partkey AS package FROM lineitem",
+    "maintainers": "SELECT DISTINCT o_custkey AS package, l_suppkey AS name FROM orders JOIN lineitem ON l_orderkey = o_orderkey",
     "downloads": "SELECT event_type AS package, CAST(ts AS DATE) AS day, count(*) AS downloads FROM events GROUP BY 1, 2",
     "files": "SELECT source AS package, lang AS class, count(*) AS n FROM documents GROUP BY 1, 2",
     "packages": "SELECT p_partkey AS name, p_brand AS version, p_type AS main FROM part",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .bindings import common
+from .bindings import VERSION, common
 from .corpus import CUTOFF, GRID, STATEMENTS
 
 N = r"^(\d+)\.(\d+)\.(\d+)(?:-beta\.(\d+))?$"
@@ -29,7 +29,7 @@ MADE = [
     "maintained AS (SELECT DISTINCT m.month, c.name, c.package FROM months m JOIN maintainer_changes c ON c.change = 'ADDED' AND date_trunc('month', c.release_time) <= m.month LEFT JOIN maintainer_changes r ON r.name = c.name AND r.package = c.package AND r.change = 'REMOVED' WHERE r.name IS NULL OR date_trunc('month', r.release_time) > m.month)",
     "first_release AS (SELECT package, min(release_time) AS t FROM versions GROUP BY 1)",
     "candidate AS (SELECT p.* FROM parsed p WHERE p.pre = 1000000 OR p.version = (SELECT q.version FROM parsed q WHERE q.package = p.package ORDER BY q.release_time, q.ma, q.mi, q.pa, q.pre LIMIT 1))",
-    "snapshots AS (SELECT package, month, version FROM (SELECT c.package, m.month, c.version, row_number() OVER (PARTITION BY c.package, m.month ORDER BY c.ma DESC, c.mi DESC, c.pa DESC, c.pre DESC, c.release_time DESC) AS r FROM candidate c JOIN months m ON c.release_time < m.month) WHERE r = 1)",
+    "snapshots AS (SELECT package, month, COALESCE(version, 'unreleased') AS version FROM (SELECT k.package, m.month, c.version, row_number() OVER (PARTITION BY k.package, m.month ORDER BY c.ma DESC NULLS LAST, c.mi DESC, c.pa DESC, c.pre DESC, c.release_time DESC) AS r FROM (SELECT DISTINCT package FROM versions) k CROSS JOIN months m LEFT JOIN candidate c ON c.package = k.package AND c.release_time < m.month) WHERE r = 1)",
     "closed AS (SELECT src, dst FROM edges UNION SELECT c.src, e.dst FROM closed c JOIN edges e ON e.src = c.dst)",
     "dependents AS (SELECT dst AS src, src AS dst FROM closed)",
     "costs AS (SELECT src, count(*) AS count FROM closed GROUP BY 1)",
@@ -42,7 +42,12 @@ MADE = [
     "active AS (SELECT name AS key, month, count FROM (SELECT *, max(CASE WHEN count > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY name ORDER BY month) AS on_ FROM maintainer_counts) WHERE on_ = 1)",
     "diffs AS (SELECT key, month, CAST(count - COALESCE(lag(count) OVER (PARTITION BY key ORDER BY month), 0) AS DOUBLE) AS diff FROM active)",
     "cubes AS (SELECT s.month, s.package, m.item FROM snapshots s JOIN members m ON m.package = s.package AND m.version = s.version)",
-    "open_vulns AS (SELECT l_partkey AS package, l_partkey AS id, min(l_shipdate) AS vulnerable_date, max(l_shipdate) AS patched_date FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 40 GROUP BY 1)",
+    "called AS (SELECT *, concat(package, '|', fm, '|', role) AS src, CASE WHEN m = 2 THEN 1 WHEN m = 1 AND c THEN 2 WHEN m = 1 THEN 3 WHEN l THEN 4 WHEN c THEN 5 ELSE 6 END AS b, CASE WHEN m = 1 AND c THEN concat('lib', k, '|main|C|', f) WHEN m = 1 THEN concat('lib', k, '|main|', f) WHEN m = 2 THEN concat(package, '|./util|', f) WHEN l THEN concat(package, '|', fm, '|', f) WHEN c THEN concat('C|', f) ELSE f END AS dst FROM (SELECT concat('p', conv_id) AS package, conv_id % 7 AS k, role, turn % 3 AS m, turn % 5 = 4 AS c, turn % 4 = 0 AS l, concat('m', turn % 2) AS fm, substr(regexp_extract(text, '([A-Za-z]+)', 1), 1, 2) AS f FROM conversations) WHERE f <> '')",
+    "nodes AS (SELECT id, name, type FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY name, type) AS r FROM (SELECT src AS id, role AS name, 'unknown' AS type FROM called UNION ALL SELECT dst, f, CASE WHEN b = 3 AND f IN ('Th', 'On') THEN 'actualExport' WHEN b IN (1, 3) AND l THEN 'local' WHEN b IN (1, 3) THEN 'export' WHEN b IN (2, 5) THEN 'class' WHEN b = 4 THEN 'unknown' ELSE 'export' END FROM called)) WHERE r = 1)",
+    "calls_of AS (SELECT n.id, count(DISTINCT e.src) AS calls FROM nodes n LEFT JOIN called e ON e.dst = n.id GROUP BY 1)",
+    "actual AS (SELECT split_part(id, '|', 1) AS package, id FROM nodes WHERE type = 'actualExport')",
+    "apis AS (SELECT 'lib' || i AS package, id FROM (SELECT unnest(range(7)) AS i) x LEFT JOIN (SELECT package, id FROM actual UNION ALL SELECT split_part(id, '|', 1), id FROM calls_of WHERE calls > 1 AND regexp_matches(id, '^lib[0-9][|]main') AND split_part(id, '|', 1) NOT IN (SELECT package FROM actual)) y ON y.package = 'lib' || i)",
+    "open_vulns AS (SELECT l_partkey AS package, l_partkey AS id, min(l_shipdate) AS vulnerable_date, max(l_shipdate) AS patched_date FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)",
 ]
 
 
@@ -60,4 +65,21 @@ def sql(body: str) -> str:
     return common(*[x for k, x in named.items() if k in need]) + body
 
 
-CORPUS = {k: sql(v) for k, v in STATEMENTS.items()}
+_TOP = "(SELECT package FROM (SELECT package, row_number() OVER (ORDER BY overall DESC, package) AS r FROM popularity) WHERE r <= {})"
+#: The study's statements once more, written in other ways.
+APART = {
+    "q4_added_removed": "SELECT item, count(*) FILTER (change = 'ADDED') AS added, count(*) FILTER (change = 'REMOVED') AS removed FROM dependency_changes GROUP BY item HAVING bool_or(change = 'ADDED') AND bool_or(change = 'REMOVED') ORDER BY 2 DESC, 3 DESC, 1 LIMIT 25",
+    "q7_packages_per_maintainer": "SELECT l_suppkey AS name, count(DISTINCT o_custkey) AS n FROM lineitem, orders WHERE o_orderkey = l_orderkey GROUP BY 1",
+    "q11_with_removals": f"SELECT count(DISTINCT package) AS n, count(DISTINCT package) FILTER (package IN {_TOP.format(100)}) AS in_top FROM maintainer_changes WHERE change = 'REMOVED'",
+    "q12_average_ever_top": f"SELECT round(count(*)::DOUBLE / count(DISTINCT package), 6) AS average FROM (SELECT DISTINCT package, name FROM maintainer_changes WHERE change <> 'REMOVED' AND package IN {_TOP.format(1000)})",
+    "q14_pearson": "SELECT round(corr(overall / 1000000, n), 4) AS r FROM (SELECT DISTINCT package, count(*) OVER (PARTITION BY package) AS n FROM (SELECT DISTINCT o_custkey AS package, l_suppkey FROM orders, lineitem WHERE l_orderkey = o_orderkey)) JOIN popularity USING (package)",
+    "q20_version_predicates": "SELECT count(DISTINCT package) FILTER (patch >= 1) AS patched, count(*) AS counted, (SELECT count(*) FROM version_changes WHERE o = 1) AS published, count(*) FILTER (major >= 1 AND minor + patch >= 1) AS grown FROM version_counts",
+    "q22_dependents_in_top": f"SELECT DISTINCT o_custkey AS name, {VERSION} AS version FROM orders, lineitem WHERE l_orderkey = o_orderkey AND l_suppkey = 5 AND o_custkey IN {_TOP.format(100)} AND o_custkey IN (SELECT p_partkey FROM part)",
+    "q24_removed_while_added": "SELECT DISTINCT item FROM dependency_changes r WHERE change = 'REMOVED' AND NOT contains(version, '-') AND EXISTS (SELECT 1 FROM dependency_changes a WHERE a.package = r.package AND a.version = r.version AND a.change = 'ADDED')",
+    "q25_added_then_removed": "SELECT DISTINCT item FROM dependency_changes r WHERE change = 'REMOVED' AND NOT contains(version, '-') AND release_time > (SELECT min(a.release_time) FROM dependency_changes a WHERE a.package = r.package AND a.item = r.item AND a.change = 'ADDED')",
+    "q26c_timed_versions": "SELECT package, version, version_diff, release_time FROM version_changes WHERE epoch_us(release_time) <> 1000000",
+    "q29b_dependency_names": "SELECT DISTINCT l_suppkey AS item FROM lineitem",
+    "q32b_names_like": "SELECT DISTINCT l_suppkey::VARCHAR AS name FROM lineitem WHERE starts_with(l_suppkey::VARCHAR, '1') ORDER BY 1 LIMIT 20",
+    "q35c_dependents_of_one": "SELECT o_custkey AS package FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey = 5) GROUP BY 1",
+}
+CORPUS = {k: sql(APART.get(k, v)) for k, v in STATEMENTS.items()}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from depweave.functions import normalize, semver
 from depweave.operators import callgraph, changes, closure, cover, stats, timeline
+from depweave.sources import readers
 
 from . import bindings, corpus
 from .corpus import CUTOFF, GRID
@@ -55,10 +56,14 @@ def _(v, s):
     return changes.kept(v("versions"), None).select("package", "version", "nth")
 
 
-@query("f15_range_satisfaction", "SELECT version, (ma = 1 AND mi >= 2 AND pre >= 0) OR (ma >= 3 AND (ma > 3 OR mi > 0 OR pa > 0 OR pre = 1000000)) AS inside FROM (SELECT DISTINCT version, ma, mi, pa, pre FROM parsed) WHERE NOT (ma IN (1, 2) AND pa = 0 AND mi IN (0, 2) AND pre < 1000000)")
+@query("f15_range_satisfaction", "SELECT version, ((ma, mi, pa, pre) >= (1, 2, 0, 1000000) AND (ma, mi, pa, pre) < (2, 0, 0, 1000000)) OR (ma, mi, pa, pre) >= (3, 0, 0, 1000000) AS inside FROM (SELECT DISTINCT version, ma, mi, pa, pre FROM parsed)")
 def _(v, s):
-    rows = v("versions").select("version").distinct().where(~F.col("version").rlike(r"^[12]\.[02]\.0-"))
-    return rows.select("version", semver.satisfies(F.col("version"), F.lit(">=1.2.0 <2.0.0 || >=3.0.0")).alias("inside"))
+    return v("versions").select("version").distinct().select("version", semver.in_range(F.col("version"), ">=1.2.0 <2.0.0 || >=3.0.0").alias("inside"))
+
+
+@query("f16_node_range", "SELECT version, CASE WHEN pre < 1000000 THEN (ma, mi, pa) = (1, 4, 2) AND pre >= 3 ELSE ma = 1 AND (mi, pa) >= (4, 2) END AS inside FROM (SELECT DISTINCT version, ma, mi, pa, pre FROM parsed)")
+def _(v, s):
+    return v("versions").select("version").distinct().select("version", semver.in_range(F.col("version"), "^1.4.2-beta.3", node=True).alias("inside"))
 
 
 @query("f19_package_of_module", "SELECT url, split_part(replace(replace(url, 'https://', ''), 'http://', ''), '/', 1) AS package FROM pages")
@@ -232,10 +237,9 @@ def _(v, s):
     return closure.sizes(closure.closure(v("edges")))
 
 
-@query("r5_combined_reach", "SELECT count(DISTINCT dst) AS count FROM dependents WHERE src % 10 = 3")
+@query("r5_combined_reach", "SELECT count(DISTINCT dst) AS count FROM dependents")
 def _(v, s):
-    sources = v("packages").where("name % 10 = 3").select(F.col("name").alias("src"))
-    return closure.combined(closure.reach(v("edges"), sources))
+    return closure.combined(closure.reach(v("edges"), v("packages").select(F.col("name").alias("src"))))
 
 
 @query("r6_layers", "SELECT layer, count(*) AS count FROM (SELECT src, min(layer) AS layer FROM walk GROUP BY 1) GROUP BY 1")
@@ -248,7 +252,7 @@ def _(v, s):
     return closure.reach_with_dev(v("edges"), v("dev_edges"), v("packages").select(F.col("name").alias("src")))
 
 
-MONTHLY = "SELECT DISTINCT CAST(date_trunc('year', a.l_shipdate) AS DATE) AS month, a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber WHERE a.l_quantity >= 45 AND b.l_quantity >= 25 AND a.l_partkey <> b.l_partkey"
+MONTHLY = "SELECT DISTINCT CAST(date_trunc('year', l_shipdate) AS DATE) AS month, l_partkey AS src, CAST(floor(l_partkey / (2 + l_suppkey % 4)) AS BIGINT) AS dst FROM lineitem WHERE l_partkey >= 2 + l_suppkey % 4"
 
 
 def _monthly(v, s) -> DataFrame:
@@ -286,9 +290,23 @@ def _(v, s):
     return closure.positions(closure.owner_reach(closure.reach(v("edges")), v("owned")), "owner", "owner").where("rank <= 20")
 
 
-@query("r17_windowed_reach", "SELECT 2000 AS year, a.rank, count(DISTINCT d.dst) AS count FROM package_ranking a JOIN package_ranking b ON b.rank BETWEEN a.rank AND a.rank + 9 JOIN dependents d ON d.src = b.name WHERE a.rank + 9 <= (SELECT max(rank) FROM package_ranking) GROUP BY 1, 2")
+@query("r17_windowed_reach", f"SELECT year(a.month) AS year, a.rank, count(DISTINCT d.dst) AS count FROM (WITH RECURSIVE me AS ({MONTHLY}), mc AS (SELECT month, dst AS src, src AS dst FROM me UNION SELECT c.month, e.dst, c.dst FROM mc c JOIN me e ON e.month = c.month AND e.src = c.src), counted AS (SELECT month, src, count(*) AS n FROM mc GROUP BY 1, 2), ranks AS (SELECT month, src, row_number() OVER (PARTITION BY month ORDER BY n DESC, src) AS rank, count(*) OVER (PARTITION BY month) AS last FROM counted) SELECT x.month, x.rank, mc.dst FROM ranks x JOIN ranks y ON y.month = x.month AND y.rank BETWEEN x.rank AND x.rank + 9 JOIN mc ON mc.month = y.month AND mc.src = y.src WHERE x.rank + 9 <= x.last) a, (SELECT NULL AS dst) z, LATERAL (SELECT a.dst) d GROUP BY 1, 2")
+def _(v, s):
+    pairs = closure.reach(_monthly(v, s), keys=("month",)).withColumn("year", F.year("month"))
+    return closure.windowed_union(pairs).select(F.col("year").cast("long").alias("year"), F.col("rank").cast("long").alias("rank"), "count")
+
+
+@query("r9_labels", f"SELECT d.src, d.labels FROM (WITH RECURSIVE w AS (SELECT dst AS src, src AS dst, 1 AS layer FROM edges UNION SELECT w.src, e.src, w.layer + 1 FROM w JOIN edges e ON e.dst = w.dst WHERE w.layer < 40), f AS (SELECT src, dst, min(layer) AS layer FROM w GROUP BY 1, 2) SELECT f.src, array_to_string(list_sort(list(lpad(f.layer::VARCHAR, 2, '0') || '_' || f.dst || '_' || (SELECT min(CASE WHEN f.layer = 1 THEN f.src ELSE e.dst END) FROM edges e LEFT JOIN f g ON g.src = f.src AND g.dst = e.dst WHERE e.src = f.dst AND (f.layer = 1 OR g.layer = f.layer - 1)))), ',') AS labels FROM f WHERE f.src <= 12 GROUP BY 1) d")
+def _(v, s):
+    one = v("packages").where("name <= 12").select(F.col("name").alias("src"))
+    return closure.labelled(closure.reach(v("edges"), one)).select("src", F.array_join("labels", ",").alias("labels"))
+
+
+@query("r13_owner_cost_by_month", f"SELECT x.month, x.src, count(DISTINCT o.owner) AS count FROM (WITH RECURSIVE me AS ({MONTHLY}), mc AS (SELECT * FROM me UNION SELECT c.month, c.src, e.dst FROM mc c JOIN me e ON e.month = c.month AND e.src = c.dst) SELECT * FROM mc UNION SELECT m.month, o.package, o.package FROM owned o CROSS JOIN (SELECT DISTINCT month FROM me) m) x JOIN owned o ON o.package = x.dst GROUP BY 1, 2")
 def _(v, s):
-    return closure.windowed_union(closure.reach(v("edges")).withColumn("year", F.lit(2000))).select("year", F.col("rank").cast("long").alias("rank"), "count")
+    e = _monthly(v, s)
+    owned = v("owned").join(e.select("month").distinct())
+    return closure.owner_cost(closure.closure(e, keys=("month",)), owned, ("month",))
 
 
 # Cover and trust
@@ -303,7 +321,7 @@ def _ranks(counts, name):
     return closure.positions(counts, name)
 
 
-@query("g1_cover_along", "SELECT r.rank, r.name, (SELECT count(*) FROM (SELECT d.dst FROM owned o JOIN dependents d ON d.src = o.package JOIN ranking x ON x.name = o.owner GROUP BY d.dst HAVING min(x.rank) = r.rank)) AS new, (SELECT count(*) FROM (SELECT d.dst FROM owned o JOIN dependents d ON d.src = o.package JOIN ranking x ON x.name = o.owner GROUP BY d.dst HAVING min(x.rank) <= r.rank)) AS total FROM ranking r")
+@query("g1_cover_along", "SELECT r.rank, r.name, COALESCE(n, 0) AS new, CAST(sum(COALESCE(n, 0)) OVER (ORDER BY r.rank) AS BIGINT) AS total FROM ranking r LEFT JOIN (SELECT rank, count(*) AS n FROM (SELECT d.dst, min(x.rank) AS rank FROM owned o JOIN dependents d ON d.src = o.package JOIN ranking x ON x.name = o.owner GROUP BY 1) GROUP BY 1) f ON f.rank = r.rank")
 def _(v, s):
     pairs = _owner_pairs(v)
     return cover.cover_along(pairs, _ranks(pairs.groupBy("name").agg(F.count("*").alias("count")).withColumnRenamed("name", "owner"), "owner"))
@@ -330,6 +348,15 @@ def _(v, s):
     return cover.secured_share(pairs, _ranks(closure.sizes(closure.reach(edges)), "src"), n, 100).withColumn("share", _r("share"))
 
 
+@query("g5_trusted_owners", "SELECT k.k, round(((SELECT count(*) FROM sets) - (SELECT count(*) FROM sets s JOIN ranking r ON r.name = s.element WHERE r.rank <= k.k))::DOUBLE / (SELECT count(*) FROM packages), 6) AS average FROM (SELECT unnest(range(0, 22)) AS k) k, (SELECT 1) z".replace("sets", "(SELECT DISTINCT x.src, o.owner AS element FROM (SELECT package AS src, package AS dst FROM owned UNION SELECT src, dst FROM closed) x JOIN owned o ON o.package = x.dst)"))
+def _(v, s):
+    edges, owned, n = v("edges"), v("owned"), v("packages").count()
+    nodes = owned.select(F.col("package").alias("src"), F.col("package").alias("dst")).unionByName(closure.closure(edges).select("src", "dst")).distinct()
+    pairs = nodes.join(owned.select(F.col("package").alias("dst"), F.col("owner").alias("element")), "dst").select(F.col("src").alias("set"), "element").distinct()
+    ranks = closure.positions(closure.owner_reach(closure.reach(edges), owned), "owner")
+    return cover.trust_average(pairs, ranks, n, 20).withColumn("average", _r("average"))
+
+
 @query("g6_regions", "SELECT in_a, in_b, in_universe, count(*) AS count FROM (SELECT e, max(a) AS in_a, max(b) AS in_b, max(u) AS in_universe FROM (SELECT dst AS e, 1 AS a, 0 AS b, 0 AS u FROM dependents WHERE src % 7 = 1 UNION ALL SELECT dst, 0, 1, 0 FROM dependents WHERE src % 7 = 2 UNION ALL SELECT name, 0, 0, 1 FROM packages) GROUP BY 1) GROUP BY 1, 2, 3")
 def _(v, s):
     pairs = closure.reach(v("edges"))
@@ -378,15 +405,14 @@ def _(v, s):
 
 @query("a8_vulnerable_dependencies", "SELECT p.name AS package, p.name IN (SELECT id FROM open_vulns) AS is_vulnerable, count(o.id) AS vulnerability_cost, count(e.dst) AS package_cost FROM packages p LEFT JOIN edges e ON e.src = p.name LEFT JOIN open_vulns o ON o.id = e.dst GROUP BY 1, 2")
 def _(v, s):
-    bad = v("lineitem").where("l_returnflag = 'R' AND l_quantity >= 40").select(F.col("l_partkey").alias("package")).distinct()
+    bad = v("lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("package")).distinct()
     return stats.vulnerable_dependencies(v("packages").select(F.col("name").alias("package")), v("edges"), bad)
 
 
 @query("a10_vulnerable_reach", "SELECT m.month, count(DISTINCT x.id) AS open, count(DISTINCT x.dst) AS count FROM months m LEFT JOIN (SELECT o.*, d.dst FROM open_vulns o JOIN dependents d ON d.src = o.package) x ON x.vulnerable_date < m.month AND m.month < x.patched_date GROUP BY 1")
 def _(v, s):
-    details = v("lineitem").where("l_returnflag = 'R' AND l_quantity >= 40").groupBy(F.col("l_partkey").alias("package")).agg(F.min("l_shipdate").alias("vulnerable_date"), F.max("l_shipdate").alias("patched_date")).withColumn("id", F.col("package"))
-    months = _months(s)
-    return stats.vulnerable_reach(details, closure.reach(v("edges")).crossJoin(F.broadcast(months)), months)
+    details = v("lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("package")).agg(F.min("l_shipdate").alias("vulnerable_date"), F.max("l_shipdate").alias("patched_date")).withColumn("id", F.col("package"))
+    return stats.vulnerable_reach(details, closure.reach(v("edges")), _months(s))
 
 
 @query("a11_file_totals", "SELECT class, sum(n)::BIGINT AS total FROM files GROUP BY 1 HAVING sum(n) > 10")
@@ -433,12 +459,12 @@ def _(v, s):
     return _graph(v)["call"].select("dst", "src")
 
 
-@query("p6_function_types")
+@query("p6_function_types", "SELECT id, name, type FROM nodes")
 def _(v, s):
     return _graph(v)["function"]
 
 
-@query("p8_merged_functions")
+@query("p8_merged_functions", "SELECT DISTINCT src, CASE WHEN b = 2 THEN replace(dst, '|C|', '|') ELSE dst END AS dst FROM called")
 def _(v, s):
     g = _graph(v)
     renames = g["function"].where(F.col("id").like("%|main|C|%")).select(F.col("id").alias("local"), F.replace("id", F.lit("|C|"), F.lit("|")).alias("exported"))
@@ -452,12 +478,12 @@ def _(v, s):
     return callgraph.dependency_graph({"dependencies": of("edges"), "devDependencies": of("dev_edges")}, people, people)["depends"]
 
 
-@query("n3_call_counts")
+@query("n3_call_counts", "SELECT id, calls FROM calls_of")
 def _(v, s):
     return callgraph.call_counts(_graph(v))
 
 
-@query("n4_calling_packages")
+@query("n4_calling_packages", "SELECT DISTINCT dst AS id, package FROM called")
 def _(v, s):
     return callgraph.calling_packages(_graph(v))
 
@@ -478,21 +504,52 @@ def _(v, s):
     return callgraph.call_chains({"call": v("edges").select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))}, 3).select(*[F.col(c).cast("long").alias(c) for c in ("f1", "f2", "f3")])
 
 
-@query("a16_api_size")
+@query("n1_functions_of_type", "SELECT id, name, type FROM nodes WHERE type = 'actualExport'")
+def _(v, s):
+    return callgraph.functions_of_type(_graph(v))
+
+
+@query("n2_packages", "SELECT package AS id FROM called UNION SELECT 'lib' || k FROM called WHERE b IN (2, 3)")
+def _(v, s):
+    return callgraph.all_packages(_graph(v))
+
+
+@query("n6_exported_functions", "SELECT package, id FROM actual")
+def _(v, s):
+    g = _graph(v)
+    return callgraph.exported_functions(g, g["_packages"])
+
+
+@query("n7_heuristic_exports", "SELECT split_part(id, '|', 1) AS package, id FROM calls_of WHERE calls > 1 AND regexp_matches(id, '^lib[0-9][|]main')")
+def _(v, s):
+    g = _graph(v)
+    return callgraph.exported_functions(g, g["_packages"], heuristic=True)
+
+
+@query("a16_api_size", "SELECT package, COALESCE(string_agg(id, ',' ORDER BY id), '') AS ids, count(id) AS size FROM apis GROUP BY 1")
 def _(v, s):
     g = _graph(v)
-    return callgraph.api_size(g, g["_packages"])
+    return callgraph.api_size(g, g["_packages"]).select("package", F.array_join("exported_functions", ",").alias("ids"), F.col("size").cast("long").alias("size"))
 
 
-@query("a17_api_usage")
+@query("a17_api_usage", "SELECT n.id AS function, c.calls AS call_count, count(DISTINCT e.package) AS packages_count, COALESCE(string_agg(DISTINCT e.package, ',' ORDER BY e.package), '') AS packages FROM nodes n JOIN calls_of c ON c.id = n.id LEFT JOIN called e ON e.dst = n.id WHERE n.type = 'actualExport' GROUP BY 1, 2")
 def _(v, s):
-    return callgraph.api_usage(_graph(v))
+    return callgraph.api_usage(_graph(v)).select("function", "call_count", F.col("packages_count").cast("long").alias("packages_count"), F.array_join("packages", ",").alias("packages"))
+
 
+EXPORT_USE = "SELECT r.package, r.required, CASE WHEN count(a.id) = 0 THEN -1.0 ELSE count(DISTINCT e.dst)::DOUBLE / count(DISTINCT a.id) END AS share FROM (SELECT DISTINCT package, 'lib' || k AS required FROM called WHERE b IN (2, 3)) r LEFT JOIN apis a ON a.package = r.required LEFT JOIN called e ON e.package = r.package AND e.dst = a.id GROUP BY 1, 2"
 
-@query("a18_export_usage")
+
+@query("a18_export_usage", f"SELECT package, required, round(share, 6) AS share FROM ({EXPORT_USE})")
 def _(v, s):
     g = _graph(v)
-    return callgraph.export_usage(g, g["_packages"])
+    return callgraph.export_usage(g, g["_packages"]).select("package", "required", _r("share"))
+
+
+@query("v3_positive_mean", f"SELECT package, round(avg(share), 6) AS mean FROM ({EXPORT_USE}) WHERE share > 0 GROUP BY 1")
+def _(v, s):
+    g = _graph(v)
+    return stats.positive_mean(callgraph.export_usage(g, g["_packages"]), "package", "share").select("package", _r("mean"))
 
 
 # Histograms, trends
@@ -503,7 +560,7 @@ def _(v, s):
     return stats.histogram(v("documents"), "n_chars")
 
 
-@query("v1_doane_histogram")
+@query("v1_doane_histogram", "SELECT CAST(least(bins - 1, floor((c - lo) / (hi - lo) * bins)) AS INT) AS bin, count(*) AS n FROM (SELECT n_chars::DOUBLE AS c FROM documents) d, (SELECT *, ceil(1 + log2(n) + log2(1 + abs(g) / sqrt(6.0 * (n - 2) / ((n + 1.0) * (n + 3))))) AS bins FROM (SELECT count(*) AS n, min(x) AS lo, max(x) AS hi, avg(pow(x - m, 3)) / pow(avg(pow(x - m, 2)), 1.5) AS g FROM (SELECT n_chars::DOUBLE AS x, avg(n_chars) OVER () AS m FROM documents))) GROUP BY 1")
 def _(v, s):
     return stats.doane_histogram(v("documents"), "n_chars")
 
@@ -567,3 +624,173 @@ def _(v, s):
 @query("v22_presence", "SELECT CAST(date_trunc('day', ts) AS DATE) AS month, event_type AS name, count(DISTINCT user_id) AS n FROM events GROUP BY 1, 2")
 def _(v, s):
     return stats.presence(v("events").select(F.to_date("ts").alias("month"), F.col("user_id").alias("repo"), F.col("event_type").alias("name")))
+
+
+@query("v2_cost_histogram", "SELECT CASE WHEN c < 1 THEN '0' WHEN c < 10 THEN '1-9' WHEN c < 100 THEN '10-99' WHEN c < 1000 THEN '100-999' WHEN c < 10000 THEN '1000-9999' ELSE '10000+' END AS bucket, count(*) AS n FROM (SELECT COALESCE(k.count, 0) AS c FROM packages p LEFT JOIN costs k ON k.src = p.name) GROUP BY 1")
+def _(v, s):
+    return stats.cost_histogram(closure.ranked(closure.sizes(closure.closure(v("edges"))), "src", v("packages").select(F.col("name").alias("src"))), "count")
+
+
+@query("v4_saving", "SELECT l_orderkey AS package, CAST(COALESCE(sum(CASE WHEN l_discount > 0 AND l_discount <= 0.05 THEN COALESCE(c.count, 0) + 1 END), 0) AS BIGINT) AS saving FROM lineitem LEFT JOIN costs c ON c.src = l_partkey GROUP BY 1")
+def _(v, s):
+    usage = v("lineitem").select(F.col("l_orderkey").alias("package"), F.col("l_partkey").alias("dst"), F.col("l_discount").cast("double").alias("share"))
+    return stats.saving(usage, closure.sizes(closure.closure(v("edges"))), 0.05)
+
+
+@query("v5_used_histogram", "SELECT CAST(floor(r * 10) AS INT) AS bucket, count(*) AS n FROM (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R')::DOUBLE / count(*) AS r FROM lineitem GROUP BY 1) GROUP BY 1")
+def _(v, s):
+    t = v("lineitem").groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("a"), F.count("*").alias("b"))
+    return stats.used_histogram(t.select(normalize.average(F.col("a"), F.col("b")).alias("ratio")))
+
+
+@query("v7_share_of", "SELECT month, round(count(*) FILTER (count > 20)::DOUBLE / count(*), 6) AS share FROM maintainer_counts GROUP BY 1")
+def _(v, s):
+    by = _series(v).groupBy("month").agg(F.count_if(F.col("count") > 20).alias("value"), F.count("*").alias("total"))
+    return stats.share_of(by.select("month", "value"), by.select("month", "total")).withColumn("share", _r("share"))
+
+
+@query("v8_cumulative_reach", f"SELECT m.month, (SELECT count(DISTINCT x.dst) FROM ({MONTHLY}) x WHERE x.month < m.month) AS count FROM months m")
+def _(v, s):
+    return stats.cumulative_reach(_monthly(v, s).select("month", F.col("dst").alias("package")), _months(s))
+
+
+BOOSTS = ORACLE["v10_boosts"]
+
+
+@query("v11_boost_factors", "SELECT f.key, f.fall, round((e.value - (f.m * f.fall + f.c)) / (f.m * f.fall + f.c), 6) AS factor FROM (SELECT b.key, b.fall, regr_slope(e.value, e.event_id) AS m, regr_intercept(e.value, e.event_id) AS c FROM (SELECT key, min(fall) AS fall, arg_min(spike, fall) AS spike FROM (" + BOOSTS[BOOSTS.index("SELECT * FROM (WITH d AS") :] + ") GROUP BY 1) b JOIN events e ON e.event_type = b.key AND e.event_id < b.spike GROUP BY 1, 2) f JOIN events e ON e.event_type = f.key AND e.event_id = f.fall WHERE f.m * f.fall + f.c <> 0 AND (e.value - (f.m * f.fall + f.c)) / (f.m * f.fall + f.c) < 1")
+def _(v, s):
+    from pyspark.sql import Window
+
+    e = v("events").select(F.col("event_type").alias("key"), F.col("event_id").alias("t"), "value")
+    d = e.withColumn("diff", F.col("value") - F.lag("value").over(Window.partitionBy("key").orderBy("t")))
+    return stats.boost_factors(e, stats.boosts(d, 300.0)).withColumn("factor", _r("factor"))
+
+
+@query("v15_slice_means", "SELECT slice, round(avg(value), 6) AS mean FROM (SELECT key, s.slice, sum(value) AS value FROM (SELECT package AS key, row_number() OVER (PARTITION BY package ORDER BY day) - 1 AS i, downloads AS value, count(*) OVER (PARTITION BY package) AS n FROM downloads) x JOIN (SELECT unnest(range(0, 10))::INT AS slice) s ON x.i >= floor(s.slice * x.n / 10) AND x.i < ceil((s.slice + 1) * x.n / 10) GROUP BY 1, 2) GROUP BY 1")
+def _(v, s):
+    from pyspark.sql import Window
+
+    rows = v("downloads").select(F.col("package").alias("key"), (F.row_number().over(Window.partitionBy("package").orderBy("day")) - 1).alias("i"), F.col("downloads").alias("value"))
+    return stats.slice_means(stats.lifetime_deciles(rows)).withColumn("mean", _r("mean"))
+
+
+def _uses(v) -> DataFrame:
+    return v("events").select(F.trunc("ts", "MM").alias("month"), F.col("user_id").alias("repo"), F.col("event_type").alias("name"), F.lit(1).cast("long").alias("n"), (F.col("event_id") % 100).alias("lines"))
+
+
+@query("v18_usage_per_repository", "SELECT u.month, u.name, u.n, u.users, round(u.n::DOUBLE / r.repos, 6) AS rate FROM (SELECT CAST(date_trunc('month', ts) AS DATE) AS month, event_type AS name, count(*) AS n, count(DISTINCT user_id) AS users FROM events WHERE event_type LIKE 'c%' GROUP BY 1, 2) u JOIN (SELECT CAST(date_trunc('month', ts) AS DATE) AS month, count(DISTINCT user_id) AS repos FROM events GROUP BY 1) r ON r.month = u.month")
+def _(v, s):
+    e = _uses(v)
+    return stats.usage_per_size(e.where("name LIKE 'c%'"), e, by_repository=True).withColumn("rate", _r("rate"))
+
+
+@query("v23_vulnerable_use", "SELECT d.month, count(*) AS dependent, count(c.repo) AS calling FROM (SELECT DISTINCT CAST(date_trunc('day', ts) AS DATE) AS month, user_id AS repo FROM events WHERE event_type = 'error') d LEFT JOIN (SELECT DISTINCT CAST(date_trunc('day', ts) AS DATE) AS month, user_id AS repo FROM events WHERE event_type = 'click') c ON c.month = d.month AND c.repo = d.repo GROUP BY 1")
+def _(v, s):
+    e = v("events").select(F.to_date("ts").alias("month"), F.col("user_id").alias("repo"), "event_type")
+    return stats.vulnerable_use(e.where("event_type = 'error'"), e.where("event_type = 'click'"))
+
+
+@query("v24_lines", "SELECT CAST(date_trunc('month', ts) AS DATE) AS month, sum(event_id % 100) / 1000.0 AS kloc FROM events WHERE user_id = 7 GROUP BY 1")
+def _(v, s):
+    return stats.lines_of(_uses(v), 7)
+
+
+@query("v25_top_by_year", "SELECT year, name, count, rank FROM (SELECT year(month) AS year, name, count, row_number() OVER (PARTITION BY year(month) ORDER BY count DESC, name) AS rank FROM maintainer_counts WHERE month(month) = 4) WHERE rank <= 20")
+def _(v, s):
+    rows = timeline.maintainer_counts(v("maintainer_changes"), *GRID).where("month(month) = 4")
+    return stats.top_by_year(rows.select(F.year("month").alias("year"), "name", "count"), 20)
+
+
+@query("v26_side_by_side", "SELECT COALESCE(a.month, b.month) AS month, a.n AS first, b.n AS second FROM (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, count(*) AS n FROM lineitem GROUP BY 1) a FULL JOIN (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS n FROM orders GROUP BY 1) b ON b.month = a.month WHERE a.n IS NOT NULL AND b.n IS NOT NULL")
+def _(v, s):
+    count = lambda t, c: v(t).groupBy(F.trunc(c, "MM").alias("month")).agg(F.count("*").alias("value"))
+    return stats.side_by_side(count("lineitem", "l_shipdate"), count("orders", "o_orderdate")).where("first is not null and second is not null")
+
+
+# Scans, rules and dates that had no query
+
+
+@query("t2_month_snapshot", "SELECT package, version FROM snapshots WHERE month = DATE '1996-01-01'")
+def _(v, s):
+    return timeline.slice_at(timeline.monthly_versions(v("versions"), *GRID), "1996-01-01").select("package", "version")
+
+
+@query("t6_maintainer_cube", "SELECT s.month, m.name AS item, count(*) AS n FROM snapshots s JOIN maintainers m ON m.package = s.package WHERE s.version <> 'unreleased' GROUP BY 1, 2")
+def _(v, s):
+    shots = timeline.monthly_versions(v("versions"), *GRID).where("version <> 'unreleased'")
+    people = v("versions").select("package", "version").join(v("maintainers"), "package").select("package", "version", F.col("name").alias("item"))
+    return timeline.cube(shots, people).groupBy("month", "item").agg(F.count("*").alias("n"))
+
+
+@query("t16_download_rows", "SELECT package, day, downloads FROM downloads")
+def _(v, s):
+    docs = v("downloads").groupBy("package").agg(F.collect_list(F.struct("downloads", F.col("day").cast("string").alias("day"))).alias("downloads"))
+    return timeline.download_rows(docs.select(F.to_json(F.struct("package", "downloads")).alias("value")))
+
+
+@query("a4_average_maintained", "SELECT m.month, round(COALESCE(avg(a.count), 0), 6) AS value FROM months m LEFT JOIN active a ON a.month = m.month GROUP BY 1")
+def _(v, s):
+    return stats.active_mean(_series(v), _months(s)).withColumn("value", _r("value"))
+
+
+@query("a9_vulnerable_dates", "SELECT package AS id, package, COALESCE(arg_min(release_time, (ma, mi, pa, pre)) FILTER ((ma, mi, pa, pre) < (1, 2, 0, 1000000)), TIMESTAMP '2018-03-31') AS vulnerable_date, COALESCE(arg_min(release_time, (ma, mi, pa, pre)) FILTER ((ma, mi, pa, pre) >= (2, 3, 0, 1000000)), TIMESTAMP '2018-04-02') AS patched_date FROM parsed GROUP BY 1, 2")
+def _(v, s):
+    found = v("versions").select(F.col("package").alias("id"), "package").distinct().withColumn("vulnerable_versions", F.lit("<1.2.0")).withColumn("patched_versions", F.lit(">=2.3.0"))
+    return stats.vulnerable_dates(found, v("versions"))
+
+
+@query("s4_named", "SELECT name, version FROM packages WHERE CAST(name AS VARCHAR) <> ''")
+def _(v, s):
+    return readers.named(v("packages").withColumn("name", F.col("name").cast("string")), "version").withColumn("name", F.col("name").cast("long"))
+
+
+@query("s5_lookup", "SELECT o.o_orderkey, p.main, p.name IS NOT NULL AS known FROM orders o LEFT JOIN packages p ON p.name = o.o_custkey * 2")
+def _(v, s):
+    rows = v("orders").select("o_orderkey", (F.col("o_custkey") * 2).alias("name"))
+    return readers.lookup(rows, v("packages").select("name", "main")).select("o_orderkey", "main", "known")
+
+
+@query("s8_maintainer_changes_in_order", "SELECT package, release_time, name, change FROM maintainer_changes")
+def _(v, s):
+    return readers.maintainer_changes_in_order(v("maintainer_changes")).select("package", "release_time", "name", "change")
+
+
+@query("f17_local_imports", "SELECT DISTINCT p, p IN ('.', '..') OR p LIKE '/%' OR p LIKE './%' OR p LIKE '../%' AS is_local FROM (SELECT CASE doc_id % 6 WHEN 0 THEN '.' WHEN 1 THEN './' WHEN 2 THEN '../' WHEN 3 THEN '/' WHEN 4 THEN '.x' ELSE '' END || source AS p FROM documents)")
+def _(v, s):
+    mark = F.element_at(F.array(*[F.lit(x) for x in (".", "./", "../", "/", ".x", "")]), (F.col("doc_id") % 6 + 1).cast("int"))
+    return v("documents").select(F.concat(mark, "source").alias("p")).distinct().select("p", normalize.is_local_import(F.col("p")).alias("is_local"))
+
+
+@query("f20_main_module", "SELECT DISTINCT p, CASE WHEN b = '' THEN 'index' ELSE b END AS module FROM (SELECT p, regexp_replace(regexp_replace(p, '\\.[^./]*$', ''), '^[./]+', '') AS b FROM (SELECT CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN './' || source || '.js' WHEN 2 THEN '/lib/' || source WHEN 3 THEN source || '.min.js' ELSE './' END AS p FROM documents))")
+def _(v, s):
+    k, x = F.col("doc_id") % 5, F.col("source")
+    p = F.when(k == 0, "").when(k == 1, F.concat(F.lit("./"), x, F.lit(".js"))).when(k == 2, F.concat(F.lit("/lib/"), x)).when(k == 3, F.concat(x, F.lit(".min.js"))).otherwise("./")
+    return v("documents").select(p.alias("p")).distinct().select("p", normalize.main_module(F.col("p")).alias("module"))
+
+
+@query("f21_trim_extension", "SELECT doc_id, replace(source || '.js.' || lang || '.js', '.js', '') AS t FROM documents")
+def _(v, s):
+    return v("documents").select("doc_id", normalize.trim_extension(F.concat("source", F.lit(".js."), "lang", F.lit(".js")), F.lit(".js")).alias("t"))
+
+
+@query("f22_strip_newlines", "SELECT doc_id, md5(replace(text, chr(10), '')) AS t FROM documents")
+def _(v, s):
+    return v("documents").select("doc_id", F.md5(normalize.strip_newlines(F.col("text")).cast("binary")).alias("t"))
+
+
+@query("f25_intact", "SELECT doc_id, doc_id % 3 <> 0 AS intact FROM documents WHERE text IS NOT NULL")
+def _(v, s):
+    body = F.col("text").cast("binary")
+    d = v("documents").where("text is not null")
+    return d.select("doc_id", normalize.intact(body, F.when(F.col("doc_id") % 3 == 0, "0").otherwise(F.sha1(body))).alias("intact"))
+
+
+@query("f26_log_shift", "SELECT l_orderkey, l_linenumber, round(log10(l_quantity + 0.01), 6) AS x FROM lineitem")
+def _(v, s):
+    return v("lineitem").select("l_orderkey", "l_linenumber", F.round(normalize.log_shift(F.col("l_quantity").cast("double")), 6).alias("x"))
+
+
+@query("f27_name_version", "SELECT DISTINCT 'my-' || source AS name, '1.' || (doc_id % 40) || '.0' AS version FROM documents")
+def _(v, s):
+    file = F.concat(F.lit("a/b/my-"), "source", F.lit("-1."), (F.col("doc_id") % 40).cast("string"), F.lit(".0.tgz"))
+    return v("documents").select(normalize.name_version(file).alias("x")).select("x.*").distinct()

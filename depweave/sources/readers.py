@@ -34,6 +34,11 @@ def named(packages: DataFrame, *columns: str) -> DataFrame:
     return packages.where("name <> ''").select("name", *columns)
 
 
+def maintainer_changes_in_order(changes: DataFrame) -> DataFrame:
+    """Sorted by package and time; what needs the order of one package alone takes a window instead."""
+    return changes.orderBy("package", "release_time")
+
+
 def lookup(rows: DataFrame, packages: DataFrame, column: str = "name") -> DataFrame:
     """Existence and main file for many names in one join."""
     return rows.join(packages.select(F.col("name").alias(column), "main", F.lit(True).alias("known")), column, "left").withColumn("known", F.coalesce("known", F.lit(False)))

@@ -9,6 +9,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from depweave.functions import semver
 from depweave.operators import callgraph, changes, closure, cover, stats, timeline
 from depweave.sources import readers, writers
 from depweave.streaming import feed
@@ -168,3 +169,30 @@ def test_change_feed(spark, tmp_path):
     bad = feed.rejects(stream).writeStream.format("memory").queryName("bad").trigger(availableNow=True).start()
     bad.awaitTermination(60)
     assert [r.value for r in spark.table("bad").collect()] == ["broken"]
+
+
+def test_use_and_saving(spark):
+    usage = spark.createDataFrame([("p", "a", 0.05), ("p", "b", 0.0), ("p", "c", 0.5), ("q", "a", 0.0)], "package string, dst string, share double")
+    cost = spark.createDataFrame([("a", 4)], "src string, count long")
+    assert dict(map(tuple, stats.saving(usage, cost).collect())) == {"p": 5, "q": 0}
+    assert dict(map(tuple, stats.positive_mean(usage, "package", "share").collect())) == {"p": 0.275}
+    assert stats.doane_histogram(spark.createDataFrame([(3.0,), (3.0,)], "x double"), "x").collect() == [(0, 2)]
+    assert sum(r.n for r in stats.doane_histogram(spark.createDataFrame([(1.0,), (2.0,)], "x double"), "x").collect()) == 2
+    d = spark.createDataFrame([("k", 1, 10.0), ("k", 2, 11.0), ("k", 3, -10.0), ("k", 4, -11.0)], "key string, t int, diff double")
+    assert [tuple(r) for r in stats.boosts(d, 10.0).collect()] == [("k", 2, 4)]
+
+
+def test_ranges_that_are_known(spark):
+    v = ["1.2.3", "1.2.0-beta.1", "1.2.0", "2.0.0-rc.1", "2.0.0", "1.4.2-beta.3", "1.4.2-beta.2", "1.5.0-beta.1", "0.1.2", "0.2.0", "nope"]
+    rows = spark.createDataFrame([(x,) for x in v], "v string")
+    for text in (">=1.2.0 <2.0.0", "^1.4.2-beta.3", "~0.1.2", "1.x || 2.0.0", "1.2.0 - 1.4.2", "*", "!=1.2.0"):
+        for node in (False, True):
+            got = [r[0] for r in rows.select(semver.in_range(F.col("v"), text, node)).collect()]
+            assert got == [None if x == "nope" else semver.satisfies_one(x, text, node) for x in v], (text, node)
+
+
+def test_unreleased_months(spark):
+    rows = spark.createDataFrame([("p", "1.0.0", "2011-01-15")], "package string, version string, release_time string").withColumn("release_time", F.to_timestamp("release_time"))
+    got = timeline.timeline(rows, spark.createDataFrame([("p", "1.0.0", "d")], "package string, version string, item string"), "2010-12-01", "2011-02-01").orderBy("month").collect()
+    assert [(r.version, list(r["items"])) for r in got] == [("unreleased", []), ("unreleased", []), ("1.0.0", ["d"])]
+

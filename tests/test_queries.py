@@ -15,7 +15,7 @@ SOME = ["q4_added_removed", "q15_release_interval", "q23_replacements", "q33_lic
 
 def plain(df):
     def cell(x):
-        if x is None or x is pd.NaT or isinstance(x, float) and math.isnan(x):
+        if x is None or x is pd.NaT or x is pd.NA or isinstance(x, float) and math.isnan(x):
             return ""
         return f"{x:.4f}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(pd.Timestamp(x)) if hasattr(x, "year") else str(x)
 
