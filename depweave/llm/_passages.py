@@ -121,6 +121,8 @@ DOC = np.dtype([("id", "<i8"), ("sum", "<i8"), ("n", "<u4")])
 MEMBER = np.dtype([("id", "<i8"), ("sum", "<i8"), ("begin", "<i4")])
 #: An anchor that recurs, as its document gets it back; home 0: it is hot.
 HOMED = np.dtype([("pos", "<u4"), ("lo", "u1"), ("hi", "u1"), ("home", "<u8")])
+#: A covered interval of units.
+SPAN = np.dtype([("begin", "<i4"), ("end", "<i4")])
 #: `lo` of a mark that says that an anchor is hot.
 MARK = 255
 NAMES = ["bucket", "homed", "docs", "found"]
@@ -265,32 +267,36 @@ def _homes(doc: np.ndarray, owner: np.ndarray, rec: np.ndarray, plan: Plan) -> l
     return [(owner[order[more]], _homed(x["pos"], x["lo"], x["hi"], home[more]))] if more.any() else [()]
 
 
-def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All anchors found of each of a partition's documents."""
-    docs: list[np.ndarray] = []
-    recs: list[np.ndarray] = []
-    for b in batches:
-        for d, a in zip(b["docs"], b["found"], strict=True):
-            docs.append(np.frombuffer(d.as_py(), DOC))
-            recs.append(np.frombuffer(a.as_py(), HOMED))
-    if not recs:
-        return
-    doc, rec = np.concatenate(docs), np.concatenate(recs)
-    del docs, recs
-    order = np.lexsort((doc["sum"], doc["id"]))
-    begin = np.concatenate([[0], np.cumsum(doc["n"], dtype=np.int64)])
-    at = 0
-    while at < len(order):
-        ids, sums, found = [], [], []
-        while at < len(order) and len(ids) < 4096:
-            k = at
-            while k < len(order) and doc["id"][order[k]] == doc["id"][order[at]] and doc["sum"][order[k]] == doc["sum"][order[at]]:
-                k += 1
-            ids.append(int(doc["id"][order[at]]))
-            sums.append(int(doc["sum"][order[at]]))
-            found.append(b"".join(rec[begin[i] : begin[i + 1]].tobytes() for i in order[at:k].tolist()))
-            at = k
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sums, pa.int64()), pa.array(found, pa.binary())], ["doc", "sum", "found"])
+def _by_document(kind: np.dtype):
+    """All records (anchors found, or covered intervals) of each of a partition's documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs: list[np.ndarray] = []
+        recs: list[np.ndarray] = []
+        for b in batches:
+            for d, a in zip(b["docs"], b["found"], strict=True):
+                docs.append(np.frombuffer(d.as_py(), DOC))
+                recs.append(np.frombuffer(a.as_py(), kind))
+        if not recs:
+            return
+        doc, rec = np.concatenate(docs), np.concatenate(recs)
+        del docs, recs
+        order = np.lexsort((doc["sum"], doc["id"]))
+        begin = np.concatenate([[0], np.cumsum(doc["n"], dtype=np.int64)])
+        at = 0
+        while at < len(order):
+            ids, sums, found = [], [], []
+            while at < len(order) and len(ids) < 4096:
+                k = at
+                while k < len(order) and doc["id"][order[k]] == doc["id"][order[at]] and doc["sum"][order[k]] == doc["sum"][order[at]]:
+                    k += 1
+                ids.append(int(doc["id"][order[at]]))
+                sums.append(int(doc["sum"][order[at]]))
+                found.append(b"".join(rec[begin[i] : begin[i + 1]].tobytes() for i in order[at:k].tolist()))
+                at = k
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sums, pa.int64()), pa.array(found, pa.binary())], ["doc", "sum", "found"])
+
+    return run
 
 
 def _runs(rec: np.ndarray, window: int) -> Iterator[tuple[int, int, int]]:
@@ -374,8 +380,9 @@ def _segments(plan: Plan, hashed: str, found: str):
     return run
 
 
-def _covered(plan: Plan):
-    """Covered units of each segment's members. Rows come sorted by home."""
+def _covered(plan: Plan, parts: int):
+    """Covered units of each segment's members, packed for the partitions that gather them by document. Rows come
+    sorted by home."""
 
     def solve(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch | None:
         texts: dict[bytes, list[np.ndarray]] = {}
@@ -383,15 +390,17 @@ def _covered(plan: Plan):
             texts.setdefault(t, []).append(np.frombuffer(m, MEMBER))
         members = [np.concatenate(m) for m in texts.values()]
         cover = plan.kernel(plan.window, list(texts), [int(m["id"].min()) for m in members], [int(m["id"].max()) for m in members])
-        ids, sums, spans = [], [], []
+        docs, spans = [], []
         for k, own in enumerate(members):
             for i, s, begin in own.tolist():
                 x = cover(k, i)
                 if len(x):
-                    ids.append(i)
-                    sums.append(s)
-                    spans.append((x + begin).astype("<i4").tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sums, pa.int64()), pa.array(spans, pa.binary())], ["doc", "sum", "spans"]) if ids else None
+                    docs.append((i, s, 0))
+                    spans.append(x + begin)
+        if not docs:
+            return None
+        size = [len(x) for x in spans]
+        return _batch([(True, _by_part(np.array(docs, DOC), np.repeat(np.arange(len(docs)), size), np.concatenate(spans).astype("<i4").reshape(-1).view(SPAN), parts))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, home = [], 0, None
@@ -421,7 +430,7 @@ def merge(spans: np.ndarray) -> np.ndarray:
 
 
 def covered(docs: DataFrame, plan: Plan) -> tuple[DataFrame, str]:
-    """Every row of docs(doc_id, text, ...) with one more column: lists of packed [start, end) covered units; its name.
+    """Every row of docs(doc_id, text, ...) with one more column: packed [start, end) covered units; its name.
 
     The two joins with the texts have the same left side, so they share one shuffle of them.
     """
@@ -433,11 +442,11 @@ def covered(docs: DataFrame, plan: Plan) -> tuple[DataFrame, str]:
         base.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), hashed, "text").mapInArrow(_anchor_rows(plan, parts, hashed), rows)
         .repartition(parts, "bucket").mapInArrow(_recurring(plan, parts), rows)
     )
-    found = found.select("bucket", "docs", "found").repartition(parts, "bucket").mapInArrow(_by_document, "doc long, sum long, found binary").withColumnRenamed("found", found_name)
+    by_document = lambda df, kind, name: df.select("bucket", "docs", "found").repartition(parts, "bucket").mapInArrow(_by_document(kind), "doc long, sum long, found binary").withColumnRenamed("found", name)
     same = lambda df: base.join(df.hint("shuffle_hash"), (F.col("doc_id") == F.col("doc")) & (F.col(hashed) == F.col("sum")), "left")
     segments = (
-        same(found).mapInArrow(_segments(plan, hashed, found_name), "home long, segment binary, members binary")
+        same(by_document(found, HOMED, found_name)).mapInArrow(_segments(plan, hashed, found_name), "home long, segment binary, members binary")
         .repartition(parts, "home").sortWithinPartitions("home")
     )
-    spans = segments.mapInArrow(_covered(plan), "doc long, sum long, spans binary").groupBy("doc", "sum").agg(F.collect_list("spans").alias(spans_name))
+    spans = by_document(segments.mapInArrow(_covered(plan, parts), rows), SPAN, spans_name)
     return same(spans).select(*[F.col(f"`{c}`") for c in docs.columns], spans_name), spans_name

@@ -104,10 +104,10 @@ def _apply(names: list[str], spans_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
             n, gone, sums, texts = [], [], [], []
-            for text, lists in zip(b["text"].to_pylist(), b[spans_name].to_pylist(), strict=True):
+            for text, packed in zip(b["text"].to_pylist(), b[spans_name].to_pylist(), strict=True):
                 words = text.encode().split()
                 n.append(len(words))
-                spans = merge(np.frombuffer(b"".join(lists or []), "<i4").reshape(-1, 2))
+                spans = merge(np.frombuffer(packed or b"", "<i4").reshape(-1, 2))
                 kept, at = [], 0
                 for a, e in spans.tolist():
                     kept += words[at:a]

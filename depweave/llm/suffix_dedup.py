@@ -118,9 +118,9 @@ def _apply(names: list[str], spans_name: str):
         for b in pieces(batches, "text"):
             data, off = view(b["text"])
             gone, runs, sums, texts = [], [], [], []
-            for r, lists in enumerate(b[spans_name].to_pylist()):
+            for r, packed in enumerate(b[spans_name].to_pylist()):
                 body = data[off[r] : off[r + 1]]
-                spans = merge(np.frombuffer(b"".join(lists or []), "<i4").reshape(-1, 2))
+                spans = merge(np.frombuffer(packed or b"", "<i4").reshape(-1, 2))
                 if len(spans):
                     keep = np.ones(len(body), bool)
                     for a, e in spans.tolist():
