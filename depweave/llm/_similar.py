@@ -3,15 +3,18 @@
 Texts of equal sets are one node. Candidates come from SimHash groups (stars), then from prefixes: of every
 set as many shingles are kept as two sets of at least LIKENESS can't both miss, in one order of all shingles (rare
 first, by a table of counts of a fixed size), so every such pair shares a shingle of both prefixes. Where up to FEW
-nodes share one, all their pairs are candidates, so groups of up to FEW texts are exact. Larger groups would have too
-many pairs; there each node is compared with centres, in TURNS turns: a component of many texts comes together by its
-links to these, and a text may stay apart that is alike to few of very many texts around it. Candidates are
-compared over their whole sets, and components are made of the links that pass.
+nodes share one, all their pairs are candidates. Larger groups would have too many; there each node is first compared
+with centres, in TURNS turns: a component of many texts comes together by its links to these. What is left are pairs
+across components. All of them are judged by parity maps, in blocks of about BLOCK nodes: the bits in which two maps
+differ are no more than the shingles in which the sets differ, so no pair as alike as asked is lost, and few others
+pass. Candidates are compared over their whole sets, and components are made of the links that pass: they are those of
+all links.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +33,8 @@ COUNTS = 18
 FEW, TAKEN, PART = 8, 4, 256
 #: Turns with other orders for these.
 TURNS = 4
+#: Bits of a parity map (a power of two), and nodes of a block on average.
+BITS, BLOCK = 512, 1024
 #: Parts of a star.
 SALTS = 64
 
@@ -54,6 +59,35 @@ def prefix(n: int, likeness: int = LIKENESS) -> int:
     return n - -(-likeness * n // 100) + 1
 
 
+def parity(s: np.ndarray, bits: int = BITS) -> bytes:
+    """A map of a set: of every bit, whether an odd number of the shingles has it by their leading bits."""
+    at = (s >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def may_be_alike(maps: np.ndarray, n: np.ndarray, component: np.ndarray, side: np.ndarray, likeness: int, step: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (of side 0 with side 1; of all where no row is of side 1) of different components that sizes and
+    parity maps allow to be as alike as asked."""
+    x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    one = not len(y)
+    y = x if one else y
+    out = []
+    for lo in range(0, len(x), step):
+        a = x[lo : lo + step]
+        na, nb = n[a][:, None], n[y][None, :]
+        ok = (component[a][:, None] != component[y][None, :]) & (100 * np.minimum(na, nb) >= likeness * np.maximum(na, nb))
+        if one:
+            ok &= a[:, None] < y[None, :]
+        i, j = np.nonzero(ok)
+        i, j = a[i], y[j]
+        apart = np.zeros(len(i), np.int64)
+        for word in range(maps.shape[1]):
+            apart += np.bitwise_count(maps[i, word] ^ maps[j, word])
+        near = apart * (100 + likeness) <= (100 - likeness) * (n[i] + n[j])
+        out.append((i[near], j[near]))
+    return tuple(np.concatenate(z) for z in zip(*out, strict=True)) if out else (x, y)
+
+
 class Sets:
     """The shingle sets of docs(doc_id, text, sum), by passes over the texts."""
 
@@ -71,14 +105,15 @@ class Sets:
         return each
 
     def rows(self) -> DataFrame:
-        """doc_id, sum and node of every row."""
+        """doc_id, sum, node, and the parity map of its set, of every row."""
         each = self._each()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b, _, node in each(batches):
-                yield pa.RecordBatch.from_arrays([b["doc_id"], b["sum"], pa.array(node)], ["doc_id", "sum", "node"])
+            for b, sets, node in each(batches):
+                maps = pa.array([parity(s) for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([b["doc_id"], b["sum"], pa.array(node), maps], ["doc_id", "sum", "node", "map"])
 
-        return self.docs.mapInArrow(run, "doc_id long, sum long, node long")
+        return self.docs.mapInArrow(run, "doc_id long, sum long, node long, map binary")
 
     def counts(self) -> np.ndarray:
         """Shingles by cell of a table of a fixed size, over all documents."""
@@ -164,7 +199,67 @@ def by_shingle(posts: DataFrame, likeness: int, few: int, turn: int) -> DataFram
     return small.unionByName(large).distinct()
 
 
-def groups(docs: DataFrame, hints: DataFrame, components, words: int = WORDS, likeness: int = LIKENESS, few: int = FEW) -> DataFrame:
+def blocks(placed: DataFrame, likeness: int, block: int) -> DataFrame:
+    """h, x, y (numbers of two blocks, or of one), side and node, component, n of the rows of placed(h, size, node,
+    component, n): every two nodes of h and different components that sizes don't keep apart are together in some (x, y).
+
+    A shingle of up to `block` nodes is one block. The nodes of others go by bands of set sizes, of which only neighbours
+    meet; in a band a component of a block and more has blocks of its own, which do not meet each other, and smaller
+    ones are dealt whole."""
+    one = placed.where(F.col("size") <= block).select("h", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).alias("side"), "node", "component", "n")
+    band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / likeness) + 1e-6)).cast("int")
+    hot = placed.where(F.col("size") > block).withColumn("band", band)
+    held = hot.groupBy("h", "band", "component").agg(F.count("*").alias("k"))
+    small = held.where(F.col("k") < block).groupBy("h", "band").agg(F.sum("k").alias("rest"))
+    large = F.col("k") >= block
+    dealt = held.join(small, ["h", "band"], "left").select("h", "band", "component", F.when(large, F.col("component")).alias("owner"), F.ceil(F.when(large, F.col("k")).otherwise(F.col("rest")) / block).alias("of"))
+    part = F.pmod(F.xxhash64(F.when(F.col("owner").isNotNull(), F.col("node")).otherwise(F.col("component"))), F.col("of"))
+    hot = hot.join(dealt, ["h", "band", "component"]).withColumn("seat", F.xxhash64("band", F.coalesce("owner", F.lit(0)), F.col("owner").isNull(), part))
+    seats = hot.groupBy("h", "seat").agg(F.min("band").alias("band"), F.min("owner").alias("owner"))
+    x, y = (seats.withColumnsRenamed({"seat": k, "band": f"band{k}", "owner": f"owner{k}"}) for k in "xy")
+    meet = x.join(y, "h").where((F.col("x") <= F.col("y")) & (F.abs(F.col("bandx") - F.col("bandy")) <= 1) & F.coalesce(F.col("ownerx") != F.col("ownery"), F.lit(True))).select("h", "x", "y")
+    sides = meet.select("h", "x", "y", F.explode(F.when(F.col("x") == F.col("y"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
+    sides = sides.withColumn("seat", F.when(F.col("side") == 0, F.col("x")).otherwise(F.col("y")))
+    return one.unionByName(hot.join(sides, ["h", "seat"]).select("h", "x", "y", "side", "node", "component", "n"))
+
+
+def across(many: DataFrame, ends: DataFrame, rows: DataFrame, likeness: int, block: int = BLOCK) -> DataFrame:
+    """Candidate pairs (a < b) of nodes of different components that share a shingle of many(h, node, n): all that may
+    be as alike as asked."""
+    placed = many.join(ends.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").select("h", "size")
+    maps = rows.select("node", "map").dropDuplicates(["node"])
+    dealt = blocks(placed.select("h", "node", "component", "n").join(mixed, "h"), likeness, block).join(maps, "node")
+
+    def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        node, n, component, side = (t[c].to_numpy() for c in ("node", "n", "component", "side"))
+        i, j = may_be_alike(np.frombuffer(b"".join(t["map"].to_pylist()), np.uint64).reshape(len(node), -1), n, component, side, likeness)
+        a, b = node[i], node[j]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+        for t in batches:
+            keys = np.stack([t[c].to_numpy() for c in ("h", "x", "y")])
+            edge = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), t.num_rows]
+            for lo, hi in zip(edge, edge[1:], strict=False):
+                if lo == hi:
+                    continue
+                if held and tuple(keys[:, lo].tolist()) != now:
+                    yield solve(held)
+                    held = []
+                now = tuple(keys[:, lo].tolist())
+                held.append(t.slice(lo, hi - lo))
+        if held:
+            yield solve(held)
+
+    parts = int(session(many).conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "h", "x", "y").sortWithinPartitions("h", "x", "y").mapInArrow(run, "a long, b long").distinct()
+
+
+def groups(docs: DataFrame, hints: DataFrame, components, words: int = WORDS, likeness: int = LIKENESS, few: int = FEW, block: int = BLOCK) -> DataFrame:
     """doc_id, sum and component (a number) of every row of docs(doc_id, text, sum).
 
     hints(doc_id, hint): documents that may be alike; components(edges(a, b)): least connected ids."""
@@ -187,4 +282,8 @@ def groups(docs: DataFrame, hints: DataFrame, components, words: int = WORDS, li
             break
         asked, near = asked.unionByName(more), near.unionByName(sets.alike(more, rows))
         ends = components(near)
+    # The rest, so that no link is lost.
+    more = cut(across(many, ends, rows, likeness, block).join(asked, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        ends = components(near.unionByName(sets.alike(more, rows)))
     return rows.join(ends.select(F.col("id").alias("node"), "component"), "node", "left").select("doc_id", "sum", F.coalesce("component", "node").alias("component"))

@@ -222,17 +222,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     return rows.join(found, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar(docs: DataFrame, words: int = 5, likeness: int = _similar.LIKENESS, few: int = _similar.FEW) -> DataFrame:
+def similar(docs: DataFrame, words: int = 5, likeness: int = _similar.LIKENESS, few: int = _similar.FEW, block: int = _similar.BLOCK) -> DataFrame:
     """Every row of docs(doc_id, text, ...) with component_id (the least doc_id) and is_first (whether it is the row
     that stands for its component; of rows that repeat it, all): texts of shingle sets at least `likeness` per cent
-    alike are linked (see _similar for texts that more than `few` others are close to). Rows without a doc_id have
-    neither; a doc_id's different texts are apart."""
+    alike are linked (`few` and `block` change only how _similar searches). Rows without a doc_id have neither; a
+    doc_id's different texts are apart."""
     out = docs.drop("component_id", "is_first")
     (hashed,) = unused(out, "text_hash")
     out = out.withColumn(hashed, F.xxhash64(text_of("text")))
     base = out.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"), F.col(hashed).alias("sum"))
     hints = near_duplicates(base, words).select("doc_id", F.col("component_id").alias("hint")).distinct()
-    found = cut(_similar.groups(base, hints, components, words, likeness, few).distinct())
+    found = cut(_similar.groups(base, hints, components, words, likeness, few, block).distinct())
     least = found.groupBy("component").agg(F.min(F.struct("doc_id", "sum")).alias("least"))
     rows = found.join(least, "component").select(F.col("doc_id").alias("k"), F.col("sum").alias("s"), F.col("least.doc_id").alias("component_id"), ((F.col("least.doc_id") == F.col("doc_id")) & (F.col("least.sum") == F.col("sum"))).alias("is_first"))
     return out.join(rows, (F.col("doc_id") == F.col("k")) & (F.col(hashed) == F.col("s")), "left").drop("k", "s", hashed)

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from depweave.llm import decontaminate, fingerprint, language, pieces, quotation, sharding, simhash, substring_dedup, suffix_dedup, token_output
+from depweave.llm import _similar, decontaminate, fingerprint, language, pieces, quotation, sharding, simhash, substring_dedup, suffix_dedup, token_output
 from depweave.llm._common import gram_hashes
 from depweave.llm.token_output import pack, unpack
 
@@ -539,13 +539,40 @@ def test_similar(spark):
     docs = spark.createDataFrame([(*r, 1) for r in rows_] + [(None, rows_[0][1], 1)], "doc_id long, text string, text_hash int").repartition(3)
     out = simhash.similar(docs, few=1000)
     assert rows(out.where("doc_id is not null").select("doc_id", "component_id")) == sorted(want, key=repr)
-    found = dict(rows(simhash.similar(docs).where("doc_id is not null").select("doc_id", "component_id").distinct()))
-    assert sum(found[i] == c for i, c in want) >= len(want) - 2  # by centres, where many texts are close
+    for few, block in ((8, 1024), (1, 6)):  # by centres and maps where many texts are close; in many blocks
+        assert rows(simhash.similar(docs, few=few, block=block).where("doc_id is not null").select("doc_id", "component_id")) == sorted(want, key=repr)
     assert out.where("doc_id is null").first().component_id is None and out.columns == ["doc_id", "text", "text_hash", "component_id", "is_first"]
     assert len({x for _, x in want}) < len(rows_) - 6 and rows(out.where("is_first").select("component_id").distinct()) == [(x,) for x in sorted({x for _, x in want}, key=lambda x: repr((x,)))]
     assert simhash.similar(docs.limit(0)).count() == 0
 
 
+def test_parity_maps_and_blocks(spark):
+    """Maps let every pair pass that is as alike as asked; blocks bring every two nodes of different components
+    together whose sizes allow it, and few of one component."""
+    rr = np.random.default_rng(4)
+    base = np.unique(rr.integers(0, 2**63, 120, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([rr.permutation(base)[: rr.integers(60, 120)], rr.integers(0, 2**63, rr.integers(0, 12), dtype=np.uint64)])) for _ in range(150)]
+    n, component = np.array([len(s) for s in sets]), rr.integers(0, 6, 150)
+    maps = np.frombuffer(b"".join(map(_similar.parity, sets)), np.uint64).reshape(150, -1)
+    shared = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    alike = {(i, j) for i in range(150) for j in range(150) if i < j and component[i] != component[j] and 100 * shared[i, j] >= 80 * (n[i] + n[j] - shared[i, j])}
+    for side in (np.zeros(150, int), (np.arange(150) >= 70).astype(int)):
+        got = set(zip(*(x.tolist() for x in _similar.may_be_alike(maps, n, component, side, 80)), strict=True))
+        assert {p for p in alike if not side.any() or side[p[0]] < side[p[1]]} <= got and len(got) < 6000
+    assert len(alike) > 20
+    nodes = [(h, i, int(c), int(k)) for h in (1, 2) for i, (c, k) in enumerate(zip(np.where(rr.random(150) < 0.5, 0, component), n, strict=True))][:200]
+    size = {h: sum(x[0] == h for x in nodes) for h in (1, 2)}
+    placed = spark.createDataFrame([(h, size[h], i, c, k) for h, i, c, k in nodes], "h long, size long, node long, component long, n long")
+    for block in (7, 60, 500):
+        met, together = set(), defaultdict(list)
+        for r in _similar.blocks(placed, 80, block).collect():
+            together[r.h, r.x, r.y].append(r)
+        for (h, x, y), g in together.items():
+            assert len(g) == len({r.node for r in g}) and (x == y) == (not any(r.side for r in g))
+            met |= {(h, *sorted((a.node, b.node))) for a in g for b in g if a.component != b.component and (x == y or a.side != b.side)}
+        assert met >= {(a[0], a[1], b[1]) for a in nodes for b in nodes if a[0] == b[0] and a[1] < b[1] and a[2] != b[2] and 5 * min(a[3], b[3]) >= 4 * max(a[3], b[3])}
+
+
 def test_pipeline_stages_on_odd_rows(spark):
     """Each stage on nulls, repeated rows, columns of clashing names and long texts."""
     import corpus_pipeline as c
