@@ -35,6 +35,8 @@ FEW, TAKEN, PART = 8, 4, 256
 TURNS = 4
 #: Bits of a parity map (a power of two), and nodes of a block on average.
 BITS, BLOCK = 512, 1024
+#: Columns of a parity map.
+MAP = [f"m{i}" for i in range(BITS // 64)]
 #: Parts of a star.
 SALTS = 64
 
@@ -59,10 +61,10 @@ def prefix(n: int, likeness: int = LIKENESS) -> int:
     return n - -(-likeness * n // 100) + 1
 
 
-def parity(s: np.ndarray, bits: int = BITS) -> bytes:
+def parity(s: np.ndarray, bits: int = BITS) -> np.ndarray:
     """A map of a set: of every bit, whether an odd number of the shingles has it by their leading bits."""
     at = (s >> np.uint64(65 - bits.bit_length())).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1).tobytes()
+    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1).view(np.int64)
 
 
 def may_be_alike(maps: np.ndarray, n: np.ndarray, component: np.ndarray, side: np.ndarray, likeness: int, step: int = 64) -> tuple[np.ndarray, np.ndarray]:
@@ -105,15 +107,16 @@ class Sets:
         return each
 
     def rows(self) -> DataFrame:
-        """doc_id, sum, node, and the parity map of its set, of every row."""
+        """doc_id, sum, node, size of its set (n) and parity map (MAP), of every row."""
         each = self._each()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b, sets, node in each(batches):
-                maps = pa.array([parity(s) for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([b["doc_id"], b["sum"], pa.array(node), maps], ["doc_id", "sum", "node", "map"])
+                maps = np.array([parity(s) for s in sets]).reshape(len(sets), -1).T.copy()
+                n = np.array(list(map(len, sets)), np.int64)
+                yield pa.RecordBatch.from_arrays([b["doc_id"], b["sum"], *map(pa.array, (node, n, *maps))], ["doc_id", "sum", "node", "n", *MAP])
 
-        return self.docs.mapInArrow(run, "doc_id long, sum long, node long, map binary")
+        return self.docs.mapInArrow(run, f"doc_id long, sum long, node long, n long, {', '.join(f'{m} long' for m in MAP)}")
 
     def counts(self) -> np.ndarray:
         """Shingles by cell of a table of a fixed size, over all documents."""
@@ -156,15 +159,18 @@ class Sets:
 
         return docs.mapInArrow(run, "node long, all array<long>").dropDuplicates(["node"])
 
-    def alike(self, pairs: DataFrame, rows: DataFrame) -> DataFrame:
-        """The pairs (a, b) of nodes whose sets are as alike as asked."""
-        one = rows.groupBy("node").agg(F.min(F.struct("doc_id", "sum")).alias("r"))  # the row that shows a node's text
-        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(one, "node").select("r.*").distinct()
+    def alike(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The pairs (a, b) of nodes(node, n, MAP, r: the row that shows its text) whose sets are as alike as asked."""
+        x, y = (nodes.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}{k}") for c in ("n", *MAP)]) for k in "ab")
+        apart = sum((F.bit_count(F.col(f"{m}a").bitwiseXOR(F.col(f"{m}b"))) for m in MAP), F.lit(0))
+        may = _sized(self.likeness) & (apart * (100 + self.likeness) <= (100 - self.likeness) * (F.col("na") + F.col("nb")))
+        left = cut(pairs.join(x, "a").join(y, "b").where(may).select("a", "b"))
+        asked = left.select(F.col("a").alias("node")).union(left.select("b")).distinct().join(nodes, "node").select("r.*").distinct()
         whole = cut(self.wholes(self.docs.join(asked, ["doc_id", "sum"], "left_semi")))
         x, y = (whole.select(F.col("node").alias(k), F.col("all").alias(f"all{k}")) for k in "ab")
         shared = F.size(F.array_intersect("alla", "allb"))
         near = 100 * shared >= self.likeness * (F.size("alla") + F.size("allb") - shared)
-        return cut(pairs.join(x, "a").join(y, "b").where(near).select("a", "b"), whole)
+        return cut(left.join(x, "a").join(y, "b").where(near).select("a", "b"), whole, left)
 
 
 def star(members: DataFrame, key: str) -> DataFrame:
@@ -186,16 +192,16 @@ def _sides(rows: DataFrame, on: list[str], *more: str) -> tuple[DataFrame, DataF
 
 
 def by_shingle(posts: DataFrame, likeness: int, few: int, turn: int) -> DataFrame:
-    """Candidate pairs (a < b) of posts(h, node, n, held): of shingles that few nodes hold all pairs; for the others
+    """Candidate pairs (a < b) of posts(h, node, n, held, component), of different components: of shingles that few nodes hold all pairs; for the others
     every node takes the TAKEN of its shingles that come first in an order by hash, the same for all nodes, and is
     compared with one centre of each, among PART nodes at most on average. Every turn has its own orders."""
-    x, y = _sides(posts.where(F.col("held") <= few), ["h"])
-    small = x.join(y, "h").where((F.col("a") < F.col("b")) & _sized(likeness)).select("a", "b")
+    x, y = _sides(posts.where(F.col("held") <= few), ["h"], "component")
+    small = x.join(y, "h").where((F.col("a") < F.col("b")) & (F.col("componenta") != F.col("componentb")) & _sized(likeness)).select("a", "b")
     order = Window.partitionBy("node").orderBy(F.xxhash64("h", F.lit(turn)), "h")
     taken = posts.where(F.col("held") > few).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= TAKEN)
-    taken = taken.withColumn("part", F.pmod(F.xxhash64("node", "h", F.lit(turn)), F.ceil(F.col("held") / PART))).select("h", "part", "node", "n")
-    centre = taken.groupBy("h", "part").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", "h", F.lit(turn))).alias("c")).select("h", "part", F.col("c.node").alias("a"), F.col("c.n").alias("na"))
-    large = taken.withColumnsRenamed({"node": "b", "n": "nb"}).join(centre, ["h", "part"]).where((F.col("a") != F.col("b")) & _sized(likeness)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    taken = taken.withColumn("part", F.pmod(F.xxhash64("node", "h", F.lit(turn)), F.ceil(F.col("held") / PART))).select("h", "part", "node", "n", "component")
+    centre = taken.groupBy("h", "part").agg(F.min_by(F.struct("node", "n", "component"), F.xxhash64("node", "h", F.lit(turn))).alias("c")).select("h", "part", F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("c.component").alias("componenta"))
+    large = taken.withColumnsRenamed({"node": "b", "n": "nb", "component": "componentb"}).join(centre, ["h", "part"]).where((F.col("componenta") != F.col("componentb")) & _sized(likeness)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return small.unionByName(large).distinct()
 
 
@@ -223,18 +229,21 @@ def blocks(placed: DataFrame, likeness: int, block: int) -> DataFrame:
     return one.unionByName(hot.join(sides, ["h", "seat"]).select("h", "x", "y", "side", "node", "component", "n"))
 
 
-def across(many: DataFrame, ends: DataFrame, rows: DataFrame, likeness: int, block: int = BLOCK) -> DataFrame:
-    """Candidate pairs (a < b) of nodes of different components that share a shingle of many(h, node, n): all that may
-    be as alike as asked."""
-    placed = many.join(ends.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+def place(posts: DataFrame, ends: DataFrame) -> DataFrame:
+    """posts(node, ...) with the components that ends(id, component) gives; other nodes are their own."""
+    return posts.join(ends.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def across(placed: DataFrame, nodes: DataFrame, likeness: int, block: int = BLOCK) -> DataFrame:
+    """Candidate pairs (a < b) of nodes of different components that share a shingle of placed(h, node, n, component):
+    all that may be as alike as asked."""
     mixed = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").select("h", "size")
-    maps = rows.select("node", "map").dropDuplicates(["node"])
-    dealt = blocks(placed.select("h", "node", "component", "n").join(mixed, "h"), likeness, block).join(maps, "node")
+    dealt = blocks(placed.select("h", "node", "component", "n").join(mixed, "h"), likeness, block).join(nodes.select("node", *MAP), "node")
 
     def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
         node, n, component, side = (t[c].to_numpy() for c in ("node", "n", "component", "side"))
-        i, j = may_be_alike(np.frombuffer(b"".join(t["map"].to_pylist()), np.uint64).reshape(len(node), -1), n, component, side, likeness)
+        i, j = may_be_alike(np.stack([t[m].to_numpy() for m in MAP], axis=1).view(np.uint64), n, component, side, likeness)
         a, b = node[i], node[j]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
@@ -255,7 +264,7 @@ def across(many: DataFrame, ends: DataFrame, rows: DataFrame, likeness: int, blo
         if held:
             yield solve(held)
 
-    parts = int(session(many).conf.get("spark.sql.shuffle.partitions"))
+    parts = int(session(placed).conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(parts, "h", "x", "y").sortWithinPartitions("h", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -265,25 +274,24 @@ def groups(docs: DataFrame, hints: DataFrame, components, words: int = WORDS, li
     hints(doc_id, hint): documents that may be alike; components(edges(a, b)): least connected ids."""
     sets = Sets(docs, words, likeness)
     rows = cut(sets.rows())
+    nodes = cut(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", *MAP)], F.min(F.struct("doc_id", "sum")).alias("r")))
     kept = sets.prefixes()
     held = kept.groupBy("h").agg(F.count("*").alias("held")).where("held > 1")
     posts = cut(kept.join(held, "h"))
     hinted = star(rows.join(hints, "doc_id").select("node", "hint").distinct(), "hint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    asked = cut(hinted.unionByName(by_shingle(posts, likeness, few, 0)).distinct())
-    near = sets.alike(asked, rows)
+    asked = cut(hinted.unionByName(by_shingle(posts.withColumn("component", F.col("node")), likeness, few, 0)).distinct())
+    near = sets.alike(asked, nodes)
     ends = components(near)
     # Again where a shingle of many nodes holds several components.
     many = posts.where(F.col("held") > few)
     for turn in range(1, TURNS):
-        placed = many.join(ends.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
-        more = cut(by_shingle(many.join(mixed, "h", "left_semi"), likeness, few, turn).join(asked, ["a", "b"], "left_anti"))
+        more = cut(by_shingle(place(many, ends), likeness, few, turn).join(asked, ["a", "b"], "left_anti"))
         if more.isEmpty():
             break
-        asked, near = asked.unionByName(more), near.unionByName(sets.alike(more, rows))
+        asked, near = asked.unionByName(more), near.unionByName(sets.alike(more, nodes))
         ends = components(near)
     # The rest, so that no link is lost.
-    more = cut(across(many, ends, rows, likeness, block).join(asked, ["a", "b"], "left_anti"))
+    more = cut(across(place(many, ends), nodes, likeness, block).join(asked, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        ends = components(near.unionByName(sets.alike(more, rows)))
+        ends = components(near.unionByName(sets.alike(more, nodes)))
     return rows.join(ends.select(F.col("id").alias("node"), "component"), "node", "left").select("doc_id", "sum", F.coalesce("component", "node").alias("component"))

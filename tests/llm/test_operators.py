@@ -553,7 +553,7 @@ def test_parity_maps_and_blocks(spark):
     base = np.unique(rr.integers(0, 2**63, 120, dtype=np.uint64))
     sets = [np.unique(np.concatenate([rr.permutation(base)[: rr.integers(60, 120)], rr.integers(0, 2**63, rr.integers(0, 12), dtype=np.uint64)])) for _ in range(150)]
     n, component = np.array([len(s) for s in sets]), rr.integers(0, 6, 150)
-    maps = np.frombuffer(b"".join(map(_similar.parity, sets)), np.uint64).reshape(150, -1)
+    maps = np.array([_similar.parity(s) for s in sets]).view(np.uint64)
     shared = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
     alike = {(i, j) for i in range(150) for j in range(150) if i < j and component[i] != component[j] and 100 * shared[i, j] >= 80 * (n[i] + n[j] - shared[i, j])}
     for side in (np.zeros(150, int), (np.arange(150) >= 70).astype(int)):
