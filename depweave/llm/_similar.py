@@ -31,8 +31,8 @@ LIKENESS = 80
 COUNTS = 18
 #: Nodes of a shingle up to which all pairs are compared; beyond, shingles by which a node is, and nodes of a centre.
 FEW, TAKEN, PART = 8, 4, 256
-#: Turns with other orders for these.
-TURNS = 4
+#: Turns with other orders for these; they spare work, the links they miss come from the maps.
+TURNS = 2
 #: Bits of a parity map (a power of two), and nodes of a block on average.
 BITS, BLOCK = 512, 1024
 #: Columns of a parity map.
