@@ -4,10 +4,12 @@ Texts of equal sets are one node. Candidates come from SimHash groups (stars), t
 set as many shingles are kept as two sets of at least LIKENESS can't both miss, in one order of all shingles (rare
 first, by a table of counts of a fixed size), so every such pair shares a shingle of both prefixes. Where up to FEW
 nodes share one, all their pairs are candidates. Larger groups would have too many; there each node is first compared
-with centres, in TURNS turns: a component of many texts comes together by its links to these. What is left are pairs
+with centres: a component of many texts comes together by its links to these. What is left are pairs
 across components. All of them are judged by parity maps, in blocks of about BLOCK nodes: the bits in which two maps
-differ are no more than the shingles in which the sets differ, so no pair as alike as asked is lost, and few others
-pass. Candidates are compared over their whole sets, and components are made of the links that pass: they are those of
+differ are no more than the shingles in which the sets differ, so no pair as alike as asked is lost; maps grow with the
+sets, so few others pass, however large the sets are. Of the pairs that pass in a block only those that span its
+components are compared first; then, once components are joined by what that finds, all others across these.
+Candidates are compared over their whole sets, and components are made of the links that pass: they are those of
 all links.
 """
 
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, gram_hashes, pieces, session, span_hashes, view, word_spans
+from ._common import cut, drop, gram_hashes, pieces, session, span_hashes, view, word_spans
 
 WORDS = 5
 #: Likeness in per cent: shared shingles of all shingles of both sets.
@@ -31,11 +33,9 @@ LIKENESS = 80
 COUNTS = 18
 #: Nodes of a shingle up to which all pairs are compared; beyond, shingles by which a node is, and nodes of a centre.
 FEW, TAKEN, PART = 8, 4, 256
-#: Turns with other orders for these; they spare work, the links they miss come from the maps.
-TURNS = 2
-#: Bits of a parity map (a power of two), and nodes of a block on average.
-BITS, BLOCK = 512, 1024
-#: Columns of a parity map.
+#: Bits of a small parity map (a power of two), bits a shingle and in all at most of a wide one, nodes of a block on average.
+BITS, WIDE, MOST, BLOCK = 512, 4, 1 << 17, 1024
+#: Columns of a small parity map.
 MAP = [f"m{i}" for i in range(BITS // 64)]
 #: Parts of a star.
 SALTS = 64
@@ -67,6 +67,17 @@ def parity(s: np.ndarray, bits: int = BITS) -> np.ndarray:
     return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1).view(np.int64)
 
 
+def wide(s: np.ndarray) -> bytes:
+    """The parity map of a set with bits enough for its size."""
+    return parity(s, min(MOST, max(BITS, 1 << (WIDE * len(s) - 1).bit_length()))).tobytes()
+
+
+def folded(maps: np.ndarray) -> np.ndarray:
+    """Maps of half the bits: two neighbours of a map are one bit of these."""
+    bits = np.unpackbits(maps.view(np.uint8), axis=1)
+    return np.packbits(bits[:, ::2] ^ bits[:, 1::2], axis=1).view(np.uint64)
+
+
 def may_be_alike(maps: np.ndarray, n: np.ndarray, component: np.ndarray, side: np.ndarray, likeness: int, step: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows (of side 0 with side 1; of all where no row is of side 1) of different components that sizes and
     parity maps allow to be as alike as asked."""
@@ -82,14 +93,59 @@ def may_be_alike(maps: np.ndarray, n: np.ndarray, component: np.ndarray, side: n
             ok &= a[:, None] < y[None, :]
         i, j = np.nonzero(ok)
         i, j = a[i], y[j]
-        apart = np.zeros(len(i), np.int64)
-        for word in range(maps.shape[1]):
-            apart += np.bitwise_count(maps[i, word] ^ maps[j, word])
-        near = apart * (100 + likeness) <= (100 - likeness) * (n[i] + n[j])
-        out.append((i[near], j[near]))
+        apart, most = np.zeros(len(i), np.int64), (100 - likeness) * (n[i] + n[j]) // (100 + likeness)
+        for word in range(0, maps.shape[1], 8):
+            apart += np.bitwise_count(maps[i, word : word + 8] ^ maps[j, word : word + 8]).sum(axis=1, dtype=np.int64)
+            near = apart <= most
+            i, j, apart, most = i[near], j[near], apart[near], most[near]
+        out.append((i, j))
     return tuple(np.concatenate(z) for z in zip(*out, strict=True)) if out else (x, y)
 
 
+def may_be_alike_wide(maps: list[bytes], n: np.ndarray, component: np.ndarray, side: np.ndarray, likeness: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for wide maps. Sizes that may be alike have maps of one width, or of neighbouring ones."""
+    width, two = np.array(list(map(len, maps))), side.any()
+    at = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
+    rows = {w: np.frombuffer(b"".join(maps[k] for k in own.tolist()), np.uint64).reshape(len(own), -1) for w, own in at.items()}
+    found = []
+    for w, own in at.items():
+        found.append(_judged(own, rows[w], side[own], n, component, likeness) if not two or len(set(side[own].tolist())) == 2 else None)
+        if 2 * w in at:
+            both, more = np.concatenate([own, at[2 * w]]), np.concatenate([rows[w], folded(rows[2 * w])])
+            larger = np.arange(len(both)) >= len(own)
+            for take in ((side[both] == larger), (side[both] != larger)) if two else (None,):
+                part = slice(None) if take is None else take
+                if len(set(larger[part].tolist())) == 2:
+                    found.append(_judged(both[part], more[part], larger[part].astype(int), n, component, likeness))
+    found = [x for x in found if x is not None]
+    return tuple(np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+
+
+def _judged(at: np.ndarray, maps: np.ndarray, side: np.ndarray, n: np.ndarray, component: np.ndarray, likeness: int) -> tuple[np.ndarray, np.ndarray]:
+    i, j = may_be_alike(maps, n[at], component[at], side, likeness)
+    return at[i], at[j]
+
+
+def spanning(a: np.ndarray, b: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """Which of the pairs of rows, in the order given, join components that none before them joined."""
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := top.get(x, x)) != x:
+            top[x] = x = top.get(y, y)
+        return x
+
+    kept = []
+    x, y = component[a], component[b]
+    _, first = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1, return_index=True)
+    for k in np.sort(first).tolist():
+        p, q = find(int(x[k])), find(int(y[k]))
+        if p != q:
+            top[p] = q
+            kept.append(k)
+    return np.array(kept, np.int64)
+
+
 class Sets:
     """The shingle sets of docs(doc_id, text, sum), by passes over the texts."""
 
@@ -159,14 +215,27 @@ class Sets:
 
         return docs.mapInArrow(run, "node long, all array<long>").dropDuplicates(["node"])
 
+    def shown(self, asked: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The documents that show the texts of asked(node)."""
+        return self.docs.join(asked.distinct().join(nodes, "node").select("r.*").distinct(), ["doc_id", "sum"], "left_semi")
+
+    def wides(self, docs: DataFrame) -> DataFrame:
+        """node and its wide map, of some of the documents."""
+        each = self._each()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, sets, node in each(batches):
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([wide(s) for s in sets], pa.binary())], ["node", "map"])
+
+        return docs.mapInArrow(run, "node long, map binary").dropDuplicates(["node"])
+
     def alike(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """The pairs (a, b) of nodes(node, n, MAP, r: the row that shows its text) whose sets are as alike as asked."""
         x, y = (nodes.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}{k}") for c in ("n", *MAP)]) for k in "ab")
         apart = sum((F.bit_count(F.col(f"{m}a").bitwiseXOR(F.col(f"{m}b"))) for m in MAP), F.lit(0))
         may = _sized(self.likeness) & (apart * (100 + self.likeness) <= (100 - self.likeness) * (F.col("na") + F.col("nb")))
         left = cut(pairs.join(x, "a").join(y, "b").where(may).select("a", "b"))
-        asked = left.select(F.col("a").alias("node")).union(left.select("b")).distinct().join(nodes, "node").select("r.*").distinct()
-        whole = cut(self.wholes(self.docs.join(asked, ["doc_id", "sum"], "left_semi")))
+        whole = cut(self.wholes(self.shown(left.select(F.col("a").alias("node")).union(left.select("b")), nodes)))
         x, y = (whole.select(F.col("node").alias(k), F.col("all").alias(f"all{k}")) for k in "ab")
         shared = F.size(F.array_intersect("alla", "allb"))
         near = 100 * shared >= self.likeness * (F.size("alla") + F.size("allb") - shared)
@@ -191,16 +260,16 @@ def _sides(rows: DataFrame, on: list[str], *more: str) -> tuple[DataFrame, DataF
     return tuple(rows.select(*on, F.col("node").alias(x), F.col("n").alias(f"n{x}"), *[F.col(c).alias(f"{c}{x}") for c in more]) for x in "ab")
 
 
-def by_shingle(posts: DataFrame, likeness: int, few: int, turn: int) -> DataFrame:
+def by_shingle(posts: DataFrame, likeness: int, few: int) -> DataFrame:
     """Candidate pairs (a < b) of posts(h, node, n, held, component), of different components: of shingles that few nodes hold all pairs; for the others
     every node takes the TAKEN of its shingles that come first in an order by hash, the same for all nodes, and is
-    compared with one centre of each, among PART nodes at most on average. Every turn has its own orders."""
+    compared with one centre of each, among PART nodes at most on average."""
     x, y = _sides(posts.where(F.col("held") <= few), ["h"], "component")
     small = x.join(y, "h").where((F.col("a") < F.col("b")) & (F.col("componenta") != F.col("componentb")) & _sized(likeness)).select("a", "b")
-    order = Window.partitionBy("node").orderBy(F.xxhash64("h", F.lit(turn)), "h")
+    order = Window.partitionBy("node").orderBy(F.xxhash64("h"), "h")
     taken = posts.where(F.col("held") > few).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= TAKEN)
-    taken = taken.withColumn("part", F.pmod(F.xxhash64("node", "h", F.lit(turn)), F.ceil(F.col("held") / PART))).select("h", "part", "node", "n", "component")
-    centre = taken.groupBy("h", "part").agg(F.min_by(F.struct("node", "n", "component"), F.xxhash64("node", "h", F.lit(turn))).alias("c")).select("h", "part", F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("c.component").alias("componenta"))
+    taken = taken.withColumn("part", F.pmod(F.xxhash64("node", "h"), F.ceil(F.col("held") / PART))).select("h", "part", "node", "n", "component")
+    centre = taken.groupBy("h", "part").agg(F.min_by(F.struct("node", "n", "component"), F.xxhash64("node", "h")).alias("c")).select("h", "part", F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("c.component").alias("componenta"))
     large = taken.withColumnsRenamed({"node": "b", "n": "nb", "component": "componentb"}).join(centre, ["h", "part"]).where((F.col("componenta") != F.col("componentb")) & _sized(likeness)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return small.unionByName(large).distinct()
 
@@ -234,18 +303,27 @@ def place(posts: DataFrame, ends: DataFrame) -> DataFrame:
     return posts.join(ends.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def across(placed: DataFrame, nodes: DataFrame, likeness: int, block: int = BLOCK) -> DataFrame:
-    """Candidate pairs (a < b) of nodes of different components that share a shingle of placed(h, node, n, component):
-    all that may be as alike as asked."""
-    mixed = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").select("h", "size")
-    dealt = blocks(placed.select("h", "node", "component", "n").join(mixed, "h"), likeness, block).join(nodes.select("node", *MAP), "node")
+def mixed(placed: DataFrame) -> DataFrame:
+    """h, size, node, component, n of the shingles of placed(h, node, n, component) that several components hold."""
+    several = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").select("h", "size")
+    return placed.select("h", "node", "component", "n").join(several, "h")
+
+
+def across(placed: DataFrame, maps: DataFrame, likeness: int, block: int = BLOCK, span: bool = False) -> DataFrame:
+    """Candidate pairs (a < b) of nodes of different components that share a shingle of mixed(): all that maps(node,
+    map) allow to be as alike as asked; or (span) of every block only such that join its components as far as all would."""
+    dealt = blocks(placed, likeness, block).join(maps, "node")
 
     def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
         node, n, component, side = (t[c].to_numpy() for c in ("node", "n", "component", "side"))
-        i, j = may_be_alike(np.stack([t[m].to_numpy() for m in MAP], axis=1).view(np.uint64), n, component, side, likeness)
-        a, b = node[i], node[j]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        i, j = may_be_alike_wide(t["map"].to_pylist(), n, component, side, likeness)
+        a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+        if span and len(a):
+            order = np.lexsort((b, a))  # the same in every block
+            kept = order[spanning(i[order], j[order], component)]
+            a, b = a[kept], b[kept]
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -279,19 +357,19 @@ def groups(docs: DataFrame, hints: DataFrame, components, words: int = WORDS, li
     held = kept.groupBy("h").agg(F.count("*").alias("held")).where("held > 1")
     posts = cut(kept.join(held, "h"))
     hinted = star(rows.join(hints, "doc_id").select("node", "hint").distinct(), "hint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    asked = cut(hinted.unionByName(by_shingle(posts.withColumn("component", F.col("node")), likeness, few, 0)).distinct())
+    asked = cut(hinted.unionByName(by_shingle(posts.withColumn("component", F.col("node")), likeness, few)).distinct())
     near = sets.alike(asked, nodes)
     ends = components(near)
-    # Again where a shingle of many nodes holds several components.
-    many = posts.where(F.col("held") > few)
-    for turn in range(1, TURNS):
-        more = cut(by_shingle(place(many, ends), likeness, few, turn).join(asked, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            break
+    # The rest, so that no link is lost, where a shingle of many nodes holds several components.
+    many, maps = posts.where(F.col("held") > few), None
+    for span in (True, False):
+        left = cut(mixed(place(many, ends)))
+        if maps is None:
+            maps = cut(sets.wides(sets.shown(left.select("node"), nodes)))
+        more = cut(across(left, maps, likeness, block, span).join(asked, ["a", "b"], "left_anti"), left)
+        if more.isEmpty():  # of the first that span, all may have been asked; others are left
+            continue
         asked, near = asked.unionByName(more), near.unionByName(sets.alike(more, nodes))
         ends = components(near)
-    # The rest, so that no link is lost.
-    more = cut(across(place(many, ends), nodes, likeness, block).join(asked, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        ends = components(near.unionByName(sets.alike(more, nodes)))
+    drop(maps, posts, nodes)
     return rows.join(ends.select(F.col("id").alias("node"), "component"), "node", "left").select("doc_id", "sum", F.coalesce("component", "node").alias("component"))

@@ -573,6 +573,50 @@ def test_parity_maps_and_blocks(spark):
         assert met >= {(a[0], a[1], b[1]) for a in nodes for b in nodes if a[0] == b[0] and a[1] < b[1] and a[2] != b[2] and 5 * min(a[3], b[3]) >= 4 * max(a[3], b[3])}
 
 
+def test_wide_maps():
+    """Wide maps of unlike widths let every pair pass that is as alike as asked, and few others; spanning pairs join
+    what all would join."""
+    rr = np.random.default_rng(5)
+    base = rr.integers(0, 2**64, 3000, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[:k][rr.random(k) < keep], rr.integers(0, 2**64, rr.integers(0, 1 + k // 20), dtype=np.uint64)])) for k in (100, 250, 270, 2000, 2200, 3000) for keep in (1, 0.95, 0.9, 0.7) for _ in range(5)]
+    maps, n = [_similar.wide(s) for s in sets], np.array([len(s) for s in sets])
+    shared = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    likeness = shared / (n[:, None] + n[None, :] - shared)
+    component = rr.integers(0, 40, len(sets))
+    for side in (np.zeros(len(sets), int), (np.arange(len(sets)) % 3 == 0).astype(int)):
+        i, j = _similar.may_be_alike_wide(maps, n, component, side, 80)
+        got = {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist(), strict=True)}
+        apart = (component[:, None] != component[None, :]) & (np.arange(len(sets))[:, None] < np.arange(len(sets))) & (~side.any() | (side[:, None] != side))
+        want = set(zip(*(x.tolist() for x in np.nonzero(apart & (likeness >= 0.8))), strict=True))
+        assert want <= got and len(got) == len(i) and len(want) > 50
+        assert all(apart[p] and likeness[p] > 0.75 for p in got)
+    kept = _similar.spanning(i, j, component)
+    joined = [simhash.roots(40, component[a], component[b]).tolist() for a, b in ((i, j), (i[kept], j[kept]))]
+    assert joined[0] == joined[1] and len(kept) == 40 - len(set(joined[0])) < len(i)
+
+
+def test_similar_compares_few_long_texts(spark, monkeypatch):
+    """Long texts that share very common passages, but are not alike, are compared with centres only."""
+    rr = random.Random(12)
+    passages = [[f"p{i}w{k}" for k in range(100)] for i in range(30)]
+    docs = spark.createDataFrame([(d, " ".join(w for p in rr.sample(passages, 20) for w in p)) for d in range(40)], "doc_id long, text string")
+    compared = []
+    alike = _similar.Sets.alike
+    monkeypatch.setattr(_similar.Sets, "alike", lambda self, pairs, nodes: (compared.append(pairs.count()), alike(self, pairs, nodes))[1])
+    assert simhash.similar(docs).where("component_id = doc_id").count() == 40
+    assert 0 < sum(compared) <= 40 * _similar.TAKEN  # of 780
+
+
+def test_components_however_they_end(spark):
+    rr = np.random.default_rng(6)
+    a, b = rr.integers(0, 300, (2, 220))
+    edges = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b, strict=True)], "a long, b long")
+    root = simhash.roots(300, a, b).tolist()
+    for finish in (0, 100, 1000):
+        got = dict(map(tuple, simhash.components(edges, finish).collect()))
+        assert [got.get(i, i) for i in range(300)] == root, finish
+
+
 def test_pipeline_stages_on_odd_rows(spark):
     """Each stage on nulls, repeated rows, columns of clashing names and long texts."""
     import corpus_pipeline as c
