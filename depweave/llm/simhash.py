@@ -37,6 +37,8 @@ SEED = 42
 BUCKET, STEP = 2048, 256
 #: Bits by which a full bucket is split at most.
 DEEP = 12
+#: Edges that are joined to components at once, in the driver (16 bytes each).
+FINISH = 1 << 18
 
 
 def fingerprint(text: str, words: int = WORDS) -> int:
@@ -193,13 +195,21 @@ def links(nodes: DataFrame, radius: int, bits: int, parts: int, bucket: int = BU
     return spread.sortWithinPartitions("bucket", "more", "sub").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """id and least connected id (component) of all ids in edges(a, b); alternating star contraction."""
+def components(edges: DataFrame, finish: int = FINISH) -> DataFrame:
+    """id and least connected id (component) of all ids in edges(a, b); alternating star contraction, until `finish`
+    edges or fewer are left, which are joined at once."""
     now, mark = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), None
     while True:
         new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if not new[0] or new == mark:
             return now.select(F.col("b").alias("id"), F.col("a").alias("component"))
+        if new[0] <= finish:
+            t = now.toArrow()
+            ids, at = np.unique(np.concatenate([t["a"].to_numpy(), t["b"].to_numpy()]), return_inverse=True)
+            root = roots(len(ids), at[: len(t)], at[len(t) :])
+            other = np.flatnonzero(root != np.arange(len(ids)))
+            found = pa.table({"id": ids[other], "component": ids[root[other]]})
+            return cut(session(now).createDataFrame(found, "id long, component long"), now)
         mark = new
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
