@@ -21,6 +21,7 @@ No task gets more than a share of the anchors or the segments of its homes. Broa
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -338,16 +339,25 @@ def _hot_runs(rec: np.ndarray, base: int, grams: np.ndarray, others: np.ndarray)
     return zip(at[new].tolist(), at[last].tolist(), key[new].view(np.int64).tolist(), strict=True)
 
 
+def distinct(rec: np.ndarray) -> np.ndarray:
+    """Different records of HOMED in the order of their positions (as np.unique, which compares records slowly)."""
+    rec = rec[np.lexsort((rec["home"], rec["hi"], rec["lo"], rec["pos"]))] if (np.diff(rec["pos"].astype(np.int64)) <= 0).any() else rec
+    same = np.ones(len(rec) - 1, bool)
+    for name in HOMED.names:
+        same &= rec[name][1:] == rec[name][:-1]
+    return rec[np.concatenate([[True], ~same])] if same.any() else rec
+
+
 def _segments(plan: Plan, hashed: str, found: str):
     """Segments of documents: neighbouring windows whose anchors share a home. Equal segments of a task go
     out once, with their members, before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
-        size = 0
+        held: dict[tuple[int, bytes], list[bytes]] = {}
+        size, pack = 0, struct.Struct("<qqi").pack  # a MEMBER
 
         def flush() -> pa.RecordBatch:
-            members = [np.array(m, MEMBER).tobytes() for m in held.values()]
+            members = list(map(b"".join, held.values()))
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int64()), pa.array([t for _, t in held], pa.binary()), pa.array(members, pa.binary())], ["home", "segment", "members"])
 
         for b in pieces(batches, "text"):
@@ -360,7 +370,7 @@ def _segments(plan: Plan, hashed: str, found: str):
             for r, (i, s, body) in enumerate(zip(b["doc_id"].to_pylist(), b[hashed].to_pylist(), b[found].to_pylist(), strict=True)):
                 if not body:
                     continue
-                rec = np.unique(np.frombuffer(body, HOMED))  # by position; rows that repeat give equal ones
+                rec = distinct(np.frombuffer(body, HOMED))  # by position; rows that repeat give equal ones
                 base, hot = int(units.off[r]), rec["home"] == 0
                 runs = _runs(rec[~hot], plan.window) if not hot.all() else ()
                 if hot.any():
@@ -369,7 +379,7 @@ def _segments(plan: Plan, hashed: str, found: str):
                     text = units.text(base + a, base + z + plan.window)
                     own = held.setdefault((k, text), [])
                     size += 20 + (0 if own else len(text))
-                    own.append((i, s, a))
+                    own.append(pack(i, s, a))
             if size > HELD_BYTES:
                 yield flush()
                 held.clear()
@@ -380,27 +390,46 @@ def _segments(plan: Plan, hashed: str, found: str):
     return run
 
 
+def alike_runs(cover: Callable, ids: list[int]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Runs [a, z) of ascending ids that have one cover, and it. What is covered only grows with the id, so between two
+    ids of equal covers all are equal: a segment that very many documents hold costs a few calls."""
+    least = cover(ids[0])
+    stack = [(0, len(ids), least, cover(ids[-1]) if ids[-1] != ids[0] else least)]
+    while stack:
+        a, z, low, high = stack.pop()
+        if np.array_equal(low, high):
+            yield a, z, low
+        else:  # neither end is the other, so both halves have rows
+            m = (a + z) // 2
+            stack.append((m, z, cover(ids[m]), high))
+            stack.append((a, m, low, cover(ids[m - 1])))
+
+
 def _covered(plan: Plan, parts: int):
     """Covered units of each segment's members, packed for the partitions that gather them by document. Rows come
     sorted by home."""
 
     def solve(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch | None:
-        texts: dict[bytes, list[np.ndarray]] = {}
+        texts: dict[bytes, list[bytes]] = {}
         for _, t, m in rows:  # equal segments count once, for their least and greatest documents
-            texts.setdefault(t, []).append(np.frombuffer(m, MEMBER))
-        members = [np.concatenate(m) for m in texts.values()]
-        cover = plan.kernel(plan.window, list(texts), [int(m["id"].min()) for m in members], [int(m["id"].max()) for m in members])
-        docs, spans = [], []
-        for k, own in enumerate(members):
-            for i, s, begin in own.tolist():
-                x = cover(k, i)
+            texts.setdefault(t, []).append(m)
+        packed = [b"".join(m) for m in texts.values()]
+        member = np.frombuffer(b"".join(packed), MEMBER)
+        edge = np.cumsum([0, *map(len, packed)]) // MEMBER.itemsize
+        order = np.lexsort((member["id"], np.repeat(np.arange(len(packed)), np.diff(edge))))
+        member, ids = member[order], member["id"][order]
+        cover = plan.kernel(plan.window, list(texts), ids[edge[:-1]].tolist(), ids[edge[1:] - 1].tolist())
+        at, spans = [], []
+        for k, (lo, hi) in enumerate(zip(edge.tolist(), edge[1:].tolist(), strict=False)):
+            for a, z, x in alike_runs(lambda i, k=k: cover(k, i), ids[lo:hi].tolist()):
                 if len(x):
-                    docs.append((i, s, 0))
-                    spans.append(x + begin)
-        if not docs:
+                    at.append(np.repeat(np.arange(lo + a, lo + z), len(x)))
+                    spans.append((x[None, :, :] + member["begin"][lo + a : lo + z, None, None]).reshape(-1, 2))
+        if not at:
             return None
-        size = [len(x) for x in spans]
-        return _batch([(True, _by_part(np.array(docs, DOC), np.repeat(np.arange(len(docs)), size), np.concatenate(spans).astype("<i4").reshape(-1).view(SPAN), parts))])
+        who, doc = np.concatenate(at), np.zeros(len(member), DOC)
+        doc["id"], doc["sum"] = ids, member["sum"]
+        return _batch([(True, _by_part(doc, who, np.concatenate(spans).astype("<i4").reshape(-1).view(SPAN), parts))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, home = [], 0, None

@@ -9,11 +9,12 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from depweave.llm import _similar, decontaminate, fingerprint, language, pieces, quotation, sharding, simhash, substring_dedup, suffix_dedup, token_output
+from depweave.llm import _passages, _similar, decontaminate, fingerprint, language, pieces, quotation, sharding, simhash, substring_dedup, suffix_dedup, token_output
 from depweave.llm._common import gram_hashes
 from depweave.llm.token_output import pack, unpack
 
@@ -111,6 +112,34 @@ def test_dedup_of_a_hot_group(spark, dedup, window, unit):
         assert rows(dedup(docs, **options).select("doc_id", "n_removed")) == sorted(want, key=repr), options
 
 
+@pytest.mark.parametrize("kernel", [substring_dedup.automata_kernel, suffix_dedup.expansion_kernel])
+def test_covers_of_a_segment_with_many_members(kernel):
+    """Members of a segment are covered as each alone would be, by few calls; `distinct` is np.unique."""
+    r, join = random.Random(2), (b"" if kernel is suffix_dedup.expansion_kernel else b" ").join
+    base = [r.choice([b"a", b"b", b"c", b"d"]) for _ in range(60)]
+    texts = [join(base), join(base[:40]), join(base[20:])]
+    members = [[(r.randrange(900, 2000), k, k % 7) for k in range(2000)], [(950, 5, 3), (1500, 6, 0)], [(1200, 8, 1)]]
+    calls = []
+
+    def counted(*args):
+        cover = kernel(*args)
+        return lambda k, doc: (calls.append(k), cover(k, doc))[1]
+
+    batch = pa.RecordBatch.from_arrays([pa.array([4, 4, 4]), pa.array(texts), pa.array([np.array(m, _passages.MEMBER).tobytes() for m in members])], ["home", "segment", "members"])
+    (out,) = _passages._covered(_passages.Plan("byte", 12, 5, 64, kernel=counted), 3)(iter([batch]))
+    got = defaultdict(list)
+    for d, f in zip(out["docs"].to_pylist(), out["found"].to_pylist()):
+        docs_, spans = np.frombuffer(d, _passages.DOC), np.frombuffer(f, _passages.SPAN)
+        for x, y in zip(np.repeat(docs_[["id", "sum"]], docs_["n"]).tolist(), spans.tolist(), strict=True):
+            got[x].append(y)
+    alone = kernel(12, texts, [min(m)[0] for m in members], [max(m)[0] for m in members])
+    want = {(i, s): [(a + begin, b + begin) for a, b in alone(k, i).tolist()] for k, m in enumerate(members) for i, s, begin in m if len(alone(k, i))}
+    assert {k: sorted(v) for k, v in got.items()} == want and len(want) > 1900 and len(calls) < 60
+    rec = np.zeros(40, _passages.HOMED)
+    rec["pos"], rec["home"] = [r.randrange(20) for _ in range(40)], [r.randrange(2) for _ in range(40)]
+    assert (_passages.distinct(rec) == np.unique(rec)).all() and (_passages.distinct(np.unique(rec)) == np.unique(rec)).all()
+
+
 @pytest.mark.parametrize("kernel", [substring_dedup.automata_kernel, suffix_dedup.expansion_kernel])
 def test_kernels_on_many_near_copies(kernel):
     r = random.Random(1)
