@@ -397,7 +397,7 @@ def alike_runs(cover: Callable, ids: list[int]) -> Iterator[tuple[int, int, np.n
     stack = [(0, len(ids), least, cover(ids[-1]) if ids[-1] != ids[0] else least)]
     while stack:
         a, z, low, high = stack.pop()
-        if np.array_equal(low, high):
+        if low is high or np.array_equal(low, high):
             yield a, z, low
         else:  # neither end is the other, so both halves have rows
             m = (a + z) // 2
@@ -419,17 +419,24 @@ def _covered(plan: Plan, parts: int):
         order = np.lexsort((member["id"], np.repeat(np.arange(len(packed)), np.diff(edge))))
         member, ids = member[order], member["id"][order]
         cover = plan.kernel(plan.window, list(texts), ids[edge[:-1]].tolist(), ids[edge[1:] - 1].tolist())
-        at, spans = [], []
+        first, count, spans = [], [], []
         for k, (lo, hi) in enumerate(zip(edge.tolist(), edge[1:].tolist(), strict=False)):
             for a, z, x in alike_runs(lambda i, k=k: cover(k, i), ids[lo:hi].tolist()):
                 if len(x):
-                    at.append(np.repeat(np.arange(lo + a, lo + z), len(x)))
-                    spans.append((x[None, :, :] + member["begin"][lo + a : lo + z, None, None]).reshape(-1, 2))
-        if not at:
+                    first.append(lo + a)
+                    count.append(z - a)
+                    spans.append(x)
+        if not spans:
             return None
-        who, doc = np.concatenate(at), np.zeros(len(member), DOC)
+        size, x = np.array(list(map(len, spans))), np.concatenate(spans)
+        rows_of = size * count  # of a run: its documents' spans
+        run_of = np.repeat(np.arange(len(spans)), rows_of)
+        nth = np.arange(len(run_of)) - np.repeat(np.cumsum(rows_of) - rows_of, rows_of)
+        who = np.array(first)[run_of] + nth // size[run_of]
+        found = x[(np.cumsum(size) - size)[run_of] + nth % size[run_of]] + member["begin"][who][:, None]
+        doc = np.zeros(len(member), DOC)
         doc["id"], doc["sum"] = ids, member["sum"]
-        return _batch([(True, _by_part(doc, who, np.concatenate(spans).astype("<i4").reshape(-1).view(SPAN), parts))])
+        return _batch([(True, _by_part(doc, who, found.astype("<i4").reshape(-1).view(SPAN), parts))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, home = [], 0, None

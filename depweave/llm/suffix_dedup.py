@@ -100,10 +100,17 @@ def expansion_kernel(window: int, segments: list[bytes], owners: list[int], last
     least = np.zeros(len(text), np.int64)
     least[order] = np.repeat(np.minimum.reduceat(own[order], start), np.diff(np.concatenate([start, [len(text)]])))
 
+    # Of each segment's windows the least and the greatest: up to the one nothing is covered, beyond the other all.
+    ends = np.stack([off[:-1], off[1:] - window], axis=1).reshape(-1)
+    low, high = (f.reduceat(least, ends)[::2].tolist() for f in (np.minimum, np.maximum))
+    none, whole = np.zeros((0, 2), np.int64), (size - 1).tolist()
+
     def cover(k: int, doc: int) -> np.ndarray:
+        if doc <= low[k]:
+            return none
+        if doc > high[k]:
+            return np.array([[0, whole[k]]])
         at = np.flatnonzero(least[off[k] : off[k + 1] - window] < doc)
-        if not len(at):
-            return np.zeros((0, 2), np.int64)
         new = np.concatenate([[True], at[1:] > at[:-1] + window])
         return np.stack([at[new], at[np.concatenate([new[1:], [True]])] + window], axis=1)
 
