@@ -193,11 +193,13 @@ def spearman(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("rx", rank("x")).withColumn("ry", rank("y")).groupBy("key").agg(F.when(F.isnan(r), None).otherwise(r).alias("rho"))
 
 
-def boosts(diffs: DataFrame, least: float = 1000.0) -> DataFrame:
-    """Pairs of the last spike and the fall that ends it; diffs(key, t, diff)."""
+def boosts(diffs: DataFrame, least: float = 1000.0, inclusive: bool = False) -> DataFrame:
+    """Pairs of the last spike and the fall that ends it; diffs(key, t, diff). Steps of just `least` count if inclusive."""
+    d = F.col("diff")
+    up, down = (d >= least, d <= -least) if inclusive else (d > least, d < -least)
     w = Window.partitionBy("key").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-    rows = diffs.withColumn("spike", F.max(F.when(F.col("diff") > least, F.col("t"))).over(w)).withColumn("fall", F.max(F.when(F.col("diff") < -least, F.col("t"))).over(w))
-    return rows.where((F.col("diff") < -least) & F.col("spike").isNotNull() & (F.col("fall").isNull() | (F.col("fall") < F.col("spike")))).select("key", "spike", F.col("t").alias("fall"))
+    rows = diffs.withColumn("spike", F.max(F.when(up, F.col("t"))).over(w)).withColumn("fall", F.max(F.when(down, F.col("t"))).over(w))
+    return rows.where(down & F.col("spike").isNotNull() & (F.col("fall").isNull() | (F.col("fall") <= F.col("spike")))).select("key", "spike", F.col("t").alias("fall"))
 
 
 def boost_factors(series: DataFrame, found: DataFrame) -> DataFrame:

@@ -33,3 +33,15 @@ def test_query(spark, name):
 def test_entry(spark):
     assert 0 < entry.entry(spark).count() <= 25
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["v10_boosts", "v11_boost_factors"])
+def test_steps_of_just_the_least(spark, tmp_path, name):
+    """Steps of exactly 300 are spikes and falls in the SQL."""
+    rows = [(i, "view", float(v)) for i, v in enumerate([10, 30, 330, 40, 340, 50, 350, 50, 50])]
+    pd.DataFrame(rows, columns=["event_id", "event_type", "value"]).to_parquet(tmp_path / "events.parquet")
+    con = duckdb.connect()
+    for t in bindings.TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path if t == 'events' else SF}/{t}.parquet'")
+    got = plain(entry.queries()[name](spark, str(tmp_path)).toPandas())
+    assert got and got == plain(con.execute(entry.oracle_sql()[name]).df())
