@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from depweave.plans.scratch import cut
 
+from . import bitsets
+
 
 def closure(edges: DataFrame, sources: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """R1 (R2 on reversed edges): keys, src, dst, layer (fewest steps) and via (least node before dst).
@@ -88,6 +90,21 @@ def owner_cost(pairs: DataFrame, owned: DataFrame, keys: tuple[str, ...] = ()) -
     return nodes.join(owned.select(*keys, F.col("package").alias("dst"), "owner"), [*keys, "dst"]).groupBy(*keys, "src").agg(F.countDistinct("owner").alias("count"))
 
 
+def owner_reach_of(edges: DataFrame, owned: DataFrame) -> DataFrame:
+    """R10 from edges(src, dst), without pairs where the graph is within bitsets.EDGES; owned(owner, package)."""
+    g = bitsets.graphs(edges)
+    return owner_reach(reach(edges), owned) if g is None else bitsets.owner_sizes(g, owned)
+
+
+def owner_cost_of(edges: DataFrame, owned: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """R12, R13 from edges(keys..., src, dst), without pairs where the graphs are within bitsets.EDGES; owned(owner,
+    package) holds in all keys that edges have."""
+    g = bitsets.graphs(edges, keys, owned.select("package").where("package is not null"))
+    if g is None:
+        return owner_cost(closure(edges, keys=keys), owned.join(edges.select(*keys).distinct()) if keys else owned, keys)
+    return bitsets.owner_costs(g, owned)
+
+
 def ranked(counts: DataFrame, name: str, every: DataFrame | None = None, top: int | None = None) -> DataFrame:
     """Names by count, ties by name; names of `every` that lack a count have 0. With top: a top-k, no full sort."""
     rows = counts if every is None else every.select(name).distinct().join(counts, name, "left").withColumn("count", F.coalesce("count", F.lit(0)))

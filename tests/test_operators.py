@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from depweave.functions import semver
-from depweave.operators import callgraph, changes, closure, cover, stats, timeline
+from depweave.operators import bitsets, callgraph, changes, closure, cover, stats, timeline
 from depweave.sources import readers, writers
 from depweave.streaming import feed
 
@@ -196,3 +196,30 @@ def test_unreleased_months(spark):
     got = timeline.timeline(rows, spark.createDataFrame([("p", "1.0.0", "d")], "package string, version string, item string"), "2010-12-01", "2011-02-01").orderBy("month").collect()
     assert [(r.version, list(r["items"])) for r in got] == [("unreleased", []), ("unreleased", []), ("1.0.0", ["d"])]
 
+
+
+def pairs_of(edges):
+    """All (src, dst) that edges reach, by brute force."""
+    found = set(edges)
+    while more := {(a, d) for a, b in found for c, d in edges if b == c} - found:
+        found |= more
+    return found
+
+
+def test_owners_by_bits(spark):
+    """Loops, owners without packages in the graph and a null owner, in two months, with few words a block."""
+    r = random.Random(5)
+    edges = [(m, a, b) for m in (1, 2) for a, b in {(f"p{r.randrange(30)}", f"p{r.randrange(30)}") for _ in range(25 * m)}]
+    owned = sorted({(f"o{r.randrange(90)}", f"p{r.randrange(34)}") for _ in range(200)}) + [(None, "p1"), ("none", "x")]
+    e, o = spark.createDataFrame(edges, "month int, src string, dst string"), spark.createDataFrame(owned, "owner string, package string")
+    cost, reach = {}, {}
+    for m in (1, 2):
+        pairs = pairs_of([(a, b) for k, a, b in edges if k == m])
+        for name in {p for _, p in owned} | {a for a, _ in pairs}:
+            if n := len({x for x, p in owned if x and (p == name or (name, p) in pairs)}):
+                cost[m, name] = n
+        for x in {x for x, _ in owned}:
+            if n := len({a for a, b in pairs if (x, b) in owned}):
+                reach[m, x] = n
+    assert {(x.month, x.src): x["count"] for x in closure.owner_cost_of(e, o, ("month",)).collect()} == cost
+    assert {(1, x.owner): x["count"] for x in closure.owner_reach_of(e.where("month = 1").drop("month"), o).collect()} == {k: v for k, v in reach.items() if k[0] == 1}

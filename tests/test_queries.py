@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from depweave.operators import bitsets, closure
 from depweave.plans import bindings
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +46,20 @@ def test_steps_of_just_the_least(spark, tmp_path, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path if t == 'events' else SF}/{t}.parquet'")
     got = plain(entry.queries()[name](spark, str(tmp_path)).toPandas())
     assert got and got == plain(con.execute(entry.oracle_sql()[name]).df())
+
+
+WITHOUT_PAIRS = ["r10_owner_reach"]
+
+
+@pytest.mark.parametrize("name", WITHOUT_PAIRS)
+def test_without_pairs(spark, monkeypatch, name):
+    """Where the graph is broadcast no closure is written out as pairs; a graph over the bound is closed by joins."""
+    con = duckdb.connect()
+    for t in bindings.TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = plain(con.execute(entry.oracle_sql()[name]).df())
+    with monkeypatch.context() as m:
+        m.setattr(closure, "closure", lambda *a, **b: pytest.fail("pairs"))
+        assert plain(entry.queries()[name](spark, SF).toPandas()) == want
+    monkeypatch.setattr(bitsets, "EDGES", 0)
+    assert plain(entry.queries()[name](spark, SF).toPandas()) == want
