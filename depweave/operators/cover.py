@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from depweave.plans.scratch import cut
 
+from . import bitsets
+
 
 def _running(counts: DataFrame, order: str, value: str) -> DataFrame:
     """Running sums over ranks. Ranks are summed in blocks first, so no task sorts them all."""
@@ -20,7 +22,15 @@ def _running(counts: DataFrame, order: str, value: str) -> DataFrame:
 def cover_along(pairs: DataFrame, ranking: DataFrame) -> DataFrame:
     """G1: newly covered and total along a ranking; pairs(name, element), ranking(name, rank). An element counts at
     the least rank that covers it, so nothing is iterated."""
-    first = pairs.join(ranking, "name").groupBy("element").agg(F.min("rank").alias("rank")).groupBy("rank").agg(F.count("*").alias("new"))
+    return _along(pairs.join(ranking, "name").groupBy("element").agg(F.min("rank").alias("rank")).groupBy("rank").agg(F.count("*").alias("new")), ranking)
+
+
+def cover_along_of(g: bitsets.Graphs, owned: DataFrame, ranking: DataFrame) -> DataFrame:
+    """G1 over the reach of what names own, by a pass over a broadcast graph; owned(name, package)."""
+    return _along(bitsets.least_counts(g, owned.join(ranking, "name").groupBy("package").agg(F.min("rank").alias("rank"))), ranking)
+
+
+def _along(first: DataFrame, ranking: DataFrame) -> DataFrame:
     every = ranking.join(first, "rank", "left").select("rank", "name", F.coalesce("new", F.lit(0)).alias("new"))
     return _running(every, "rank", "new").select("rank", "name", "new", "total")
 
@@ -47,10 +57,15 @@ def trust_average(pairs: DataFrame, ranking: DataFrame, n: int, limit: int) -> D
     """G3 (G5 with owners as elements): average untrusted set size once ranks up to k are trusted, k = 0 to limit + 1.
 
     pairs(set, element), each set seeded as the caller wants it; n sets."""
-    weight = pairs.join(ranking.select(F.col("name").alias("element"), "rank"), "element", "left")
-    by = weight.groupBy("rank").agg(F.count("*").alias("w"))
+    return trust_of_sizes(pairs.groupBy("element").agg(F.count("*").alias("size")), ranking, n, limit)
+
+
+def trust_of_sizes(sizes: DataFrame, ranking: DataFrame, n: int, limit: int) -> DataFrame:
+    """G3, G5 from sizes(element, size): in how many sets each element is."""
+    weight = sizes.join(ranking.select(F.col("name").alias("element"), "rank"), "element", "left")
+    by = weight.groupBy("rank").agg(F.sum("size").alias("w"))
     total = by.agg(F.sum("w").alias("all"))
-    ranks = pairs.sparkSession.range(0, limit + 2).select(F.col("id").alias("k"))
+    ranks = sizes.sparkSession.range(0, limit + 2).select(F.col("id").alias("k"))
     steps = ranks.join(by.select(F.col("rank").cast("long").alias("k"), "w"), "k", "left").select("k", F.coalesce("w", F.lit(0)).alias("w"))
     return _running(steps, "k", "w").crossJoin(F.broadcast(total)).select("k", ((F.col("all") - F.col("total")) / F.lit(float(n))).alias("average"))
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from depweave.functions import semver
 
+from . import bitsets, closure
+
 _ALL = (Window.unboundedPreceding, 0)
 
 
@@ -92,6 +94,18 @@ def vulnerable_reach(details: DataFrame, reach: DataFrame, months: DataFrame) ->
     return months.join(by, "month", "left").select("month", F.coalesce("open", F.lit(0)).alias("open"), F.coalesce("count", F.lit(0)).alias("count"))
 
 
+def vulnerable_reach_of(details: DataFrame, edges: DataFrame, months: DataFrame) -> DataFrame:
+    """A10 from edges(src, dst) that are the same in all months, without pairs where the graph is within bitsets.EDGES: months are bits."""
+    g = bitsets.graphs(edges)
+    if g is None:
+        return vulnerable_reach(details, closure.reach(edges), months)
+    begin, end = F.add_months(F.trunc("vulnerable_date", "MM"), 1), F.trunc(F.col("patched_date") - F.expr("interval 1 microsecond"), "MM")
+    found = details.select("id", "package", F.unix_date(begin).alias("b"), F.unix_date(end).alias("e")).where("b <= e").distinct()
+    points = [r[0] for r in months.where("month = trunc(month, 'MM')").select(F.unix_date("month").alias("p")).distinct().orderBy("p").collect()]
+    by = months.sparkSession.createDataFrame(bitsets.interval_unions(g, found, points), "p int, open long, count long").select(F.date_from_unix_date("p").alias("month"), "open", "count")
+    return months.join(by, "month", "left").select("month", F.coalesce("open", F.lit(0)).alias("open"), F.coalesce("count", F.lit(0)).alias("count"))
+
+
 def file_totals(files: DataFrame, least: int = 0) -> DataFrame:
     """Totals by file class above a least, descending; files(package, class, n)."""
     return files.groupBy("class").agg(F.sum("n").alias("total")).where(F.col("total") > least).orderBy(F.desc("total"), "class")
