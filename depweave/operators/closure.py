@@ -90,6 +90,24 @@ def owner_cost(pairs: DataFrame, owned: DataFrame, keys: tuple[str, ...] = ()) -
     return nodes.join(owned.select(*keys, F.col("package").alias("dst"), "owner"), [*keys, "dst"]).groupBy(*keys, "src").agg(F.countDistinct("owner").alias("count"))
 
 
+def cost_sizes(edges: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """R4, R8 from edges(keys..., src, dst), without pairs where the graphs are within bitsets.EDGES."""
+    g = bitsets.graphs(edges, keys)
+    return sizes(closure(edges, keys=keys), keys) if g is None else bitsets.cost_sizes(g)
+
+
+def reach_with_dev_of(edges: DataFrame, dev_edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """R7, its pairs made by blocks of users where the graph is within bitsets.EDGES: none is shuffled."""
+    g = bitsets.graphs(edges, nodes=sources.select("src"), also=dev_edges)
+    return reach_with_dev(edges, dev_edges, sources) if g is None else bitsets.reach_pairs(g)
+
+
+def windowed_union_of(edges: DataFrame, width: int = 10) -> DataFrame:
+    """R17 from edges(year, src, dst), without pairs where the graphs are within bitsets.EDGES."""
+    g = bitsets.graphs(edges, ("year",))
+    return windowed_union(reach(edges, keys=("year",)), width) if g is None else bitsets.windows(g, width)
+
+
 def owner_reach_of(edges: DataFrame, owned: DataFrame) -> DataFrame:
     """R10 from edges(src, dst), without pairs where the graph is within bitsets.EDGES; owned(owner, package)."""
     g = bitsets.graphs(edges)

@@ -73,8 +73,12 @@ def trust_of_sizes(sizes: DataFrame, ranking: DataFrame, n: int, limit: int) ->
 def secured_share(pairs: DataFrame, ranking: DataFrame, n: int, limit: int) -> DataFrame:
     """Share of sets whose elements are all trusted once ranks up to k are; ranks beyond the ranking never are."""
     need = pairs.join(ranking.select(F.col("name").alias("element"), "rank"), "element", "left").groupBy("set").agg(F.max(F.coalesce("rank", F.lit(2147483647))).alias("k"))
-    by = need.groupBy("k").agg(F.count("*").alias("w"))
-    ranks = pairs.sparkSession.range(0, limit + 2).select(F.col("id").alias("k"))
+    return share_of_needs(need.groupBy("k").agg(F.count("*").alias("w")), n, limit)
+
+
+def share_of_needs(by: DataFrame, n: int, limit: int) -> DataFrame:
+    """G4 from by(k, w): how many sets need ranks up to k."""
+    ranks = by.sparkSession.range(0, limit + 2).select(F.col("id").alias("k"))
     steps = ranks.join(by.select(F.col("k").cast("long").alias("k"), "w"), "k", "left").select("k", F.coalesce("w", F.lit(0)).alias("w"))
     return _running(steps, "k", "w").select("k", (F.col("total") / F.lit(float(n))).alias("share"))
 

@@ -223,3 +223,29 @@ def test_owners_by_bits(spark):
                 reach[m, x] = n
     assert {(x.month, x.src): x["count"] for x in closure.owner_cost_of(e, o, ("month",)).collect()} == cost
     assert {(1, x.owner): x["count"] for x in closure.owner_reach_of(e.where("month = 1").drop("month"), o).collect()} == {k: v for k, v in reach.items() if k[0] == 1}
+
+
+def test_walks_by_bits(spark, monkeypatch):
+    """Loops, several blocks and halved ones: sizes, windows, needs and pairs with first steps as by brute force."""
+    monkeypatch.setattr(bitsets, "SOURCES", 2)
+    monkeypatch.setattr(bitsets, "WORDS", 300)
+    r = random.Random(6)
+    edges = sorted({(a, r.randrange(a)) for a in range(1, 300) for _ in range(2)} | {(7, 90), (120, 121), (3, 3)})
+    dev = sorted({(r.randrange(320), r.randrange(300)) for _ in range(60)})
+    pairs, names = pairs_of(edges), list(range(5, 310))
+    e, d = spark.createDataFrame(edges, "src int, dst int"), spark.createDataFrame(dev, "src int, dst int")
+    count = lambda i: {x: sum(p[i] == x for p in pairs) for x in {p[i] for p in pairs}}
+    assert {x.src: x["count"] for x in closure.cost_sizes(e).collect()} == count(0)
+    reach = count(1)
+    assert {x.src: x["count"] for x in bitsets.reach_sizes(bitsets.graphs(e)).collect()} == reach
+    ranked = sorted(reach, key=lambda x: (-reach[x], x))
+    want = {(2000, k + 1): len({a for a, b in pairs if b in ranked[k : k + 10]}) for k in range(len(ranked) - 9)}
+    assert {(x.year, x["rank"]): x["count"] for x in closure.windowed_union_of(e.select(F.lit(2000).alias("year"), "src", "dst")).collect()} == want
+    rank = {x: k + 1 for k, x in enumerate(ranked[:40])}
+    sets = {x: {b for a, b in pairs if a == x} | ({x} & set(names)) for x in {a for a, _ in pairs} | set(names)}
+    needs = [max(rank.get(x, 999) for x in one) for one in sets.values()]
+    every = spark.createDataFrame([(x,) for x in names], "src int")
+    assert {x.k: x.w for x in bitsets.needs(bitsets.graphs(e, nodes=every), list(rank.items()), 999).collect()} == {k: needs.count(k) for k in needs}
+    with_dev = pairs | set(dev) | {(u, b) for u, x in dev for a, b in pairs if a == x}
+    got = [tuple(x) for x in closure.reach_with_dev_of(e, d, every).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(b, a) for a, b in with_dev if b in names}
