@@ -53,6 +53,12 @@ def greedy_cover(pairs: DataFrame, first: str | None = None, limit: int = 20) ->
     return spark.createDataFrame(out, f"rank int, name {kind}, gain long, total long")
 
 
+def greedy_cover_of(g: bitsets.Graphs, owned: DataFrame, first: str | None = None, limit: int = 20) -> DataFrame:
+    """G2 over the reach of what names own, by bit sets over a broadcast graph; owned(owner, package)."""
+    kind = owned.schema["owner"].dataType.simpleString()
+    return owned.sparkSession.createDataFrame(bitsets.greedy(g, owned, first, limit), f"rank int, name {kind}, gain long, total long")
+
+
 def trust_average(pairs: DataFrame, ranking: DataFrame, n: int, limit: int) -> DataFrame:
     """G3 (G5 with owners as elements): average untrusted set size once ranks up to k are trusted, k = 0 to limit + 1.
 

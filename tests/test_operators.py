@@ -249,3 +249,16 @@ def test_walks_by_bits(spark, monkeypatch):
     with_dev = pairs | set(dev) | {(u, b) for u, x in dev for a, b in pairs if a == x}
     got = [tuple(x) for x in closure.reach_with_dev_of(e, d, every).collect()]
     assert len(got) == len(set(got)) and set(got) == {(b, a) for a, b in with_dev if b in names}
+
+
+def test_greedy_by_bits(spark):
+    """The same picks as over pairs, with a loop and with a first name."""
+    r = random.Random(8)
+    edges = sorted({(a, r.randrange(a)) for a in range(1, 300) if r.random() < 0.6} | {(9, 40), (60, 61)})
+    owned = sorted({(r.randrange(30), r.randrange(300)) for _ in range(80)})
+    e, o = spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(owned, "owner long, package long")
+    pairs = pairs_of(edges)
+    sets = spark.createDataFrame(sorted({(x, a) for x, p in owned for a, b in pairs if b == p}), "name long, element long")
+    for first in (None, owned[-1][0]):
+        want = [tuple(x) for x in cover.greedy_cover(sets, first, 6).orderBy("rank").collect()]
+        assert len(want) > 2 and [tuple(x) for x in cover.greedy_cover_of(bitsets.graphs(e), o, first, 6).orderBy("rank").collect()] == want
